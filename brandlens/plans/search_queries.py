@@ -1,0 +1,122 @@
+"""Registered queries: tokenising, BM25, term statistics, TF-IDF."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import BM25_B, BM25_K1, DRIVER_PROFILE
+from ..functions.text import combined_text, tokenise, tokenise_py
+from ..operators.ranking import bm25_scores, corpus_stats, term_frequencies, tfidf_vectors
+from ..operators.reports import rank_by
+from ..session import prepare
+from ..sources.driver import duck_tokenise, mentions, mentions_sql
+from .registry import query
+
+M = f"WITH mentions AS ({mentions_sql()})"
+P = DRIVER_PROFILE
+
+
+def _m(spark, sf_dir):
+    prepare(spark)
+    return mentions(spark, sf_dir)
+
+
+# --- X5 tokenise -----------------------------------------------------------------
+@query("tokenise", f"""{M}
+SELECT platform, id, {duck_tokenise('text')} AS tokens,
+       len({duck_tokenise('text')}) AS n_tokens
+FROM mentions""")
+def q_tokenise(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    t = tokenise(F.col("text"))
+    return m.select("platform", "id", t.alias("tokens"), F.size(t).cast("bigint").alias("n_tokens"))
+
+
+# --- R1 BM25 -----------------------------------------------------------------------
+def _bm25_sql(query_text: str) -> str:
+    q_all = tokenise_py(query_text)
+    q_unique = list(dict.fromkeys(q_all))
+    qvals = ", ".join(f"('{t}', {q_all.count(t)})" for t in q_unique) or "(NULL, 0)"
+    return f"""{M},
+docs AS (SELECT platform, id, seq, {duck_tokenise("concat_ws(' ', nullif(title, ''), nullif(text, ''))")} AS tok
+         FROM mentions),
+q(term, mult) AS (VALUES {qvals}),
+st AS (SELECT count(*)::DOUBLE AS n, avg(len(tok))::DOUBLE AS avgdl FROM docs),
+hits AS (SELECT platform, id, u.term AS term FROM docs, unnest(tok) AS u(term)
+         WHERE u.term IN (SELECT term FROM q)),
+tf AS (SELECT platform, id, term, count(*)::DOUBLE AS tf FROM hits GROUP BY ALL),
+df AS (SELECT term, count(DISTINCT (platform, id))::DOUBLE AS df FROM hits GROUP BY term),
+sc AS (SELECT tf.platform, tf.id,
+              sum(q.mult * ln((st.n - df.df + 0.5) / (df.df + 0.5) + 1)
+                  * (tf.tf * {BM25_K1 + 1.0}) / (tf.tf + {BM25_K1} * ({1.0 - BM25_B} + {BM25_B} * len(d.tok) / st.avgdl))) AS s
+       FROM tf JOIN df USING (term) JOIN q USING (term)
+       JOIN docs d ON d.platform = tf.platform AND d.id = tf.id, st
+       GROUP BY ALL)
+"""
+
+
+@query("bm25_scores", _bm25_sql(P.reference_query) + """
+SELECT d.platform, d.id, round(coalesce(sc.s, 0.0), 4) AS bm25_score
+FROM docs d LEFT JOIN sc ON sc.platform = d.platform AND sc.id = d.id""")
+def q_bm25_scores(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return bm25_scores(m, P.reference_query, keys=("platform", "id"),
+                       text=combined_text("title", "text"))
+
+
+# --- O2 top-10 by BM25 --------------------------------------------------------------
+@query("bm25_top10", _bm25_sql(P.reference_query) + """
+SELECT platform, id, bm25_score, rnk FROM (
+  SELECT d.platform, d.id, round(coalesce(sc.s, 0.0), 4) AS bm25_score,
+         row_number() OVER (ORDER BY round(coalesce(sc.s, 0.0), 4) DESC, d.seq) AS rnk
+  FROM docs d LEFT JOIN sc ON sc.platform = d.platform AND sc.id = d.id)
+WHERE rnk <= 10""")
+def q_bm25_top10(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    s = bm25_scores(m, P.reference_query, keys=("platform", "id"), keep=("seq",),
+                    text=combined_text("title", "text"))
+    return rank_by(s, [F.col("bm25_score").desc(), F.col("seq").asc()], limit=10).select(
+        "platform", "id", "bm25_score", "rnk")
+
+
+# --- A6 term frequency -------------------------------------------------------------
+@query("term_freq", f"""{M},
+t AS (SELECT platform, id, {duck_tokenise('text')} AS tok FROM mentions)
+SELECT platform, id, u.term AS term, count(*)::BIGINT AS tf, max(len(tok))::BIGINT AS dl
+FROM t, unnest(tok) AS u(term) GROUP BY ALL""")
+def q_term_freq(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    tf = term_frequencies(m, ("platform", "id"), "text")
+    return tf.select("platform", "id", "term", F.col("tf").cast("bigint").alias("tf"),
+                     F.col("dl").cast("bigint").alias("dl"))
+
+
+# --- A7 document frequency + corpus stats -----------------------------------------
+@query("doc_freq", f"""{M},
+t AS (SELECT platform, id, {duck_tokenise('text')} AS tok FROM mentions),
+st AS (SELECT count(*)::BIGINT AS n, round(avg(len(tok)), 6) AS avgdl FROM t)
+SELECT u.term AS term, count(DISTINCT (platform, id))::BIGINT AS df, st.n AS n, st.avgdl AS avgdl
+FROM t, unnest(tok) AS u(term), st GROUP BY u.term, st.n, st.avgdl""")
+def q_doc_freq(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    tf = term_frequencies(m, ("platform", "id"), "text")
+    st = corpus_stats(m, "text")
+    n = st.select(F.col("n").cast("bigint")).scalar()
+    avgdl = st.select(F.round(F.col("avgdl"), 6)).scalar()
+    return tf.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("df")).select(
+        "term", "df", n.alias("n"), avgdl.alias("avgdl"))
+
+
+# --- R2 TF-IDF vectors ------------------------------------------------------------
+@query("tfidf_vectors", f"""{M},
+t AS (SELECT platform, id, {duck_tokenise('text')} AS tok FROM mentions),
+st AS (SELECT count(*)::DOUBLE AS n FROM t),
+tf AS (SELECT platform, id, u.term AS term, count(*)::DOUBLE AS tf, max(len(tok))::DOUBLE AS dl
+       FROM t, unnest(tok) AS u(term) GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term)
+SELECT platform, id, term, round(tf / greatest(dl, 1) * ln((st.n + 1) / (df + 1)), 6) AS weight
+FROM tf JOIN df USING (term), st""")
+def q_tfidf_vectors(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    v = tfidf_vectors(m, ("platform", "id"), "text")
+    return v.select("platform", "id", "term", F.round("weight", 6).alias("weight"))
