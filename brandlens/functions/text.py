@@ -49,6 +49,12 @@ def tokenise_py(text: str | None, stop_words: Iterable[str] = STOP_WORDS) -> lis
     return [w for w in t.split() if len(w) > 1 and w not in stop]
 
 
+def py_strip(c) -> Column:
+    """Strip leading/trailing whitespace in Python's sense (not only blanks)."""
+    ws = WHITESPACE_RE[:-1]  # the class without the trailing '+'
+    return F.regexp_replace(_col(c), f"^{ws}+|{ws}+$", "")
+
+
 def nullif_empty(c) -> Column:
     c = _col(c)
     return F.when(c != F.lit(""), c)

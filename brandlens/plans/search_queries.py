@@ -120,3 +120,177 @@ def q_tfidf_vectors(spark, sf_dir):
     m = _m(spark, sf_dir)
     v = tfidf_vectors(m, ("platform", "id"), "text")
     return v.select("platform", "id", "term", F.round("weight", 6).alias("weight"))
+
+
+# --- near duplicates (J6 / R3 / D3 / A9) -------------------------------------------------
+from ..config import COSINE_EPSILON, NEAR_DUP_THRESHOLD  # noqa: E402
+from ..functions.text import fuzzy_contains  # noqa: E402
+from ..operators.cooccurrence import word_cloud  # noqa: E402
+from ..operators.neardup import near_duplicate_flags, near_duplicate_pairs  # noqa: E402
+
+_COMB = "concat_ws(' ', nullif(title, ''), nullif(text, ''))"
+
+
+def _vectors_sql(collapse: bool) -> str:
+    """DuckDB TF-IDF vectors; with `collapse`, only first records of exact-copy groups."""
+    head = f"""dt AS (SELECT seq AS node, platform AS part, {duck_tokenise(_COMB)} AS tok FROM mentions),
+nn AS (SELECT count(*)::DOUBLE AS n FROM dt),
+grp AS (SELECT node, part, min(node) OVER (PARTITION BY part, sig) AS rep,
+               count(*) OVER (PARTITION BY part, sig) AS cnt
+        FROM (SELECT node, part, sha256(array_to_string(list_sort(tok), ' ')) AS sig FROM dt)),
+"""
+    if collapse:
+        src = "SELECT dt.node, dt.part, dt.tok, g.cnt FROM dt JOIN grp g ON g.node = dt.node WHERE g.node = g.rep"
+    else:
+        src = "SELECT dt.node, dt.part, dt.tok, 1 AS cnt FROM dt"
+    return head + f"""vs AS ({src}),
+tf AS (SELECT node, part, term, count(*)::DOUBLE AS tf, max(dl)::DOUBLE AS dl, max(cnt) AS cnt
+       FROM (SELECT node, part, cnt, len(tok) AS dl, unnest(tok) AS term FROM vs) GROUP BY node, part, term),
+df AS (SELECT term, sum(cnt)::DOUBLE AS df FROM tf GROUP BY term),
+v AS (SELECT tf.node, tf.part, tf.term, tf.tf / greatest(tf.dl, 1) * ln((nn.n + 1) / (df.df + 1)) AS w
+      FROM tf JOIN df USING (term), nn),
+nrm AS (SELECT node, sqrt(sum(w * w)) AS norm FROM v GROUP BY node),
+pr AS (SELECT a.part, a.node AS a, b.node AS b, sum(a.w * b.w) AS dot FROM v a JOIN v b
+       ON a.part = b.part AND a.term = b.term AND a.node < b.node GROUP BY a.part, a.node, b.node),
+sim AS (SELECT pr.part, pr.a, pr.b, pr.dot / (na.norm * nb.norm + {COSINE_EPSILON}) AS cosine
+        FROM pr JOIN nrm na ON na.node = pr.a JOIN nrm nb ON nb.node = pr.b
+        WHERE pr.dot / (na.norm * nb.norm + {COSINE_EPSILON}) >= {{t}})"""
+
+
+def _pairs_sql(t: float) -> str:
+    return f"""{M},
+{_vectors_sql(True).replace('{t}', str(t))}
+SELECT ma.platform AS a_platform, ma.id AS a_id, mb.platform AS b_platform, mb.id AS b_id,
+       round(sim.cosine, 6) AS cosine
+FROM sim JOIN mentions ma ON ma.seq = sim.a JOIN mentions mb ON mb.seq = sim.b"""
+
+
+def _flags_body(t: float) -> str:
+    """Reference semantics verbatim: all pairs (copies included), sequential greedy scan."""
+    return f"""{_vectors_sql(False).replace('{t}', str(t))},
+gn AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT a AS node FROM sim UNION SELECT b FROM sim)),
+nb AS (SELECT gn.node, gn.k, coalesce(list(s.a) FILTER (WHERE s.a IS NOT NULL), []) AS earlier
+       FROM gn LEFT JOIN sim s ON s.b = gn.node GROUP BY gn.node, gn.k),
+r(k, kept) AS (SELECT 0, []::BIGINT[]
+               UNION ALL
+               SELECT r.k + 1, CASE WHEN list_has_any(r.kept, nb.earlier) THEN r.kept
+                                    ELSE list_append(r.kept, nb.node) END
+               FROM r JOIN nb ON nb.k = r.k + 1),
+fin AS (SELECT kept FROM r ORDER BY k DESC LIMIT 1),
+dups AS (SELECT gn.node FROM gn, fin WHERE NOT list_contains(fin.kept, gn.node))"""
+
+
+def _flags_sql(t: float) -> str:
+    return M.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+{_flags_body(t)}
+SELECT m.platform, m.id, m.seq IN (SELECT node FROM dups) AS is_near_duplicate FROM mentions m"""
+
+
+@query("near_duplicate_pairs", _pairs_sql(NEAR_DUP_THRESHOLD))
+def q_near_duplicate_pairs(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    p = near_duplicate_pairs(m, ("platform", "id"), "seq", "platform", combined_text("title", "text"),
+                             NEAR_DUP_THRESHOLD, prefix_s=0.4)
+    return p.select("a_platform", "a_id", "b_platform", "b_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query("near_duplicate_flags", _flags_sql(NEAR_DUP_THRESHOLD))
+def q_near_duplicate_flags(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return near_duplicate_flags(m, ("platform", "id"), "seq", "platform", combined_text("title", "text"),
+                                NEAR_DUP_THRESHOLD, prefix_s=0.4)
+
+
+@query("near_duplicate_flags_t05", _flags_sql(0.5))
+def q_near_duplicate_flags_t05(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return near_duplicate_flags(m, ("platform", "id"), "seq", "platform", combined_text("title", "text"),
+                                0.5, prefix_s=0.25)
+
+
+@query("near_dup_count", M.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+{_flags_body(NEAR_DUP_THRESHOLD)}
+SELECT m.platform, count(*) FILTER (WHERE m.seq IN (SELECT node FROM dups))::BIGINT AS near_duplicates,
+       count(*)::BIGINT AS total FROM mentions m GROUP BY m.platform""")
+def q_near_dup_count(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    f = near_duplicate_flags(m, ("platform", "id"), "seq", "platform", combined_text("title", "text"),
+                             NEAR_DUP_THRESHOLD, prefix_s=0.4)
+    return f.groupBy("platform").agg(F.count_if("is_near_duplicate").cast("bigint").alias("near_duplicates"),
+                                     F.count(F.lit(1)).cast("bigint").alias("total"))
+
+
+# --- fuzzy brand match (X9 / F6 / R5 / J8) ---------------------------------------------
+def _ASCII1(expr: str) -> str:
+    return f"regexp_replace({expr}, '[^\\x00-\\x7F]', chr(1), 'g')"
+
+
+def _fuzzy_sql_expr(text_expr: str, variants) -> str:
+    # DuckDB's levenshtein counts bytes; variants are ASCII, so every non-ASCII
+    # character is mapped to one placeholder byte that equals no variant character.
+    conds = " OR ".join(f"(abs(length(w) - {len(v)}) <= 1 AND levenshtein({_ASCII1('w')}, '{v}') <= 1)"
+                        for v in variants)
+    return (f"len(list_filter(regexp_extract_all(lower(coalesce({text_expr}, '')), '[\\p{{L}}\\p{{N}}_]{{4,}}'), "
+            f"lambda w: {conds})) > 0")
+
+
+@query("fuzzy_brand_match", f"""{M}
+SELECT platform, id, {_fuzzy_sql_expr(_COMB, P.variants)} AS fuzzy_brand_match FROM mentions""")
+def q_fuzzy_brand_match(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return m.select("platform", "id", fuzzy_contains(combined_text("title", "text"), P.variants)
+                    .alias("fuzzy_brand_match"))
+
+
+# --- X8 Levenshtein: words within 2 edits of a variant --------------------------------
+@query("levenshtein_words", f"""{M},
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce({_COMB}, '')), '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS word FROM mentions),
+v(variant) AS (VALUES {", ".join(f"('{x}')" for x in P.variants)})
+SELECT word, variant, levenshtein({_ASCII1('word')}, variant)::INTEGER AS distance FROM w, v
+WHERE abs(length(word) - length(variant)) <= 2 AND levenshtein({_ASCII1('word')}, variant) <= 2""")
+def q_levenshtein_words(spark, sf_dir):
+    from ..functions.text import word_runs
+    m = _m(spark, sf_dir)
+    words = m.select(F.explode(word_runs(combined_text("title", "text"))).alias("word")).distinct()
+    out = None
+    for v in P.variants:  # one narrow projection per variant (variants are a short list)
+        d = F.levenshtein(F.col("word"), F.lit(v), 2)
+        x = words.where(F.abs(F.length("word") - len(v)) <= 2).select(
+            "word", F.lit(v).alias("variant"), d.cast("int").alias("distance")).where(F.col("distance") >= 0)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+# --- A8 / R7 word cloud ------------------------------------------------------------------
+@query("word_cloud", f"""{M},
+d AS (SELECT seq, lower(coalesce({_COMB}, '')) AS t FROM mentions),
+tk AS (SELECT seq, {duck_tokenise('t')} AS tok FROM d WHERE position('{P.brand}' IN t) > 0),
+ex AS (SELECT seq, unnest(tok) AS term, generate_subscripts(tok, 1) AS pos FROM tk),
+ag AS (SELECT term, count(*) AS cnt, min((seq, pos)) AS fs FROM ex
+       WHERE length(term) > 3 AND term <> '{P.brand}' GROUP BY term)
+SELECT word, count, rnk FROM (
+  SELECT term AS word, cnt::BIGINT AS count, row_number() OVER (ORDER BY cnt DESC, fs) AS rnk FROM ag)
+WHERE rnk <= 50""")
+def q_word_cloud(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return word_cloud(m, P.brand, combined_text("title", "text"), "seq")
+
+
+# --- R6 search enrichment (BM25 + near-dup + fuzzy, one row per mention) ---------------
+def _search_enrich_sql() -> str:
+    b = _bm25_sql(P.reference_query) + """
+SELECT d.platform, d.id, round(coalesce(sc.s, 0.0), 4) AS bm25_score
+FROM docs d LEFT JOIN sc ON sc.platform = d.platform AND sc.id = d.id"""
+    f = _flags_sql(NEAR_DUP_THRESHOLD)
+    z = f"""{M}
+SELECT platform, id, {_fuzzy_sql_expr(_COMB, P.variants)} AS fuzzy_brand_match FROM mentions"""
+    return f"""SELECT b.platform, b.id, b.bm25_score, f.is_near_duplicate, z.fuzzy_brand_match
+FROM ({b}) b JOIN ({f}) f USING (platform, id) JOIN ({z}) z USING (platform, id)"""
+
+
+@query("search_enrich", _search_enrich_sql())
+def q_search_enrich(spark, sf_dir):
+    from ..operators.search import search_enrich
+    m = _m(spark, sf_dir)
+    return search_enrich(m, P, text=combined_text("title", "text"), prefix_s=0.4).select(
+        "platform", "id", "bm25_score", "is_near_duplicate", "fuzzy_brand_match")

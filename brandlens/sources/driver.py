@@ -35,6 +35,8 @@ _RAW_TOPIC = {
     "view": "chatter",
 }
 _RAW_SENTIMENT = ("VERY_NEGATIVE", "negative", "mixed", "positive", "very_positive", "angry")
+# Languages stand in for the four source platforms.
+_PLATFORM = {"en": "reddit", "fr": "twitter", "de": "playstore", "es": "appstore"}
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +52,17 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = F.element_at(F.array(*[F.lit(s) for s in _RAW_SENTIMENT]),
                         (F.pmod(F.col("user_id"), F.lit(6)) + 1).cast("int"))
     long_words = F.filter(tokenise(F.col("text")), lambda t: F.length(t) >= 8)
+    platform = F.lit("unknown")
+    for k, v in _PLATFORM.items():
+        platform = F.when(F.col("lang") == k, F.lit(v)).otherwise(platform)
+    # a title for sign-up events (first line of the text), '' for clicks, else missing
+    title = (F.when(F.col("event_type") == "signup", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))
+             .when(F.col("event_type") == "click", F.lit("")).otherwise(F.lit(None).cast("string")))
     return j.select(
         F.col("doc_id").cast("string").alias("id"),
-        F.col("lang").alias("platform"),
+        platform.alias("platform"),
         F.col("doc_id").alias("seq"),
-        F.lit(None).cast("string").alias("title"),
+        title.alias("title"),
         F.col("text"),
         F.col("user_id").cast("string").alias("author"),
         F.col("source").alias("channel"),
@@ -104,9 +112,11 @@ def duck_split_words(expr: str) -> str:
 
 def mentions_sql() -> str:
     topic = "CASE " + " ".join(f"WHEN e.event_type = '{k}' THEN '{v}'" for k, v in _RAW_TOPIC.items()) + " END"
+    plat = "CASE " + " ".join(f"WHEN d.lang = '{k}' THEN '{v}'" for k, v in _PLATFORM.items()) + " ELSE 'unknown' END"
     return f"""
-SELECT CAST(d.doc_id AS VARCHAR) AS id, d.lang AS platform, d.doc_id AS seq,
-       CAST(NULL AS VARCHAR) AS title, d.text AS text, CAST(e.user_id AS VARCHAR) AS author,
+SELECT CAST(d.doc_id AS VARCHAR) AS id, {plat} AS platform, d.doc_id AS seq,
+       CASE WHEN e.event_type = 'signup' THEN split_part(d.text, chr(10), 1)
+            WHEN e.event_type = 'click' THEN '' ELSE CAST(NULL AS VARCHAR) END AS title, d.text AS text, CAST(e.user_id AS VARCHAR) AS author,
        d.source AS channel, e.ts AS event_time, CAST(floor(e.value) AS BIGINT) AS votes,
        CAST(((e.user_id % 5 + 5) % 5) + 1 AS INTEGER) AS rating, e.user_id AS user_id,
        e.event_type AS event_type, l.quality AS quality, l.toxic AS toxic,
