@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search_queries  # noqa: F401
+from . import mention_queries, search_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
