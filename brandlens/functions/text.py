@@ -68,7 +68,7 @@ def combined_text(title="title", text="text") -> Column:
 def sentiment_text(platform="platform", title="title", text="text") -> Column:
     """Text scored for sentiment: reddit posts use title + text, other sources text only."""
     t = F.coalesce(_col(text), F.lit(""))
-    both = F.trim(F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), t))
+    both = py_strip(F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), t))
     return F.when(_col(platform) == F.lit("reddit"), both).otherwise(t)
 
 
@@ -130,5 +130,5 @@ def clamp_relevance(raw, default: int = 5) -> Column:
 
 def choose(raw, allowed: Sequence[str], default: str) -> Column:
     """trim + lower, keep if in the allowed set, else default. NULL -> default."""
-    v = F.lower(F.trim(_col(raw)))
+    v = F.lower(py_strip(_col(raw)))
     return F.when(v.isin(list(allowed)), v).otherwise(F.lit(default))

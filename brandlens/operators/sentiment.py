@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SENTIMENT_NEG_CUTOFF, SENTIMENT_POS_CUTOFF
-from ..functions.text import split_words
+from ..functions.text import py_strip, split_words
 
 # Fixed values of the scoring method (published constants).
 NEGATION_SCALAR = -0.74
@@ -74,7 +74,7 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, keys: Sequence[str] =
     keys = list(keys)
     text_col = F.col(text) if isinstance(text, str) else text
     base = docs.select(*keys, text_col.alias("_t")).select(
-        *keys, (F.trim(F.coalesce(F.col("_t"), F.lit(""))) == F.lit("")).alias("_blank"),
+        *keys, (py_strip(F.coalesce(F.col("_t"), F.lit(""))) == F.lit("")).alias("_blank"),
         split_words(F.col("_t")).alias("_tok"))
     # position 0 is a sentinel so every document reaches the aggregate
     ex = base.select(*keys, "_blank", F.size("_tok").alias("_n"),

@@ -181,7 +181,7 @@ def _sentiment_sql_ctes() -> str:
          " ELSE coalesce(text, '') END"
     part = "PARTITION BY platform, id ORDER BY pos"
     return f"""{_lexicon_sql()},
-tk AS (SELECT platform, id, trim({st}) = '' AS blank, list_prepend(NULL, {duck_split_words(st)}) AS tok FROM mentions),
+tk AS (SELECT platform, id, {_strip_sql(st)} = '' AS blank, list_prepend(NULL, {duck_split_words(st)}) AS tok FROM mentions),
 ex AS (SELECT platform, id, blank, len(tok) - 1 AS n, unnest(tok) AS word, generate_subscripts(tok, 1) - 1 AS pos FROM tk),
 hits AS (SELECT ex.*, lx.valence, lx.neg, lx.boost FROM ex LEFT JOIN lx USING (word)
          WHERE ex.pos = 0 OR lx.valence IS NOT NULL),
@@ -238,10 +238,11 @@ def _sanitise_sql() -> str:
     rel = ("CASE WHEN TRY_CAST(raw_relevance AS DOUBLE) IS NULL OR isnan(TRY_CAST(raw_relevance AS DOUBLE)) "
            "OR isinf(TRY_CAST(raw_relevance AS DOUBLE)) THEN 5 ELSE "
            "CAST(trunc(greatest(0.0, least(10.0, TRY_CAST(raw_relevance AS DOUBLE)))) AS INTEGER) END")
-    top = (f"CASE WHEN lower(trim(raw_topic)) IN ({', '.join(repr(t) for t in TOPICS)}) "
-           "THEN lower(trim(raw_topic)) ELSE 'general' END")
-    sen = (f"CASE WHEN lower(trim(raw_sentiment)) IN ({', '.join(repr(t) for t in LLM_SENTIMENTS)}) "
-           "THEN lower(trim(raw_sentiment)) ELSE 'mixed' END")
+    tp, sp = _strip_sql("raw_topic"), _strip_sql("raw_sentiment")
+    top = (f"CASE WHEN lower({tp}) IN ({', '.join(repr(t) for t in TOPICS)}) "
+           f"THEN lower({tp}) ELSE 'general' END")
+    sen = (f"CASE WHEN lower({sp}) IN ({', '.join(repr(t) for t in LLM_SENTIMENTS)}) "
+           f"THEN lower({sp}) ELSE 'mixed' END")
     return f"""san0 AS (SELECT *, {rel} AS relevance, {top} AS topic0, {sen} AS llm_sentiment,
                  coalesce(list_slice(raw_phrases, 1, 3), []) AS key_phrases FROM mentions),
 san AS (SELECT * EXCLUDE (topic0), CASE WHEN relevance < 7 THEN 'irrelevant' ELSE topic0 END AS topic,
