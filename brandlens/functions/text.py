@@ -32,12 +32,15 @@ def split_words(c) -> Column:
 
 
 def tokenise(c, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Search tokens: split_words minus stop words and 1-character tokens."""
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
+    """Search tokens: split_words minus stop words and 1-character tokens.
+
+    The stop list is an IN list, which Catalyst turns into a hash-set lookup (INSET).
+    """
     parts = F.split(blank_punctuation(F.coalesce(_col(c), F.lit(""))), WHITESPACE_RE)
-    if stop is None:
+    if not stop_words:
         return F.filter(parts, lambda x: F.length(x) > 1)
-    return F.filter(parts, lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
+    stop = list(stop_words)
+    return F.filter(parts, lambda x: (F.length(x) > 1) & ~x.isin(stop))
 
 
 def tokenise_py(text: str | None, stop_words: Iterable[str] = STOP_WORDS) -> list[str]:

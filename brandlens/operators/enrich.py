@@ -6,7 +6,7 @@ new --> search enrichment (BM25 / near-dup / fuzzy over the new rows as corpus)
 result = cached rows (whole) + enriched new rows; meta = counts of the run.
 
 The new-row slice feeds three branches (search, batching, result), so it is
-checkpointed once to the shared checkpoint folder instead of being recomputed.
+written once to the shared checkpoint folder instead of being recomputed.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NEAR_DUP_THRESHOLD, BrandProfile
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialise
 from .classify import (ANSWER_FIELDS, assign_batches, batch_prompts, call_model, incremental_overlay,
                        parse_answers, sanitise_answer, zip_batch_results, DEFAULT_PROMPT)
 from .reports import newest_first_order
@@ -39,7 +39,7 @@ def enrich_incremental(current: DataFrame, previous: DataFrame | None, profile:
     over = incremental_overlay(current, previous, keys, fields)
     ensure_checkpoint_dir(current.sparkSession)
     base_cols = [c for c in current.columns]
-    new = over.where(F.col("is_new")).select(*base_cols).checkpoint()
+    new = materialise(over.where(F.col("is_new")).select(*base_cols), "enrich-new")
     cached = over.where(~F.col("is_new"))
 
     s = search_enrich(new, profile, keys, threshold=threshold, prefix_s=prefix_s)

@@ -75,3 +75,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_parallelism(df, *keys: str, min_partitions: int | None = None):
+    """Hash-repartition `df` on `keys` only when it has fewer partitions than the cluster
+    can run at once (e.g. one unsplittable file). Large inputs already arrive in many
+    splits and pass through untouched, so this adds no shuffle at scale."""
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def materialise(df, name: str = "stage"):
+    """Cut lineage by writing `df` as Parquet under the shared checkpoint folder and
+    reading it back. Unlike an RDD checkpoint the plan runs once, the files are
+    columnar (later reads prune columns), and a lost executor never forces a
+    recomputation of what was written."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenise
+from ..session import ensure_parallelism
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -41,7 +42,8 @@ _PLATFORM = {"en": "reddit", "fr": "twitter", "de": "playstore", "es": "appstore
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified mention rows (one per document with a matching event)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = ensure_parallelism(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = docs.join(ev, ev["event_id"] == docs["doc_id"] * F.lit(5)).join(lab, "doc_id", "left")
