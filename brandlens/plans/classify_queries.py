@@ -164,7 +164,7 @@ def q_incremental_overlay(spark, sf_dir):
 def q_incremental_enrich(spark, sf_dir):
     m = _m(spark, sf_dir)
     cur = m.select("platform", "id", "seq", "title", "text", "event_time", "votes")
-    out, _ = enrich_incremental(cur, _previous_run(m), P, offline_model, prefix_s=0.4)
+    out, _ = enrich_incremental(cur, _previous_run(m), P, offline_model)
     return out.select("platform", "id", "is_new", "relevance", "topic", "llm_sentiment", "is_critical",
                       "bm25_score", "is_near_duplicate", "fuzzy_brand_match")
 

@@ -190,7 +190,7 @@ SELECT m.platform, m.id, m.seq IN (SELECT node FROM dups) AS is_near_duplicate F
 def q_near_duplicate_pairs(spark, sf_dir):
     m = _m(spark, sf_dir)
     p = near_duplicate_pairs(m, ("platform", "id"), "seq", "platform", combined_text("title", "text"),
-                             NEAR_DUP_THRESHOLD, prefix_s=0.4)
+                             NEAR_DUP_THRESHOLD)
     return p.select("a_platform", "a_id", "b_platform", "b_id", F.round("cosine", 6).alias("cosine"))
 
 
@@ -198,14 +198,14 @@ def q_near_duplicate_pairs(spark, sf_dir):
 def q_near_duplicate_flags(spark, sf_dir):
     m = _m(spark, sf_dir)
     return near_duplicate_flags(m, ("platform", "id"), "seq", "platform", combined_text("title", "text"),
-                                NEAR_DUP_THRESHOLD, prefix_s=0.4)
+                                NEAR_DUP_THRESHOLD)
 
 
 @query("near_duplicate_flags_t05", _flags_sql(0.5))
 def q_near_duplicate_flags_t05(spark, sf_dir):
     m = _m(spark, sf_dir)
     return near_duplicate_flags(m, ("platform", "id"), "seq", "platform", combined_text("title", "text"),
-                                0.5, prefix_s=0.25)
+                                0.5)
 
 
 @query("near_dup_count", M.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
@@ -215,7 +215,7 @@ SELECT m.platform, count(*) FILTER (WHERE m.seq IN (SELECT node FROM dups))::BIG
 def q_near_dup_count(spark, sf_dir):
     m = _m(spark, sf_dir)
     f = near_duplicate_flags(m, ("platform", "id"), "seq", "platform", combined_text("title", "text"),
-                             NEAR_DUP_THRESHOLD, prefix_s=0.4)
+                             NEAR_DUP_THRESHOLD)
     return f.groupBy("platform").agg(F.count_if("is_near_duplicate").cast("bigint").alias("near_duplicates"),
                                      F.count(F.lit(1)).cast("bigint").alias("total"))
 
@@ -292,5 +292,5 @@ FROM ({b}) b JOIN ({f}) f USING (platform, id) JOIN ({z}) z USING (platform, id)
 def q_search_enrich(spark, sf_dir):
     from ..operators.search import search_enrich
     m = _m(spark, sf_dir)
-    return search_enrich(m, P, text=combined_text("title", "text"), prefix_s=0.4).select(
+    return search_enrich(m, P, text=combined_text("title", "text")).select(
         "platform", "id", "bm25_score", "is_near_duplicate", "fuzzy_brand_match")
