@@ -133,3 +133,34 @@ def digest_samples(df: DataFrame, order: Sequence[Column],
     r = r.where(F.col("rn") <= F.lit(max(k.values()))).where(F.col("rn") <= lim)
     return r.select("*", F.substring(F.coalesce(first_nonempty("title", "text"), F.lit("")), 1, snippet)
                     .alias("snippet")).withColumn("rn", F.col("rn").cast("bigint"))
+
+
+def digest_text(stats: DataFrame, samples: DataFrame, as_of: str, days: int,
+                buckets: Sequence[tuple[str, str]] = (("negative", "Top negative mentions"),
+                                                      ("positive", "Top positive mentions"),
+                                                      ("bug", "Bug reports"),
+                                                      ("feature", "Feature requests"))) -> DataFrame:
+    """One row `text`: the weekly digest body (header, counts, sample snippets per bucket).
+
+    `stats` is the long-form (dimension, key, n) of the look-back window and `samples`
+    the output of `digest_samples`; both are bounded (a few keys, k rows per bucket), so
+    gathering them into one row moves at most a few dozen rows.
+    """
+    since = F.date_format(F.date_sub(F.lit(as_of).cast("date"), days), "yyyy-MM-dd")
+    plat = stats.where(F.col("dimension") == "platform").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.col("key"), F.lit(": "), F.col("n").cast("string")))),
+                     ", ").alias("by_platform"))
+    tot = stats.agg(F.max(F.when(F.col("dimension") == "total", F.col("n"))).alias("total"),
+                    F.max(F.when(F.col("dimension") == "critical", F.col("n"))).alias("critical"))
+    parts = []
+    for b, title in buckets:
+        lines = samples.where(F.col("bucket") == b).agg(
+            F.array_sort(F.collect_list(F.struct("rn", F.concat(F.lit("- "), F.col("snippet")).alias("l"))))
+            .alias("xs")).select(F.coalesce(F.nullif(F.array_join(F.transform("xs", lambda x: x["l"]), "\n"),
+                                                     F.lit("")), F.lit("None")).alias("t"))
+        parts.append(F.concat(F.lit(f"\n{title}:\n"), lines.scalar()))
+    header = F.concat(F.lit("Weekly digest "), F.lit(as_of), F.lit("\nData from "), since, F.lit(" to "),
+                      F.lit(as_of), F.lit(":\n- Total mentions: "), F.col("total").cast("string"),
+                      F.lit("\n- By platform: "), F.coalesce(plat.scalar(), F.lit("")),
+                      F.lit("\n- Critical bugs flagged: "), F.col("critical").cast("string"), F.lit("\n"))
+    return tot.select(F.concat(header, *parts).alias("text"))

@@ -12,7 +12,7 @@ from ..operators import gates
 from ..operators.dedup import append_unseen, dedup_first
 from ..operators.reports import global_rank, newest_first_order, rank_by
 from ..operators.rollups import (alert_status, breakdown_share, count_by, count_by_sentiment,
-                                 daily_counts, digest_samples, meta_rollup, sentiment_trend)
+                                 daily_counts, digest_samples, digest_text, meta_rollup, sentiment_trend)
 from ..operators.sentiment import lexicon_sentiment, lexicon_table
 from ..operators.classify import sanitise
 from ..session import prepare
@@ -393,3 +393,50 @@ def q_top_engagement(spark, sf_dir):
     m = _m(spark, sf_dir)
     return rank_by(m, [F.col("votes").desc(), F.col("seq").asc()], limit=15).select(
         "platform", "id", "votes", "rnk")
+
+
+# --- T1 / S12 weekly digest text ------------------------------------------------------
+def _digest_sql() -> str:
+    def bucket(b: str, title: str) -> str:
+        return (f"'\n{title}:\n' || coalesce((SELECT string_agg('- ' || snippet, chr(10) ORDER BY rn) "
+                f"FROM samp WHERE bucket = '{b}'), 'None')")
+    return f"""{M}, {_sanitise_sql()},
+w AS (SELECT * FROM san WHERE event_time >= {_SINCE}),
+b AS (SELECT 'negative' AS bucket, 10 AS k, * FROM w WHERE llm_sentiment IN ('very_negative', 'negative')
+      UNION ALL SELECT 'positive', 10, * FROM w WHERE llm_sentiment IN ('very_positive', 'positive')
+      UNION ALL SELECT 'bug', 5, * FROM w WHERE topic = 'bug_report'
+      UNION ALL SELECT 'feature', 5, * FROM w WHERE topic = 'feature_request'),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY event_time DESC NULLS LAST, seq) AS rn FROM b),
+samp AS (SELECT bucket, rn, substring(coalesce(nullif(title, ''), nullif(text, ''), ''), 1, {DIGEST_SNIPPET}) AS snippet
+         FROM r WHERE rn <= k),
+pl AS (SELECT string_agg(p || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY p || ': ' || CAST(n AS VARCHAR)) AS s
+       FROM (SELECT coalesce(platform, 'unknown') AS p, count(*) AS n FROM w GROUP BY 1))
+SELECT 'Weekly digest {AS_OF}' || chr(10) || 'Data from ' || strftime(DATE '{AS_OF}' - INTERVAL {DIGEST_DAYS} DAY, '%Y-%m-%d')
+  || ' to {AS_OF}:' || chr(10) || '- Total mentions: ' || (SELECT count(*) FROM w)
+  || chr(10) || '- By platform: ' || coalesce((SELECT s FROM pl), '')
+  || chr(10) || '- Critical bugs flagged: ' || (SELECT count(*) FILTER (WHERE is_critical) FROM w) || chr(10)
+  || {bucket('negative', 'Top negative mentions')} || {bucket('positive', 'Top positive mentions')}
+  || {bucket('bug', 'Bug reports')} || {bucket('feature', 'Feature requests')} AS text"""
+
+
+@query("weekly_digest", _digest_sql())
+def q_weekly_digest(spark, sf_dir):
+    w = _sanitised(_m(spark, sf_dir)).where(gates.lookback(AS_OF))
+    stats = meta_rollup(w, dims={"platform": "unknown"}, sentiment=False)
+    samples = digest_samples(w, newest_first_order())
+    return digest_text(stats, samples, AS_OF, DIGEST_DAYS)
+
+
+# --- O4 browse sorted by most negative lexicon sentiment ----------------------------------
+@query("browse_most_negative", f"""{M}, {_sentiment_sql_ctes()}
+SELECT platform, id, compound, rnk FROM (
+  SELECT m.platform, m.id, l.compound, row_number() OVER (ORDER BY l.compound ASC NULLS LAST, m.seq) AS rnk
+  FROM mentions m JOIN lab l USING (platform, id)
+  WHERE m.event_time >= {_SINCE} AND m.platform = 'twitter')""")
+def q_browse_most_negative(spark, sf_dir):
+    from ..operators.browse import browse
+    m = _m(spark, sf_dir)
+    s = _sentiment(spark, m).select("platform", "id", "compound")
+    b = browse(m.select("platform", "id", "seq", "title", "text", "event_time").join(s, ["platform", "id"]),
+               platform="twitter", since_days=DIGEST_DAYS, as_of=AS_OF, sort="most_negative")
+    return b.select("platform", "id", "compound", "rnk")
