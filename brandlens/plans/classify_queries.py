@@ -16,7 +16,7 @@ from ..operators.enrich import enrich_incremental
 from ..operators.reports import newest_first_order, rank_by
 from ..session import prepare
 from ..sources.driver import mentions, mentions_sql
-from .mention_queries import _LANDED_SQL, _landed, _sanitise_sql
+from .mention_queries import _LANDED_SQL, _landed, _sanitise_sql, sanitise_exprs_sql
 from .registry import query
 
 M = f"WITH mentions AS ({mentions_sql()})"
@@ -91,18 +91,61 @@ def _batched(spark, sf_dir) -> DataFrame:
     return assign_batches(_m(spark, sf_dir), newest_first_order())
 
 
-# --- C4 parse (rows-only check; golden cases are unit-tested) -------------------------
-@query("parse_responses")
+# --- C4 parse (golden cases are unit-tested too) ----------------------------------------
+_FENCE = "`" * 3
+_OBJ_RE = r"\{[^{}]+\}"
+
+
+def _responses_sql() -> str:
+    """DuckDB twin of `_responses` (same stand-in texts) plus the 4-level parse."""
+    ans = ("{'relevance': raw_relevance, 'topic': raw_topic, 'llm_sentiment': raw_sentiment, "
+           "'key_phrases': raw_phrases}")
+    strip = lambda e: _strip_sql(e)
+    return f"""{M},
+b AS (SELECT *, (row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) // 5 AS batch_id,
+             (row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) % 5 AS pos FROM mentions),
+g AS (SELECT batch_id, count(*)::INTEGER AS n, CAST(to_json(list({ans} ORDER BY pos)) AS VARCHAR) AS arr,
+             CAST(to_json(list({ans} ORDER BY pos)[1]) AS VARCHAR) AS first FROM b GROUP BY batch_id),
+resp AS (SELECT batch_id, n, CASE batch_id % 7
+    WHEN 0 THEN arr WHEN 1 THEN '{_FENCE}json' || chr(10) || arr || chr(10) || '{_FENCE}'
+    WHEN 2 THEN 'Here you go: ' || arr || ' hope it helps' WHEN 3 THEN substring(arr, 1, length(arr) - 12)
+    WHEN 4 THEN 'no answer' WHEN 5 THEN '[' || first || ']' ELSE first END AS response FROM g),
+t0 AS (SELECT batch_id, n, {strip(f"regexp_replace(regexp_replace({strip('response')}, '(?m)^{_FENCE}[a-z]*\n?', '', 'g'), '(?m)\n?{_FENCE}$', '', 'g')")} AS t FROM resp),
+t1 AS (SELECT *, strpos(t, '[') AS lb, strpos(reverse(t), ']') AS rr FROM t0),
+t2 AS (SELECT *, CASE WHEN lb > 0 AND rr > 0 AND length(t) - rr + 1 > lb
+                      THEN substring(t, lb, length(t) - rr + 1 - lb + 1) END AS sliced FROM t1),
+t3 AS (SELECT *, CASE WHEN json_valid(sliced) AND json_type(CAST(sliced AS JSON)) = 'ARRAY'
+                      THEN CAST(sliced AS JSON[]) END AS arr_el,
+              list_filter(regexp_extract_all(t, '{_OBJ_RE}'), lambda e: json_valid(e)) AS rec FROM t2),
+t4 AS (SELECT batch_id, n, CASE WHEN arr_el IS NOT NULL THEN list_transform(arr_el, lambda e: CAST(e AS VARCHAR))
+                           WHEN len(rec) > 0 THEN rec ELSE [] END AS chosen FROM t3),
+t5 AS (SELECT batch_id, n, list_slice(chosen, 1, n) AS head FROM t4),
+t6 AS (SELECT batch_id, n, CASE WHEN len(list_filter(head, lambda e: json_type(CAST(e AS JSON)) <> 'OBJECT')) > 0
+                           THEN [] ELSE head END AS head FROM t5),
+ex AS (SELECT batch_id, n, p.pos - 1 AS pos, head[p.pos] AS e FROM t6, generate_series(1, n) AS p(pos))"""
+
+
+@query("parse_responses", _responses_sql() + """
+SELECT batch_id, pos::INTEGER AS pos, json_extract_string(e, '$.relevance') AS relevance,
+       json_extract_string(e, '$.topic') AS topic, json_extract_string(e, '$.llm_sentiment') AS llm_sentiment FROM ex""")
 def q_parse_responses(spark, sf_dir):
     r = _responses(_batched(spark, sf_dir))
     p = r.select("batch_id", "n", parse_answers(F.col("response"), F.col("n")).alias("answers"))
     return p.select("batch_id", "n", F.posexplode("answers").alias("pos", "answer")).select(
-        "batch_id", "pos", F.col("answer")["relevance"].alias("relevance"),
+        "batch_id", F.col("pos").cast("int").alias("pos"), F.col("answer")["relevance"].alias("relevance"),
         F.col("answer")["topic"].alias("topic"), F.col("answer")["llm_sentiment"].alias("llm_sentiment"))
 
 
 # --- J5 positional zip + C5 on parsed answers ---------------------------------------
-@query("zip_batch_results")
+_KP = "json_extract(e, '$.key_phrases')"
+_KP_LIST = (f"CASE WHEN json_type({_KP}) = 'ARRAY' THEN json_transform({_KP}, '[\"VARCHAR\"]') END")
+
+
+@query("zip_batch_results", _responses_sql() + f""",
+z AS (SELECT b.platform, b.id, b.batch_id::BIGINT AS batch_id, b.pos::INTEGER AS pos_in_batch, ex.e
+      FROM b LEFT JOIN ex ON ex.batch_id = b.batch_id AND ex.pos = b.pos)
+SELECT platform, id, batch_id, pos_in_batch, {sanitise_exprs_sql("json_extract_string(e, '$.relevance')",
+    "json_extract_string(e, '$.topic')", "json_extract_string(e, '$.llm_sentiment')", _KP_LIST)} FROM z""")
 def q_zip_batch_results(spark, sf_dir):
     b = _batched(spark, sf_dir)
     r = _responses(b)

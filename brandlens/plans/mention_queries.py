@@ -234,20 +234,25 @@ def _sanitised(m: DataFrame) -> DataFrame:
                                    F.col("raw_phrases")))
 
 
+def sanitise_exprs_sql(rel: str, topic: str, sent: str, phrases: str) -> str:
+    """DuckDB select list: relevance, topic, llm_sentiment, key_phrases, is_critical."""
+    d = f"TRY_CAST({rel} AS DOUBLE)"
+    r = (f"(CASE WHEN {d} IS NULL OR isnan({d}) OR isinf({d}) THEN 5 ELSE "
+         f"CAST(trunc(greatest(0.0, least(10.0, {d}))) AS INTEGER) END)")
+    tp, sp = _strip_sql(topic), _strip_sql(sent)
+    t0 = (f"(CASE WHEN lower({tp}) IN ({', '.join(repr(t) for t in TOPICS)}) "
+          f"THEN lower({tp}) ELSE 'general' END)")
+    t = f"(CASE WHEN {r} < 7 THEN 'irrelevant' ELSE {t0} END)"
+    se = (f"(CASE WHEN lower({sp}) IN ({', '.join(repr(t) for t in LLM_SENTIMENTS)}) "
+          f"THEN lower({sp}) ELSE 'mixed' END)")
+    return (f"{r} AS relevance, {t} AS topic, {se} AS llm_sentiment, "
+            f"coalesce(list_slice({phrases}, 1, 3), []) AS key_phrases, "
+            f"({t} = 'bug_report' AND {se} = 'very_negative') AS is_critical")
+
+
 def _sanitise_sql() -> str:
-    rel = ("CASE WHEN TRY_CAST(raw_relevance AS DOUBLE) IS NULL OR isnan(TRY_CAST(raw_relevance AS DOUBLE)) "
-           "OR isinf(TRY_CAST(raw_relevance AS DOUBLE)) THEN 5 ELSE "
-           "CAST(trunc(greatest(0.0, least(10.0, TRY_CAST(raw_relevance AS DOUBLE)))) AS INTEGER) END")
-    tp, sp = _strip_sql("raw_topic"), _strip_sql("raw_sentiment")
-    top = (f"CASE WHEN lower({tp}) IN ({', '.join(repr(t) for t in TOPICS)}) "
-           f"THEN lower({tp}) ELSE 'general' END")
-    sen = (f"CASE WHEN lower({sp}) IN ({', '.join(repr(t) for t in LLM_SENTIMENTS)}) "
-           f"THEN lower({sp}) ELSE 'mixed' END")
-    return f"""san0 AS (SELECT *, {rel} AS relevance, {top} AS topic0, {sen} AS llm_sentiment,
-                 coalesce(list_slice(raw_phrases, 1, 3), []) AS key_phrases FROM mentions),
-san AS (SELECT * EXCLUDE (topic0), CASE WHEN relevance < 7 THEN 'irrelevant' ELSE topic0 END AS topic,
-        (CASE WHEN relevance < 7 THEN 'irrelevant' ELSE topic0 END) = 'bug_report'
-          AND llm_sentiment = 'very_negative' AS is_critical FROM san0)"""
+    return f"""san AS (SELECT *, {sanitise_exprs_sql('raw_relevance', 'raw_topic', 'raw_sentiment', 'raw_phrases')}
+             FROM mentions)"""
 
 
 @query("sanitise_labels", f"""{M}, {_sanitise_sql()}
