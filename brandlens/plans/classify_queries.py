@@ -155,7 +155,26 @@ def q_zip_batch_results(spark, sf_dir):
 
 
 # --- C3 model call through mapInPandas (offline deterministic model) -----------------
-@query("classify_batches")
+def _classify_sql() -> str:
+    """The offline model's rules in SQL, applied to the same prompt item bodies."""
+    joined = "coalesce(title, '') || ' ' || coalesce(text, '')"
+    body = f"substring({_strip_sql(joined)}, 1, {MAX_PROMPT_TEXT})"
+    words = f"list_filter(regexp_split_to_array(lower(body), '{_WS}+'), lambda x: x <> '')"
+    return f"""{M},
+b AS (SELECT *, (row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) // 5 AS batch_id FROM mentions),
+it AS (SELECT platform, id, batch_id, {body} AS body FROM b),
+wd AS (SELECT *, {words} AS words FROM it),
+mo AS (SELECT platform, id, batch_id, CAST(least(10, len(words) // 8) AS VARCHAR) AS rel,
+         CASE WHEN len(list_filter(words, lambda w: starts_with(w, 'crash') OR starts_with(w, 'bug')
+                                            OR starts_with(w, 'error'))) > 0 THEN 'bug_report'
+              WHEN right(regexp_replace(body, '{_WS}+$', ''), 1) = '?' THEN 'question' ELSE 'general' END AS top,
+         list_slice(list_sort(list_distinct(list_filter(words, lambda w: length(w) > 6))), 1, 3) AS kp FROM wd)
+SELECT platform, id, batch_id::BIGINT AS batch_id,
+       {sanitise_exprs_sql("rel", "top", "CASE WHEN top = 'bug_report' THEN 'negative' ELSE 'mixed' END", "kp")}
+FROM mo"""
+
+
+@query("classify_batches", _classify_sql())
 def q_classify_batches(spark, sf_dir):
     b = _batched(spark, sf_dir)
     prompts = batch_prompts(b)
