@@ -135,13 +135,21 @@ def digest_samples(df: DataFrame, order: Sequence[Column],
                     .alias("snippet")).withColumn("rn", F.col("rn").cast("bigint"))
 
 
+def is_digest_day(as_of: str, force: bool = False) -> Column:
+    """The digest is produced on Sundays, or whenever forced."""
+    return F.lit(True) if force else F.dayofweek(F.lit(as_of).cast("date")) == F.lit(1)
+
+
 def digest_text(stats: DataFrame, samples: DataFrame, as_of: str, days: int,
                 buckets: Sequence[tuple[str, str]] = (("negative", "Top negative mentions"),
                                                       ("positive", "Top positive mentions"),
                                                       ("bug", "Bug reports"),
-                                                      ("feature", "Feature requests"))) -> DataFrame:
+                                                      ("feature", "Feature requests")),
+                force: bool = True) -> DataFrame:
     """One row `text`: the weekly digest body (header, counts, sample snippets per bucket).
 
+    No row unless `as_of` is a Sunday or `force` is set.
+
     `stats` is the long-form (dimension, key, n) of the look-back window and `samples`
     the output of `digest_samples`; both are bounded (a few keys, k rows per bucket), so
     gathering them into one row moves at most a few dozen rows.
@@ -163,4 +171,4 @@ def digest_text(stats: DataFrame, samples: DataFrame, as_of: str, days: int,
                       F.lit(as_of), F.lit(":\n- Total mentions: "), F.col("total").cast("string"),
                       F.lit("\n- By platform: "), F.coalesce(plat.scalar(), F.lit("")),
                       F.lit("\n- Critical bugs flagged: "), F.col("critical").cast("string"), F.lit("\n"))
-    return tot.select(F.concat(header, *parts).alias("text"))
+    return tot.where(is_digest_day(as_of, force)).select(F.concat(header, *parts).alias("text"))

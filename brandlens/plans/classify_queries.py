@@ -155,12 +155,12 @@ def q_zip_batch_results(spark, sf_dir):
 
 
 # --- C3 model call through mapInPandas (offline deterministic model) -----------------
-def _classify_sql() -> str:
+def _classify_sql(m: str = M) -> str:
     """The offline model's rules in SQL, applied to the same prompt item bodies."""
     joined = "coalesce(title, '') || ' ' || coalesce(text, '')"
     body = f"substring({_strip_sql(joined)}, 1, {MAX_PROMPT_TEXT})"
     words = f"list_filter(regexp_split_to_array(lower(body), '{_WS}+'), lambda x: x <> '')"
-    return f"""{M},
+    return f"""{m},
 b AS (SELECT *, (row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) // 5 AS batch_id FROM mentions),
 it AS (SELECT platform, id, batch_id, {body} AS body FROM b),
 wd AS (SELECT *, {words} AS words FROM it),
@@ -222,7 +222,22 @@ def q_incremental_overlay(spark, sf_dir):
     return o.select("platform", "id", "is_new", "votes", "topic", "relevance")
 
 
-@query("incremental_enrich")
+def _incremental_sql() -> str:
+    """Cached rows as they were + new rows enriched with the new rows as corpus."""
+    from .search_queries import _search_enrich_sql
+    m_new = (f"WITH mentions AS (SELECT * FROM ({mentions_sql()}) base WHERE NOT "
+             f"(base.event_time < TIMESTAMP '{_PREV_BEFORE}' AND len(base.raw_phrases) > 0))")
+    cached = f"""{M}, {_PREV_SQL}
+SELECT platform, id, false AS is_new, relevance, topic, llm_sentiment, is_critical,
+       NULL::DOUBLE AS bm25_score, NULL::BOOLEAN AS is_near_duplicate, NULL::BOOLEAN AS fuzzy_brand_match
+FROM cache"""
+    new = f"""SELECT c.platform, c.id, true AS is_new, c.relevance, c.topic, c.llm_sentiment, c.is_critical,
+       s.bm25_score, s.is_near_duplicate, s.fuzzy_brand_match
+FROM ({_classify_sql(m_new)}) c JOIN ({_search_enrich_sql(m_new)}) s USING (platform, id)"""
+    return f"SELECT * FROM ({cached}) UNION ALL SELECT * FROM ({new})"
+
+
+@query("incremental_enrich", _incremental_sql())
 def q_incremental_enrich(spark, sf_dir):
     m = _m(spark, sf_dir)
     cur = m.select("platform", "id", "seq", "title", "text", "event_time", "votes")

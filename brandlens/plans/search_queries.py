@@ -33,11 +33,11 @@ def q_tokenise(spark, sf_dir):
 
 
 # --- R1 BM25 -----------------------------------------------------------------------
-def _bm25_sql(query_text: str) -> str:
+def _bm25_sql(query_text: str, m: str = M) -> str:
     q_all = tokenise_py(query_text)
     q_unique = list(dict.fromkeys(q_all))
     qvals = ", ".join(f"('{t}', {q_all.count(t)})" for t in q_unique) or "(NULL, 0)"
-    return f"""{M},
+    return f"""{m},
 docs AS (SELECT platform, id, seq, {duck_tokenise("concat_ws(' ', nullif(title, ''), nullif(text, ''))")} AS tok
          FROM mentions),
 q(term, mult) AS (VALUES {qvals}),
@@ -180,8 +180,8 @@ fin AS (SELECT kept FROM r ORDER BY k DESC LIMIT 1),
 dups AS (SELECT gn.node FROM gn, fin WHERE NOT list_contains(fin.kept, gn.node))"""
 
 
-def _flags_sql(t: float) -> str:
-    return M.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+def _flags_sql(t: float, m: str = M) -> str:
+    return m.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 {_flags_body(t)}
 SELECT m.platform, m.id, m.seq IN (SELECT node FROM dups) AS is_near_duplicate FROM mentions m"""
 
@@ -277,12 +277,12 @@ def q_word_cloud(spark, sf_dir):
 
 
 # --- R6 search enrichment (BM25 + near-dup + fuzzy, one row per mention) ---------------
-def _search_enrich_sql() -> str:
-    b = _bm25_sql(P.reference_query) + """
+def _search_enrich_sql(m: str = M) -> str:
+    b = _bm25_sql(P.reference_query, m) + """
 SELECT d.platform, d.id, round(coalesce(sc.s, 0.0), 4) AS bm25_score
 FROM docs d LEFT JOIN sc ON sc.platform = d.platform AND sc.id = d.id"""
-    f = _flags_sql(NEAR_DUP_THRESHOLD)
-    z = f"""{M}
+    f = _flags_sql(NEAR_DUP_THRESHOLD, m)
+    z = f"""{m}
 SELECT platform, id, {_fuzzy_sql_expr(_COMB, P.variants)} AS fuzzy_brand_match FROM mentions"""
     return f"""SELECT b.platform, b.id, b.bm25_score, f.is_near_duplicate, z.fuzzy_brand_match
 FROM ({b}) b JOIN ({f}) f USING (platform, id) JOIN ({z}) z USING (platform, id)"""
