@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DRIVER_AS_OF, DRIVER_PROFILE, MAX_PROMPT_TEXT
-from ..functions.text import WHITESPACE_RE, combined_text
-from ..operators import gates
+from ..functions.text import WHITESPACE_RE
 from ..operators.classify import (assign_batches, batch_prompts, cache_admission, call_model,
                                   incremental_overlay, offline_model, parse_answers, sanitise,
                                   sanitise_answer, zip_batch_results)
 from ..operators.dedup import append_unseen
 from ..operators.enrich import enrich_incremental
-from ..operators.reports import newest_first_order, rank_by
+from ..operators.reports import newest_first_order
 from ..session import prepare
 from ..sources.driver import mentions, mentions_sql
 from .mention_queries import _LANDED_SQL, _landed, _sanitise_sql, sanitise_exprs_sql
