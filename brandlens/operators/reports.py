@@ -6,10 +6,10 @@ Global order without a single-partition window
 DataFrame form: range-partition on the ordering (explicit partition count, so AQE does
 not coalesce it and partition ids stay in range order), sort inside each partition,
 number rows locally with `monotonically_increasing_id` (partition id in the high bits,
-row index in the low 33 bits), then add the row count of all earlier partitions. The
-only extra data moved is one row per partition. The ordering must be a total order:
-pass a unique tiebreaker as the last key, which also splits a heavily repeated value
-over several range partitions.
+row index in the low 33 bits), write that table once to the checkpoint folder, then add
+the row count of all earlier partitions (one row per partition, broadcast). The ordering
+must be a total order: pass a unique tiebreaker as the last key, which also splits a
+heavily repeated value over several range partitions.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -33,6 +35,10 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rnk",
     r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
+    # Written once: the counts and the numbering must come from the same partitioning.
+    # Two evaluations of a range exchange sample their bounds independently, so they
+    # can disagree; the written table (shared checkpoint folder) fixes pid and index.
+    r = materialise(r, "rank")
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: safe to number in a single task and to broadcast
