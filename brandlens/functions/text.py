@@ -80,11 +80,20 @@ def first_nonempty(*cols) -> Column:
     return F.coalesce(*[nullif_empty(c) for c in cols])
 
 
-def contains_any(c, words: Sequence[str]) -> Column:
-    """True if the lower-cased text contains any of the words as a substring."""
+def contains_any(c, words: Sequence[str], whole_word: bool = False) -> Column:
+    """True if the lower-cased text contains any of the words.
+
+    Substring semantics by default (so "app" matches "happy", as in the original); with
+    `whole_word`, a match must not touch another letter, digit or underscore.
+    """
     if not words:
         return F.lit(False)
     lc = F.lower(F.coalesce(_col(c), F.lit("")))
+    if whole_word:
+        import re
+
+        alt = "|".join(re.escape(w.lower()) for w in words)
+        return lc.rlike(f"(?<!{WORD_CHARS})(?:{alt})(?!{WORD_CHARS})")
     out = None
     for w in words:
         e = F.instr(lc, w.lower()) > 0

@@ -30,19 +30,29 @@ def enrich_incremental(current: DataFrame, previous: DataFrame | None, profile:
                        model_fn: Callable[[str], str] | None,
                        keys: Sequence[str] = ("platform", "id"), prompt: str = DEFAULT_PROMPT,
                        threshold: float = NEAR_DUP_THRESHOLD,
-                       prefix_s: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(enriched rows, one-row meta). `previous` is the last enriched output or None."""
+                       prefix_s: float | None = None, search: bool = True,
+                       refresh_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(enriched rows, one-row meta). `previous` is the last enriched output or None.
+
+    `search=False` skips the BM25 / near-duplicate / fuzzy stage (its columns stay NULL),
+    as the single-source variant of the original does; `refresh_cols` are taken from
+    the current rows even for cached ones.
+    """
     keys = list(keys)
     fields = ANSWER_FIELDS + SEARCH_FIELDS
     if previous is None:
         previous = current.limit(0).select(*keys, *[F.lit(None).alias(f) for f in fields])
-    over = incremental_overlay(current, previous, keys, fields)
+    over = incremental_overlay(current, previous, keys, fields, refresh_cols)
     ensure_checkpoint_dir(current.sparkSession)
     base_cols = [c for c in current.columns]
     new = materialise(over.where(F.col("is_new")).select(*base_cols), "enrich-new")
     cached = over.where(~F.col("is_new"))
 
-    s = search_enrich(new, profile, keys, threshold=threshold, prefix_s=prefix_s)
+    if search:
+        s = search_enrich(new, profile, keys, threshold=threshold, prefix_s=prefix_s)
+    else:
+        s = new.select("*", *[F.lit(None).cast(t).alias(f) for f, t in
+                              zip(SEARCH_FIELDS, ("double", "boolean", "boolean"))])
     if model_fn is not None:
         b = assign_batches(new, newest_first_order())
         resp = call_model(batch_prompts(b, prompt), model_fn)

@@ -21,17 +21,18 @@ def gate_text(title="title", text="text") -> Column:
 
 
 def relevance_gate(profile: BrandProfile, title="title", text="text",
-                   require_keywords: bool = True) -> Column:
+                   require_keywords: bool = True, whole_word: bool = False) -> Column:
     """Brand present, no blocked phrase, and (optionally) at least one context keyword.
 
-    Substring semantics throughout (a keyword also matches inside a longer word).
+    Substring semantics by default (a keyword also matches inside a longer word);
+    `whole_word=True` requires word boundaries for all three rules.
     """
     full = gate_text(title, text)
-    cond = F.instr(full, profile.brand.lower()) > 0
+    cond = contains_any(full, [profile.brand], whole_word)
     if profile.blocklist:
-        cond = cond & ~contains_any(full, profile.blocklist)
+        cond = cond & ~contains_any(full, profile.blocklist, whole_word)
     if require_keywords and profile.keywords:
-        cond = cond & contains_any(full, profile.keywords)
+        cond = cond & contains_any(full, profile.keywords, whole_word)
     elif require_keywords:
         cond = cond & F.lit(False)
     return cond

@@ -53,3 +53,10 @@ def test_sentiment_label_cutoffs(spark):
     rows = [(0.05,), (-0.05,), (0.0499,), (-0.0499,)]
     got = _one(spark, sentiment_label(F.col("c")), rows, "c double")
     assert got == ["positive", "negative", "neutral", "neutral"]
+
+
+def test_gate_whole_word(spark):
+    p = BrandProfile(brand="acme", blocklist=("motor",), keywords=("app",))
+    rows = [("Acme app",), ("ACME happy",), ("acme app motorbike",), ("acmes app",)]
+    got = _one(spark, relevance_gate(p, F.lit(None).cast("string"), "t", whole_word=True), rows, "t string")
+    assert got == [True, False, True, False]
