@@ -5,8 +5,9 @@ Each source lands raw JSON (one file per fetch). Files are read with an explicit
 the original skips a missing or unparsable file. A JSON-array file (the original's
 format) needs ``multi_line=True``; at scale, land JSON Lines so files split.
 
-Arrival order (`seq`) = source rank in the high bits, row position inside its file in
-the low bits (a multi-line JSON file is one partition, so the row index is its order).
+Arrival order: every row carries its arrival key (source rank, file rank, row id inside
+the file read, position inside a listing page); `load_sources` turns it into exact dense
+`seq` numbers with `global_rank` (range partitioning, no single task).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import SOURCE_ORDER
 from ..functions.text import nullif_empty
+from ..operators.reports import global_rank
 
 # Raw payload schemas (field names are the sources' own).
 REDDIT_PAGE = ("data struct<children: array<struct<data: struct<id: string, subreddit: string, "
@@ -65,29 +67,42 @@ def read_json_lenient(spark: SparkSession, paths: Sequence[str], schema: str,
     return out
 
 
+def _source_rank(platform: str) -> int:
+    return SOURCE_ORDER.index(platform) if platform in SOURCE_ORDER else len(SOURCE_ORDER)
+
+
 def _arrival(platform: str) -> F.Column:
-    rank = SOURCE_ORDER.index(platform) if platform in SOURCE_ORDER else len(SOURCE_ORDER)
-    return (F.lit(rank).cast("bigint") * F.lit(1 << SEQ_SHIFT) + F.col("_file_rank").cast("bigint")
-            * F.lit(1 << 34) + F.col("_row")).alias("seq")
+    """A packed arrival number, exact for one small landing (one partition per file,
+    < 2^26 rows, < 64 files per source); `load_sources` replaces it with exact dense
+    numbers over the full arrival key."""
+    return (F.lit(_source_rank(platform)).cast("bigint") * F.lit(1 << SEQ_SHIFT)
+            + F.col("_file_rank").cast("bigint") * F.lit(1 << 34)
+            + (F.col("_row") * F.lit(1 << 12) + F.col("_pos"))).alias("seq")
 
 
-def _finish(df: DataFrame, cols: dict) -> DataFrame:
+def _finish(df: DataFrame, cols: dict, platform: str) -> DataFrame:
     sel = []
     for c in MENTION_COLUMNS:
         e = cols.get(c, F.lit(None))
         sel.append(e.cast(_TYPES.get(c, "string")).alias(c))
-    return df.select(*sel).where(F.coalesce(F.col("id"), F.lit("")) != "")
+    # the full arrival key travels along for load_sources
+    key = F.struct(F.lit(_source_rank(platform)).alias("s"), F.col("_file_rank").alias("f"),
+                   F.col("_row").alias("r"), F.col("_pos").alias("p")).alias("_arrival")
+    return df.select(*sel, key).where(F.coalesce(F.col("id"), F.lit("")) != "")
+
+
+def _with_pos(df: DataFrame) -> DataFrame:
+    return df if "_pos" in df.columns else df.withColumn("_pos", F.lit(0))
 
 
 def flatten_listing(pages: DataFrame) -> DataFrame:
     """Listing pages -> one row per child post/comment (fields of `data.children[].data`)."""
-    ex = pages.select("_file_rank", F.col("_row").alias("_page"),
-                      F.posexplode("data.children").alias("_pos", "child"))
-    return ex.select("_file_rank", (F.col("_page") * F.lit(1 << 12) + F.col("_pos")).alias("_row"),
-                     "child.data.*")
+    ex = pages.select("_file_rank", "_row", F.posexplode("data.children").alias("_pos", "child"))
+    return ex.select("_file_rank", "_row", "_pos", "child.data.*")
 
 
 def normalise_reddit(posts: DataFrame) -> DataFrame:
+    posts = _with_pos(posts)
     return _finish(posts, {
         "id": F.col("id"), "platform": F.lit("reddit"), "seq": _arrival("reddit"),
         "title": F.coalesce(F.col("title"), F.lit("")),
@@ -97,10 +112,11 @@ def normalise_reddit(posts: DataFrame) -> DataFrame:
         "channel": F.coalesce(F.col("subreddit"), F.lit("")),
         "event_time": F.timestamp_seconds(F.coalesce(F.col("created_utc"), F.lit(0.0))),
         "votes": F.coalesce(F.col("score"), F.lit(0)),
-    })
+    }, "reddit")
 
 
 def normalise_tweets(tweets: DataFrame) -> DataFrame:
+    tweets = _with_pos(tweets)
     return _finish(tweets, {
         "id": F.col("id").cast("string"), "platform": F.lit("twitter"), "seq": _arrival("twitter"),
         "text": F.coalesce(F.col("rawContent"), F.lit("")),
@@ -110,10 +126,11 @@ def normalise_tweets(tweets: DataFrame) -> DataFrame:
         "likes": F.coalesce(F.col("likeCount"), F.lit(0)),
         "retweets": F.coalesce(F.col("retweetCount"), F.lit(0)),
         "replies": F.coalesce(F.col("replyCount"), F.lit(0)),
-    })
+    }, "twitter")
 
 
 def normalise_play(reviews: DataFrame, app_url: str = "") -> DataFrame:
+    reviews = _with_pos(reviews)
     return _finish(reviews, {
         "id": F.col("reviewId"), "platform": F.lit("playstore"), "seq": _arrival("playstore"),
         "text": F.coalesce(F.col("content"), F.lit("")),
@@ -122,13 +139,14 @@ def normalise_play(reviews: DataFrame, app_url: str = "") -> DataFrame:
         "thumbs_up": F.coalesce(F.col("thumbsUpCount"), F.lit(0)),
         "app_version": F.coalesce(F.col("reviewCreatedVersion"), F.lit("")),
         "reply_text": F.coalesce(F.col("replyContent"), F.lit("")),
-    })
+    }, "playstore")
 
 
 def normalise_appstore(reviews: DataFrame) -> DataFrame:
     """id = 'ios_' + SHA-256(user + date): stable across runs (the original's was not)."""
     key = F.concat(F.coalesce(F.col("userName"), F.lit("")),
                    F.coalesce(F.date_format("date", "yyyy-MM-dd HH:mm:ss"), F.lit("")))
+    reviews = _with_pos(reviews)
     return _finish(reviews, {
         "id": F.concat(F.lit("ios_"), F.sha2(key, 256)), "platform": F.lit("appstore"),
         "seq": _arrival("appstore"), "title": F.coalesce(F.col("title"), F.lit("")),
@@ -136,7 +154,7 @@ def normalise_appstore(reviews: DataFrame) -> DataFrame:
         "author": F.coalesce(F.col("userName"), F.lit("")), "event_time": F.col("date"),
         "rating": F.coalesce(F.col("rating"), F.lit(0)),
         "app_version": F.coalesce(F.col("version"), F.lit("")),
-    })
+    }, "appstore")
 
 
 def load_sources(spark: SparkSession, reddit: Sequence[str] = (), twitter: Sequence[str] = (),
@@ -152,4 +170,7 @@ def load_sources(spark: SparkSession, reddit: Sequence[str] = (), twitter: Seque
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # exact dense arrival numbers over (source, file, row, position): one range shuffle,
+    # no assumption about partition or file counts
+    ranked = global_rank(out, [F.col("_arrival")], "_seq")
+    return ranked.withColumn("seq", F.col("_seq")).drop("_seq", "_arrival").select(*MENTION_COLUMNS)

@@ -69,3 +69,16 @@ def test_digest_day(spark):
     got = spark.range(1).select(is_digest_day("2024-01-14").alias("sun"), is_digest_day("2024-01-15").alias("mon"),
                                 is_digest_day("2024-01-15", force=True).alias("forced")).first()
     assert (got.sun, got.mon, got.forced) == (True, False, True)
+
+
+def test_load_sources_dense_arrival_order(spark):
+    from brandlens.sources.landed import load_sources
+    base = scratch_dir(spark, "t-json").replace("file:", "")
+    page = {"data": {"after": None, "children": [{"data": {"id": f"r{i}", "title": "t"}} for i in range(5)]}}
+    _write(f"{base}/reddit.json", json.dumps(page))
+    _write(f"{base}/tw1.json", json.dumps([{"id": i, "rawContent": "x"} for i in range(3)]))
+    _write(f"{base}/tw2.json", json.dumps([{"id": 10 + i, "rawContent": "y"} for i in range(2)]))
+    rows = load_sources(spark, reddit=[f"{base}/reddit.json"], twitter=[f"{base}/tw1.json", f"{base}/tw2.json"],
+                        multi_line=True).orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(1, 11))
+    assert [r.id for r in rows] == [f"r{i}" for i in range(5)] + ["0", "1", "2", "10", "11"]
