@@ -3,8 +3,8 @@
 Global order without a single-partition window
 ----------------------------------------------
 `global_rank` numbers rows 1..N in a total order the way `zipWithIndex` does, but in
-DataFrame form: range-partition on the ordering (explicit partition count, so AQE does
-not coalesce it and partition ids stay in range order), sort inside each partition,
+DataFrame form: range-partition on the ordering (AQE may coalesce neighbouring ranges,
+which keeps partition ids in range order), sort inside each partition,
 number rows locally with `monotonically_increasing_id` (partition id in the high bits,
 row index in the low 33 bits), write that table once to the checkpoint folder, then add
 the row count of all earlier partitions (one row per partition, broadcast). The ordering
@@ -22,17 +22,13 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rnk",
                 num_partitions: int | None = None) -> DataFrame:
     """Add `name` = 1-based position of each row in `order` (must be a total order)."""
-    n = _partitions(df, num_partitions)
-    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without an explicit count AQE may coalesce neighbouring ranges, which keeps the
+    # partition ids in range order
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    r = (ranged.sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
     # Written once: the counts and the numbering must come from the same partitioning.

@@ -17,3 +17,12 @@ def test_global_rank_large_matches_arithmetic(spark):
     expected["rnk"] = expected.index + 1
     got = r.select("id", "rnk", "payload").toPandas().set_index("id").sort_index()
     assert (got["rnk"].values == expected.set_index("id").sort_index()["rnk"].values).all()
+
+
+def test_global_rank_default_partitions(spark):
+    df = spark.range(0, 50_000, numPartitions=6).select(
+        F.col("id"), (F.col("id") * 7919 % 50_000).alias("k"), F.col("id").cast("string").alias("payload"))
+    r = global_rank(df, [F.col("k").desc(), F.col("id").asc()])
+    got = {row.id: row.rnk for row in r.select("id", "rnk", "payload").collect()}
+    order = sorted(range(50_000), key=lambda i: (-(i * 7919 % 50_000), i))
+    assert all(got[i] == pos + 1 for pos, i in enumerate(order))
