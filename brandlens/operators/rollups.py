@@ -45,7 +45,10 @@ def meta_rollup(df: DataFrame, dims: Mapping[str, str] | None = None, sentiment:
                 labels: Sequence[str] = SENTIMENT_LABELS, flag: str = "is_critical") -> DataFrame:
     """Long-form meta: (dimension, key, n) for total, critical, each dim and sentiment.
 
-    One scan: GROUPING SETS over the dimensions plus the grand total.
+    One scan: GROUPING SETS over the dimensions plus the grand total, unpivoted in the
+    same pass (one branch, so the input is evaluated once). Sentiment always lists the
+    fixed labels (0 when absent, other labels ignored): a literal 3-row spine is added
+    to the small result and summed.
     """
     dims = dict(dims or {"platform": "unknown", "topic": "general"})
     cols = {d: F.coalesce(F.col(d), F.lit(miss)) for d, miss in dims.items()}
@@ -56,33 +59,42 @@ def meta_rollup(df: DataFrame, dims: Mapping[str, str] | None = None, sentiment:
     sets = [[F.col(n)] for n in names] + [[]]
     g = x.groupingSets(sets, *names).agg(F.count(F.lit(1)).alias("n"), F.count_if("_crit").alias("crit"),
                                          F.grouping_id().alias("gid"))
-    parts = []
     full = (1 << len(names)) - 1
-    total = g.where(F.col("gid") == full)
-    parts.append(total.select(F.lit("total").alias("dimension"), F.lit("").alias("key"),
-                              F.col("n").cast("bigint").alias("n")))
-    parts.append(total.select(F.lit("critical").alias("dimension"), F.lit("").alias("key"),
-                              F.col("crit").cast("bigint").alias("n")))
+
+    def row(dim, key, n):
+        return F.struct(F.lit(dim).alias("dimension"), key.cast("string").alias("key"),
+                        n.cast("bigint").alias("n"))
+
+    items = [F.when(F.col("gid") == full, row("total", F.lit(""), F.col("n"))),
+             F.when(F.col("gid") == full, row("critical", F.lit(""), F.col("crit")))]
     for i, d in enumerate(cols):
         gid = full ^ (1 << (len(names) - 1 - i))
-        sl = g.where(F.col("gid") == gid).select(F.col(f"_{d}").alias("key"), "n")
-        if d == "sentiment":
-            spine = F.broadcast(_label_spine(df, labels).withColumnRenamed("label", "key"))
-            sl = spine.join(sl, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
-        parts.append(sl.select(F.lit(d).alias("dimension"), "key", F.col("n").cast("bigint").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        items.append(F.when(F.col("gid") == gid, row(d, F.col(f"_{d}"), F.col("n"))))
+    long = g.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("r")).select("r.*")
+    if not sentiment:
+        return long
+    spine = df.sparkSession.createDataFrame([("sentiment", x_, 0) for x_ in labels],
+                                            "dimension string, key string, n bigint")
+    keep = (F.col("dimension") != "sentiment") | F.col("key").isin(list(labels))
+    return long.unionByName(spine).where(keep).groupBy("dimension", "key").agg(
+        F.sum("n").cast("bigint").alias("n"))
 
 
 def breakdown_share(df: DataFrame, dims: Mapping[str, str]) -> DataFrame:
-    """(dimension, key, n, share of the dimension's total)."""
-    parts = [count_by(df, d, miss, "key").select(F.lit(d).alias("dimension"), "key", "n")
-             for d, miss in dims.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """(dimension, key, n, share of the dimension's total) — one grouping-sets pass."""
+    cols = {d: F.coalesce(F.col(d), F.lit(miss)) for d, miss in dims.items()}
+    names = [f"_{d}" for d in cols]
+    x = df.select(*[c.alias(f"_{d}") for d, c in cols.items()])
+    g = x.groupingSets([[F.col(n)] for n in names], *names).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    full = (1 << len(names)) - 1
+    dim = F.lit(None).cast("string")
+    key = F.lit(None).cast("string")
+    for i, d in enumerate(cols):
+        gid = full ^ (1 << (len(names) - 1 - i))
+        dim = F.when(F.col("gid") == gid, F.lit(d)).otherwise(dim)
+        key = F.when(F.col("gid") == gid, F.col(f"_{d}")).otherwise(key)
+    out = g.select(dim.alias("dimension"), key.alias("key"), F.col("n").cast("bigint").alias("n"))
     # a dimension has few distinct keys, so this window is small
     tot = F.sum("n").over(Window.partitionBy("dimension"))
     return out.select("dimension", "key", "n", F.round(F.col("n") / tot, 6).alias("share"))

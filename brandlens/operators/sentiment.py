@@ -69,15 +69,20 @@ def _maybe_broadcast(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Da
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("platform", "id"),
-                      text: Column | str = "text") -> DataFrame:
-    """keys + label, compound, pos, neu, neg (rounded to 4). Blank text -> neutral 0/0/1/0."""
+                      text: Column | str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """keys + keep + label, compound, pos, neu, neg (rounded to 4).
+
+    Blank text -> neutral 0/0/1/0. `keep` columns (per-document values) ride along on
+    the sentinel row, so callers need no join back to `docs`.
+    """
     keys = list(keys)
+    keep = [c for c in keep if c not in keys]
     text_col = F.col(text) if isinstance(text, str) else text
-    base = docs.select(*keys, text_col.alias("_t")).select(
-        *keys, (py_strip(F.coalesce(F.col("_t"), F.lit(""))) == F.lit("")).alias("_blank"),
+    base = docs.select(*keys, text_col.alias("_t"), F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep")).select(
+        *keys, "_keep", (py_strip(F.coalesce(F.col("_t"), F.lit(""))) == F.lit("")).alias("_blank"),
         split_words(F.col("_t")).alias("_tok"))
     # position 0 is a sentinel so every document reaches the aggregate
-    ex = base.select(*keys, "_blank", F.size("_tok").alias("_n"),
+    ex = base.select(*keys, "_keep", "_blank", F.size("_tok").alias("_n"),
                      F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("_tok")))
                      .alias("pos", "word"))
     lex = _maybe_broadcast(lexicon.select("word", "valence", "neg", "boost"))
@@ -97,6 +102,7 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, keys: Sequence[str] =
                           .otherwise(F.when(negated, v1 * NEGATION_SCALAR).otherwise(v1))))
 
     agg = scored.groupBy(*keys).agg(
+        F.max(F.when(F.col("pos") == 0, F.col("_keep"))).alias("_keep"),
         F.first("_blank", ignorenulls=True).alias("_blank"),
         F.max("_n").alias("_n"),
         F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"),
@@ -111,7 +117,7 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, keys: Sequence[str] =
     label = sentiment_label(compound)
     blank = F.col("_blank")
     return agg.select(
-        *keys,
+        *keys, *[F.col(f"_keep.{c}").alias(c) for c in keep],
         F.when(blank, F.lit("neutral")).otherwise(label).alias("label"),
         F.when(blank, F.lit(0.0)).otherwise(F.round(compound, 4)).alias("compound"),
         F.when(blank, F.lit(0.0)).otherwise(F.round(share(F.col("_ps")), 4)).alias("pos"),

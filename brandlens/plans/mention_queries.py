@@ -202,9 +202,9 @@ lab AS (SELECT platform, id,
   CASE WHEN blank THEN 0.0 WHEN total > 0 THEN round(abs(ns) / total, 4) ELSE 0.0 END AS neg FROM sen)"""
 
 
-def _sentiment(spark, m: DataFrame) -> DataFrame:
+def _sentiment(spark, m: DataFrame, keep=()) -> DataFrame:
     lex = lexicon_table(spark, DRIVER_LEXICON, DRIVER_NEGATORS, DRIVER_BOOSTERS)
-    return lexicon_sentiment(m, lex, ("platform", "id"), sentiment_text())
+    return lexicon_sentiment(m, lex, ("platform", "id"), sentiment_text(), keep=keep)
 
 
 @query("lexicon_sentiment", f"{M}, {_sentiment_sql_ctes()} SELECT * FROM lab")
@@ -295,10 +295,8 @@ UNION ALL SELECT 'topic', coalesce(topic, 'general'), count(*) FROM j GROUP BY 2
 UNION ALL SELECT 'sentiment', s.label, count(j.label) FROM (VALUES ('positive'), ('neutral'), ('negative')) s(label)
   LEFT JOIN j ON j.label = s.label GROUP BY 2""")
 def q_meta_rollup(spark, sf_dir):
-    m = _m(spark, sf_dir)
-    s = _sanitised(m).select("platform", "id", "topic", "is_critical")
-    lab = _sentiment(spark, m).select("platform", "id", "label")
-    return meta_rollup(s.join(lab, ["platform", "id"]))
+    s = _sanitised(_m(spark, sf_dir))
+    return meta_rollup(_sentiment(spark, s, keep=("topic", "is_critical")))
 
 
 # --- O1 newest first --------------------------------------------------------------
@@ -354,9 +352,7 @@ cnt AS (SELECT day, label, count(*) AS n FROM d GROUP BY ALL),
 z AS (SELECT g.day, g.label, coalesce(c.n, 0)::BIGINT AS n FROM grid g LEFT JOIN cnt c USING (day, label))
 SELECT day, label, n, round(avg(n) OVER (PARTITION BY label ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS avg_7d FROM z""")
 def q_sentiment_trend_7d(spark, sf_dir):
-    m = _m(spark, sf_dir)
-    lab = _sentiment(spark, m).select("platform", "id", "label")
-    d = m.select("platform", "id", "event_time").join(lab, ["platform", "id"])
+    d = _sentiment(spark, _m(spark, sf_dir), keep=("event_time",))
     return sentiment_trend(d, SENTIMENT_LABELS, days=7)
 
 
@@ -436,8 +432,6 @@ SELECT platform, id, compound, rnk FROM (
   WHERE m.event_time >= {_SINCE} AND m.platform = 'twitter')""")
 def q_browse_most_negative(spark, sf_dir):
     from ..operators.browse import browse
-    m = _m(spark, sf_dir)
-    s = _sentiment(spark, m).select("platform", "id", "compound")
-    b = browse(m.select("platform", "id", "seq", "title", "text", "event_time").join(s, ["platform", "id"]),
-               platform="twitter", since_days=DIGEST_DAYS, as_of=AS_OF, sort="most_negative")
+    s = _sentiment(spark, _m(spark, sf_dir), keep=("seq", "title", "text", "event_time"))
+    b = browse(s, platform="twitter", since_days=DIGEST_DAYS, as_of=AS_OF, sort="most_negative")
     return b.select("platform", "id", "compound", "rnk")
