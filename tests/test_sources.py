@@ -82,3 +82,18 @@ def test_load_sources_dense_arrival_order(spark):
                         multi_line=True).orderBy("seq").collect()
     assert [r.seq for r in rows] == list(range(1, 11))
     assert [r.id for r in rows] == [f"r{i}" for i in range(5)] + ["0", "1", "2", "10", "11"]
+
+
+def test_alert_cloud_digest_sinks(spark):
+    from brandlens.sources.sinks import write_alerts, write_digest, write_word_cloud
+    base = scratch_dir(spark, "t-sinks")
+    alerts = spark.createDataFrame([("r", "1", "bug_report", "very_negative")],
+                                   "platform string, id string, topic string, llm_sentiment string")
+    write_alerts(alerts, f"{base}/alerts")
+    assert spark.read.json(f"{base}/alerts").select("id").first().id == "1"
+    cloud = spark.createDataFrame([("word", 3, 1), ("other", 2, 2)], "word string, count long, rnk long")
+    write_word_cloud(cloud, f"{base}/cloud")
+    got = sorted((r.word, r["count"]) for r in spark.read.json(f"{base}/cloud").collect())
+    assert got == [("other", 2), ("word", 3)]
+    write_digest(spark.createDataFrame([("Weekly digest\nline",)], "text string"), f"{base}/digest")
+    assert [r.value for r in spark.read.text(f"{base}/digest").collect()] == ["Weekly digest", "line"]
