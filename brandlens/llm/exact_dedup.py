@@ -74,6 +74,7 @@ def advance(spark, store: str, files_per_batch: int = 1000) -> DataFrame:
               spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution"
               ".streaming.state.RocksDBStateStoreProvider",
               spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
+              spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
               spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256"):
         arrivals = (spark.readStream
                     .schema("doc_id long, row long, digest string, landing string")
