@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op10_byte_bpe
 from .exact_dedup import op1_exact_dedup
 
 _FOLD_SQL = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -9,6 +10,7 @@ _FOLD_SQL = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE = {
