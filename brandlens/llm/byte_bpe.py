@@ -2,14 +2,15 @@
 
 Method. Documents are packed into blocks of bounded size. Each block is split into
 pre-tokens with positions; the block keeps its position sequence as numbers of its own
-distinct words. The distinct words of all blocks are exploded and shuffled by word, each
-distinct word of the corpus is encoded once, its ids are joined back to the blocks that
-use it, and every document is reassembled from its positions. Decoding looks each id up in
-the token-byte table (one entry per id of the vocabulary, which bounds its size) and joins
-the bytes in order.
+distinct words. The distinct words of all blocks are exploded and shuffled by a hash of the
+word, so that all uses of a word meet in one place; there each distinct word of the corpus
+is encoded once. Its ids are joined back to the blocks that use it, and every document is
+reassembled from its positions. Decoding looks each id up in the token-byte table (one entry
+per id of the vocabulary, which bounds its size) and joins the bytes in order.
 
-Because a block names a word once however often it occurs, a very frequent word adds one
-row per block to the shuffle.
+A block names a word once however often it occurs, so a very frequent word weighs no more
+than one entry per block. The words that a block sends to one place travel as one packed
+row, and so do their ids on the way back.
 
 Defined cases: a null text counts as empty and has no ids; a null or repeated id is carried
 through row by row; an empty table gives an empty result; other columns are ignored; a text
@@ -25,6 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -32,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_value, documents, materialise, table
+from .ngrams import pieces
 from .tokens import Codes, Slices
 
 by_value(__name__)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Characters of text in a block.
-BLOCK_CHARS = 12 << 20
+#: Bytes of text in a block.
+BLOCK_BYTES = 16 << 20
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -58,7 +62,7 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
-    """Word numbers as compressed low and high halves (high halves are mostly zero)."""
+    """Numbers as compressed low and high halves (high halves are mostly zero)."""
     return zlib.compress((codes & 0xFFFF).astype("<u2").tobytes()
                          + (codes >> 16).astype("<u2").tobytes(), 1)
 
@@ -68,64 +72,146 @@ def unpack_codes(packed: bytes) -> np.ndarray:
     return low | (high.astype(np.uint32) << 16)
 
 
-def split_blocks(docs: DataFrame, pattern: str, block_chars: int) -> DataFrame:
-    """Blocks of documents: block, doc_ids, n_words (of each document), codes, words."""
+def pack_words(words: list[bytes]) -> bytes:
+    """UTF-8 words in one string; the byte between them is in no UTF-8 text."""
+    return zlib.compress(b"\xff".join(words), 1) if words else b""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = regex.compile(pattern).findall
-        block = TaskContext.get().partitionId() << 32
-        ids, counts, parts, codes, chars = [], [], [], Codes(), 0
 
-        def packed() -> pd.DataFrame:
-            joined = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            return pd.DataFrame({"block": [block], "doc_ids": [ids], "n_words": [counts],
-                                 "codes": [pack_codes(joined)], "words": [list(codes)]})
+def unpack_words(packed: bytes) -> list[bytes]:
+    return zlib.decompress(packed).split(b"\xff") if packed else []
+
+
+class Splitter:
+    """Pre-tokens of many texts as numbers of distinct words.
+
+    No pre-token goes on from a visible character into white space, so a text may be cut
+    before every single blank or line end and each distinct chunk is matched once. Texts
+    with runs of white space, other white space or the cutting mark are matched whole.
+    """
+
+    MARK = "\x01"
+    WHOLE = r"[\s\v\pZ\x{85}]{2}|[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+    def __init__(self, pattern: str):
+        self.find = regex.compile(pattern).findall
+        self.words = Codes()
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all `texts` in order, and how many belong to each."""
+        texts = texts.cast(pa.large_string())
+        whole = pc.match_substring_regex(texts, self.WHOLE)
+        marked = texts
+        for blank in " \n\t\r":
+            marked = pc.replace_substring(marked, blank, self.MARK + blank)
+        cut = pc.split_pattern(marked, self.MARK)
+        if pc.any(whole).as_py():  # such a text is one chunk
+            one = pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts)
+            cut = pc.if_else(whole, one, cut.cast(one.type))
+        per_text = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(cut).dictionary_encode()
+        found = [self.find(chunk) for chunk in coded.dictionary.to_pylist()]
+        chunks = Slices([self.words.of(x).tobytes() for x in found], np.dtype(np.uint32))
+        codes = coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(chunks.lengths[codes])))[np.cumsum(per_text)]
+        return chunks.join(codes), np.diff(ends, prepend=0)
+
+
+def split_blocks(docs: DataFrame, pattern: str, block_bytes: int, places: int) -> DataFrame:
+    """Blocks of documents: block, doc_ids, n_words (of each document), codes (word numbers in
+    order) and words (packed, by place; numbers run through the places in order)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        splitter, ids, counts, parts, size = Splitter(pattern), [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            words = [w.encode() for w in splitter.words]
+            place = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % places
+            order = np.argsort(place, kind="stable")
+            number = np.empty(len(words), np.uint32)
+            number[order] = np.arange(len(words), dtype=np.uint32)
+            cuts = np.searchsorted(place[order], np.arange(places + 1))
+            codes = number[np.concatenate(parts)] if len(words) else np.zeros(0, np.uint32)
+            row = (block, ids, np.concatenate(counts).tolist(), pack_codes(codes),
+                   [pack_words([words[i] for i in order[a:b].tolist()])
+                    for a, b in zip(cuts, cuts[1:], strict=False)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], f.type) for x, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
-                words = find(text)
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                counts.append(len(words))
-                parts.append(codes.of(words))
-                chars += len(text)
-                if chars >= block_chars:
+            for piece in pieces(batch):
+                codes, n = splitter.split(piece["text"])
+                ids.extend(piece["doc_id"].to_pylist())
+                counts.append(n)
+                parts.append(codes)
+                size += pc.sum(pc.binary_length(piece["text"])).as_py()
+                if size >= block_bytes:
                     yield packed()
                     block += 1
-                    ids, counts, parts, codes, chars = [], [], [], Codes(), 0
+                    splitter, ids, counts, parts, size = Splitter(pattern), [], [], [], 0
         if ids:
             yield packed()
 
-    return documents(docs).mapInPandas(
-        split, "block long, doc_ids array<long>, n_words array<int>, codes binary, words array<string>")
+    return documents(docs).mapInArrow(
+        split, "block long, doc_ids array<long>, n_words array<long>, codes binary, words array<binary>")
+
+
+BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+                   ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()),
+                   ("words", pa.list_(pa.binary()))])
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of every document."""
-
-    def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path, pattern)
-        for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "ids": [
-                np.array(x, "<u4").tobytes()
-                for x in enc.encode_ordinary_batch(batch["word"].tolist(), num_threads=1)]})
+    places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, known, at = encoding(path, pattern), {}, None
+        for batch in batches:  # sorted by place; a place's words are encoded once
+            for row in batch.to_pylist():
+                if row["place"] != at:
+                    known, at = {}, row["place"]
+                words = unpack_words(row["words"])
+                new = [w for w in words if w not in known]
+                for word, ids in zip(new, enc.encode_ordinary_batch(
+                        [w.decode() for w in new], num_threads=1), strict=True):
+                    known[word] = np.array(ids, "<u4").tobytes()
+                ids = [known[w] for w in words]
+                n = np.fromiter(map(len, ids), "<u4", len(ids)) // 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["of_block"]]), pa.array([at], pa.int32()), pa.array([pack_codes(n)]),
+                     pa.array([pack_codes(np.frombuffer(b"".join(ids), "<u4"))])],
+                    ["of_block", "place", "n", "ids"])
 
     def reassemble(key, block: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values("code")
-        ids = Slices([np.frombuffer(x, "<u4") for x in words["ids"]], np.dtype("<u4"))
-        out = []
+        words = words.sort_values("place")
+        made = []
         for row in block.itertuples():
-            codes, at = unpack_codes(row.codes), 0
-            for doc_id, n in zip(row.doc_ids, row.n_words, strict=True):
-                out.append((doc_id, ids.join(codes[at:at + n]).tobytes()))
-                at += n
-        made = pd.DataFrame(out, columns=["doc_id", "ids"])
-        return made.astype({"doc_id": "Int64"})
-
-    blocks = materialise(split_blocks(docs, pattern, block_chars), "bpe-blocks")
-    used = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("code", "word"))
-    encoded = used.select("word").distinct().mapInPandas(encode_words, "word string, ids binary")
-    ids = used.join(encoded, "word").select("of_block", "code", "ids")
+            codes, n_words = unpack_codes(row.codes), np.asarray(row.n_words)
+            flat, n = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+            if len(words):
+                flat = np.concatenate([unpack_codes(x) for x in words["ids"]])
+                n = np.concatenate([unpack_codes(x) for x in words["n"]])
+            ids = Slices.of_lengths(flat.astype("<u4"), n)
+            ends = np.cumsum(n_words)
+            for group in np.array_split(np.arange(len(ends)), max(1, len(codes) >> 18)):
+                if len(group):  # a bounded part of the block at a time
+                    lo, hi = ends[group[0]] - n_words[group[0]], ends[group[-1]]
+                    joined = ids.join(codes[lo:hi])
+                    cut = np.concatenate(([0], np.cumsum(ids.lengths[codes[lo:hi]])))[
+                        np.concatenate(([0], ends[group] - lo))]
+                    made += [joined[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+            ids = None
+        doc_ids = [x for row in block.itertuples() for x in row.doc_ids]
+        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in doc_ids], "Int64"),
+                             "ids": made})
+
+    blocks = materialise(split_blocks(docs, pattern, block_bytes, places), "bpe-blocks")
+    used = (blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("place", "words"))
+            .filter(F.octet_length("words") > 0))
+    ids = (used.repartition(places, "place").sortWithinPartitions("place")
+           .mapInArrow(encode_words, "of_block long, place int, n binary, ids binary"))
     return (blocks.select("block", "doc_ids", "n_words", "codes").groupBy("block")
             .cogroup(ids.groupBy("of_block"))
             .applyInPandas(reassemble, "doc_id long, ids binary"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
 from .exact_dedup import op1_exact_dedup
+from .grammar_ids import op2_grammar_ids
 
 _FOLD_SQL = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
              "'abcdefghijklmnopqrstuvwxyz')")
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_grammar_ids": op2_grammar_ids,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -35,10 +35,18 @@ class Codes(defaultdict):
 class Slices:
     """Arrays by number, kept in one flat array."""
 
-    def __init__(self, arrays: list[np.ndarray], dtype):
-        self.lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
+    def __init__(self, arrays: list[bytes], dtype: np.dtype):
+        self.lengths = np.fromiter(map(len, arrays), np.int64, len(arrays)) // dtype.itemsize
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype)
+        self.flat = np.frombuffer(b"".join(arrays), dtype)
+
+    @classmethod
+    def of_lengths(cls, flat: np.ndarray, lengths: np.ndarray) -> Slices:
+        """Slices of these lengths that follow each other in `flat`."""
+        made = cls([], flat.dtype)
+        made.flat, made.lengths = flat, lengths.astype(np.int64)
+        made.starts = np.cumsum(made.lengths) - made.lengths
+        return made
 
     def join(self, codes: np.ndarray) -> np.ndarray:
         return gather(self.flat, self.starts, self.lengths, codes)
