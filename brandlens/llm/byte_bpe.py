@@ -20,6 +20,7 @@ longer than a block is a block of its own.
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -110,7 +111,8 @@ class Splitter:
         per_text = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(cut).dictionary_encode()
         found = [self.find(chunk) for chunk in coded.dictionary.to_pylist()]
-        chunks = Slices([self.words.of(x).tobytes() for x in found], np.dtype(np.uint32))
+        chunks = Slices.of_lengths(self.words.of(list(itertools.chain.from_iterable(found))),
+                                   np.fromiter(map(len, found), np.int64, len(found)))
         codes = coded.indices.to_numpy()
         ends = np.concatenate(([0], np.cumsum(chunks.lengths[codes])))[np.cumsum(per_text)]
         return chunks.join(codes), np.diff(ends, prepend=0)
@@ -121,35 +123,31 @@ def split_blocks(docs: DataFrame, pattern: str, block_bytes: int, places: int) -
     order) and words (packed, by place; numbers run through the places in order)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        splitter, ids, counts, parts, size = Splitter(pattern), [], [], [], 0
+        block, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
         def packed() -> pa.RecordBatch:
+            splitter = Splitter(pattern)
+            codes, n = splitter.split(pa.concat_arrays([r["text"] for r in rows]))
             words = [w.encode() for w in splitter.words]
             place = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % places
             order = np.argsort(place, kind="stable")
             number = np.empty(len(words), np.uint32)
             number[order] = np.arange(len(words), dtype=np.uint32)
             cuts = np.searchsorted(place[order], np.arange(places + 1))
-            codes = number[np.concatenate(parts)] if len(words) else np.zeros(0, np.uint32)
-            row = (block, ids, np.concatenate(counts).tolist(), pack_codes(codes),
-                   [pack_words([words[i] for i in order[a:b].tolist()])
-                    for a, b in zip(cuts, cuts[1:], strict=False)])
+            row = (block, pa.concat_arrays([r["doc_id"] for r in rows]).to_pylist(), n.tolist(),
+                   pack_codes(number[codes]), [pack_words([words[i] for i in order[a:b].tolist()])
+                                               for a, b in zip(cuts, cuts[1:], strict=False)])
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], f.type) for x, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
         for batch in batches:
-            for piece in pieces(batch):
-                codes, n = splitter.split(piece["text"])
-                ids.extend(piece["doc_id"].to_pylist())
-                counts.append(n)
-                parts.append(codes)
+            for piece in pieces(batch, block_bytes // 4):
+                rows.append(piece)
                 size += pc.sum(pc.binary_length(piece["text"])).as_py()
                 if size >= block_bytes:
                     yield packed()
-                    block += 1
-                    splitter, ids, counts, parts, size = Splitter(pattern), [], [], [], 0
-        if ids:
+                    block, rows, size = block + 1, [], 0
+        if rows:
             yield packed()
 
     return documents(docs).mapInArrow(
@@ -202,7 +200,6 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
                     cut = np.concatenate(([0], np.cumsum(ids.lengths[codes[lo:hi]])))[
                         np.concatenate(([0], ends[group] - lo))]
                     made += [joined[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-            ids = None
         doc_ids = [x for row in block.itertuples() for x in row.doc_ids]
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in doc_ids], "Int64"),
                              "ids": made})
