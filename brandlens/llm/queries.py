@@ -5,6 +5,8 @@ from __future__ import annotations
 from .byte_bpe import op10_byte_bpe
 from .exact_dedup import op1_exact_dedup
 from .grammar_ids import op2_grammar_ids
+from .quality import op4_quality
+from .toxicity import op9_toxicity
 
 _FOLD_SQL = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
              "'abcdefghijklmnopqrstuvwxyz')")
@@ -12,6 +14,8 @@ _FOLD_SQL = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_grammar_ids": op2_grammar_ids,
+    "op4_quality": op4_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -33,8 +33,10 @@ BITS = 20
 PER_CLASS = 2500
 #: An n-gram in fewer sample documents has no weight.
 LEAST = 4
-STEPS = 80
-RIDGE = 1e-4
+#: An n-gram with a smaller log ratio, either way, has no weight.
+LEAST_RATIO = 1.0
+STEPS = 300
+RIDGE = 1e-5
 THRESHOLD = 0.5
 
 
@@ -81,7 +83,8 @@ def train(rows: list, prior: np.ndarray) -> tuple[np.ndarray, float]:
     counts = [np.bincount(bucket[label[doc] == y], minlength=1 << BITS) for y in (0, 1)]
     share = [(c + 1) / (c.sum() + len(c)) for c in counts]
     ratio = np.where(counts[0] + counts[1] >= LEAST, np.log(share[1] / share[0]), 0.0)
-    use = np.abs(ratio[bucket]) > 0
+    ratio[np.abs(ratio) < LEAST_RATIO] = 0.0
+    use = ratio[bucket] != 0
     doc, bucket = doc[use], bucket[use]
     # columns that occur, numbered
     column, at = np.unique(bucket, return_inverse=True)
