@@ -44,7 +44,7 @@ by_value(__name__)
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -57,11 +57,6 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-def token_bytes(path: str) -> dict[int, bytes]:
-    """The token-byte table."""
-    return {rank: token for token, rank in ranks_of(path).items()}
-
-
 def pack_codes(codes: np.ndarray) -> bytes:
     """Numbers as compressed low and high halves (high halves are mostly zero)."""
     return zlib.compress((codes & 0xFFFF).astype("<u2").tobytes()
@@ -172,9 +167,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
                     known, at = {}, row["place"]
                 words = unpack_words(row["words"])
                 new = [w for w in words if w not in known]
-                for word, ids in zip(new, enc.encode_ordinary_batch(
-                        [w.decode() for w in new], num_threads=1), strict=True):
-                    known[word] = np.array(ids, "<u4").tobytes()
+                for word in new:
+                    known[word] = np.array(enc.encode_ordinary(word.decode()), "<u4").tobytes()
                 ids = [known[w] for w in words]
                 n = np.fromiter(map(len, ids), "<u4", len(ids)) // 4
                 yield pa.RecordBatch.from_arrays(
@@ -219,9 +213,13 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     @F.pandas_udf("binary")
     def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        look_up = token_bytes(path).__getitem__
+        ranks = sorted((rank, token) for token, rank in ranks_of(path).items())
+        tokens = [b""] * (ranks[-1][0] + 1)  # the token-byte table
+        for rank, token in ranks:
+            tokens[rank] = token
+        tokens = Slices(tokens, np.dtype(np.uint8))
         for ids in batches:
-            yield ids.map(lambda x: b"".join(map(look_up, np.frombuffer(x, "<u4").tolist())))
+            yield ids.map(lambda x: tokens.join(np.frombuffer(x, "<u4")).tobytes())
 
     return encoded.withColumn("decoded", bytes_of("ids"))
 
