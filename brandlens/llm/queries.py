@@ -5,6 +5,8 @@ from __future__ import annotations
 from .byte_bpe import op10_byte_bpe
 from .exact_dedup import op1_exact_dedup
 from .grammar_ids import op2_grammar_ids
+from .language import op6_language
+from .main_text import op5_main_text
 from .quality import op4_quality
 from .toxicity import op9_toxicity
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_grammar_ids": op2_grammar_ids,
     "op4_quality": op4_quality,
+    "op5_main_text": op5_main_text,
+    "op6_language": op6_language,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
