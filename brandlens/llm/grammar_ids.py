@@ -28,7 +28,9 @@ from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import by_value, documents, scratch_dir, table
 from .ngrams import pieces
@@ -57,57 +59,83 @@ MIN_PAIRS = 32
 #: Pairs at least this share as frequent as the most frequent one are replaced together.
 ROUND_SHARE = 1 / 64
 #: Distinct words whose ids a worker remembers.
-WORDS = 600_000
+WORDS = 1_500_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 12 << 20
 
 
-class WordIds(dict):
-    """Ids of white-space separated words (UTF-8, A-Z in lower case), encoded once and
-    remembered.
+def byte_signs() -> dict[int, str]:
+    """The sign that byte-level pre-tokenizers write for each byte of UTF-8 text."""
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    signs: dict[int, str] = {}
+    for code in [*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x110000, 0x1000)]:
+        signs.update(zip(chr(code).encode(), level.pre_tokenize_str(chr(code))[0][0], strict=True))
+    return signs
+
+
+class WordIds:
+    """Ids of white-space separated words (A-Z in lower case), encoded once and remembered.
 
     The tokenizer folds case, drops white space and never looks across it, so the ids of a
     text are those of its words. A comma or full stop after an ASCII letter is a piece of
-    its own.
+    its own, so a word is looked up without it.
     """
 
+    TAILS = ("", ".", ",")
+
     def __init__(self, path: str, most: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        self.byte_signs = byte_signs()
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.ids = Slices([], np.dtype("<u4"))
+        self.learn(pa.array(self.TAILS, pa.string()))
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remember the ids of `words`."""
-        if len(self) + len(words) > self.most:
-            self.clear()
-        new, tails = set(), []
-        for word in [w for w in words if w not in self]:
-            base = word[:-1] if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122 else word
-            if base is not word:
-                tails.append((word, base))
-            if base not in self:
-                new.add(base)
-        if tails:
-            new.update(x for x in (b".", b",") if x not in self)
-        plain = [w for w in new if w.isalpha() and w.islower()]  # ASCII: one piece as it is
+    def learn(self, words: pa.Array) -> None:
+        """Remember the ids of `words`, none of which is known."""
+        made, other, places = [b""] * len(words), [], []
         tokenize = self.tokenizer.model.tokenize
-        for word in plain:
-            self[word] = np.array([t.id for t in tokenize(word.decode())], "<u4").tobytes()
-        other = list(new.difference(plain))
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        for word, e in zip(other, encoded, strict=True):
-            self[word] = np.array(e.ids, "<u4").tobytes()
-        for word, base in tails:
-            self[word] = self[base] + self[word[-1:]]
+        for i, word in enumerate(words.to_pylist()):
+            if word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
+                # letters that the normaliser leaves as they are: one piece, byte by byte
+                piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_signs)
+                made[i] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+            elif word:
+                other.append(word)
+                places.append(i)
+        for i, e in zip(places, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            made[i] = array("I", e.ids).tobytes()
+        new = Slices(made, np.dtype("<u4"))
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = Slices.of_lengths(np.concatenate([self.ids.flat, new.flat]),
+                                     np.concatenate([self.ids.lengths, new.lengths]))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The number of each word; unknown ones are learned."""
+        if len(self.words) > self.most:
+            self.forget()
+        at = pc.index_in(words, self.words)
+        if at.null_count:
+            self.learn(pc.unique(words.filter(pc.is_null(at))))
+            at = pc.index_in(words, self.words)
+        return at.to_numpy(zero_copy_only=False)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all `texts` in order, and how many belong to each."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        self.learn(distinct)
-        ids = Slices(list(map(self.__getitem__, distinct)), np.dtype("<u4"))
+        distinct = coded.dictionary
+        tailed = pc.match_substring_regex(distinct, "[a-z][.,]$")
+        base = self.find(pc.if_else(tailed, pc.utf8_slice_codeunits(distinct, 0, -1), distinct))
+        last = pc.utf8_slice_codeunits(distinct, -1)
+        tail = pc.index_in(pc.if_else(tailed, last, ""), pa.array(self.TAILS)).to_numpy(zero_copy_only=False)
+        both = np.stack([base, tail], 1)
+        ids = Slices.of_lengths(self.ids.join(both.ravel()), self.ids.lengths[both].sum(1))
         codes = coded.indices.to_numpy()
         ends = np.concatenate(([0], np.cumsum(ids.lengths[codes])))[np.cumsum(per_text)]
         return ids.join(codes), np.diff(ends, prepend=0)

@@ -32,18 +32,32 @@ def pieces(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         at = end
 
 
+#: Letters and digits stay, as do all bytes of other scripts.
+_WORD_BYTES = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first `n` powers of an odd number modulo 2^64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x100000001B3
+        _POWERS[:] = [np.cumprod(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64))]
+    return [x[:n] for x in _POWERS]
+
+
 class Texts:
     """Lower-case UTF-8 bytes of many texts in one buffer, each between two spaces; control
-    characters count as spaces."""
+    characters count as spaces, and so do ASCII signs that are no letter or digit if
+    `words_only`."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, words_only: bool = False):
         empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
         padded = pc.binary_join_element_wise(
             empty, pc.utf8_lower(texts.cast(pa.large_string())), empty, space)
         offsets = np.frombuffer(padded.buffers()[1], np.int64)[padded.offset:padded.offset + len(padded) + 1]
         data = padded.buffers()[2]
         self.bytes = (np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8))
-        self.bytes = np.maximum(self.bytes, 32)
+        self.bytes = _WORD_BYTES[self.bytes] if words_only else np.maximum(self.bytes, 32)
         self.starts, self.ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
     def grams(self, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,10 +77,9 @@ class Texts:
         first = np.flatnonzero(~space[1:] & space[:-1]) + 1
         last = np.flatnonzero(space[1:] & ~space[:-1]) + 1
         # a word's hash is a difference of running sums, moved to a common power
-        power = np.full(len(self.bytes), 0x100000001B3, np.uint64)
-        back = np.full(len(self.bytes), pow(0x100000001B3, -1, 1 << 64), np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.bytes * np.cumprod(power))])
-        h = (sums[last] - sums[first]) * np.cumprod(back)[first]
+        power, back = powers(len(self.bytes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.bytes * power)])
+        h = (sums[last] - sums[first]) * back[first]
         h = ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
         return h.astype(np.uint32), np.searchsorted(first, self.starts), np.searchsorted(first, self.ends)
 
