@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .contamination import op3_contamination
 from .exact_dedup import op1_exact_dedup
 from .grammar_ids import op2_grammar_ids
 from .language import op6_language
@@ -16,6 +17,7 @@ _FOLD_SQL = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_grammar_ids": op2_grammar_ids,
+    "op3_contamination": op3_contamination,
     "op4_quality": op4_quality,
     "op5_main_text": op5_main_text,
     "op6_language": op6_language,
