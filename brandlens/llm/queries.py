@@ -8,6 +8,7 @@ from .exact_dedup import op1_exact_dedup
 from .grammar_ids import op2_grammar_ids
 from .language import op6_language
 from .main_text import op5_main_text
+from .private_data import op7_private_data
 from .quality import op4_quality
 from .toxicity import op9_toxicity
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_main_text": op5_main_text,
     "op6_language": op6_language,
+    "op7_private_data": op7_private_data,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
