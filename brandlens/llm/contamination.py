@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_value, documents, table
-from .ngrams import Texts, pieces
+from .ngrams import WORD_BYTES, Texts, pieces
 
 by_value(__name__)
 
@@ -52,7 +52,7 @@ FIRST_BITS = 20
 
 def item_words(texts: list[str]) -> list[np.ndarray]:
     """The hashed words of each item."""
-    batch = Texts(pa.array(texts, pa.string()), words_only=True)
+    batch = Texts(pa.array(texts, pa.string()), WORD_BYTES)
     h, first, last = batch.words()
     return [h[a:b] for a, b in zip(first, last, strict=True)]
 
@@ -226,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index, ids = cloudpickle.loads(shared.value)
             for batch in batches:
                 for piece in pieces(batch) if index and index.tables else ():
-                    hits = matches(index, *Texts(piece["text"], words_only=True).words())
+                    hits = matches(index, *Texts(piece["text"], WORD_BYTES).words())
                     text, item, d, n, place = (list(x) for x in zip(*hits)) if hits else ([],) * 5
                     yield pa.RecordBatch.from_arrays(
                         [piece["doc_id"].take(pa.array(text, pa.int64())),

@@ -33,7 +33,7 @@ def pieces(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
 
 
 #: Letters and digits stay, as do all bytes of other scripts.
-_WORD_BYTES = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+WORD_BYTES = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 _POWERS: list[np.ndarray] = []
 
 
@@ -46,18 +46,20 @@ def powers(n: int) -> list[np.ndarray]:
 
 
 class Texts:
-    """Lower-case UTF-8 bytes of many texts in one buffer, each between two spaces; control
-    characters count as spaces, and so do ASCII signs that are no letter or digit if
-    `words_only`."""
+    """UTF-8 bytes of many texts in one buffer, each between two spaces.
 
-    def __init__(self, texts: pa.Array, words_only: bool = False):
+    Letters become small (A-Z only if `ascii_only`) and bytes are mapped by `signs`; by default
+    control characters count as spaces.
+    """
+
+    def __init__(self, texts: pa.Array, signs: np.ndarray | None = None, ascii_only: bool = False):
         empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
-        padded = pc.binary_join_element_wise(
-            empty, pc.utf8_lower(texts.cast(pa.large_string())), empty, space)
+        lower = pc.ascii_lower if ascii_only else pc.utf8_lower
+        padded = pc.binary_join_element_wise(empty, lower(texts.cast(pa.large_string())), empty, space)
         offsets = np.frombuffer(padded.buffers()[1], np.int64)[padded.offset:padded.offset + len(padded) + 1]
         data = padded.buffers()[2]
         self.bytes = (np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8))
-        self.bytes = _WORD_BYTES[self.bytes] if words_only else np.maximum(self.bytes, 32)
+        self.bytes = np.maximum(self.bytes, 32) if signs is None else signs[self.bytes]
         self.starts, self.ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
     def grams(self, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,7 +73,7 @@ class Texts:
                 x = (h + np.uint32(n)) * _MIX
                 yield n, x ^ (x >> np.uint32(15))
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, bits: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each space-separated word, and the range of words of each text."""
         space = self.bytes == 32
         first = np.flatnonzero(~space[1:] & space[:-1]) + 1
@@ -80,8 +82,9 @@ class Texts:
         power, back = powers(len(self.bytes))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.bytes * power)])
         h = (sums[last] - sums[first]) * back[first]
-        h = ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        return h.astype(np.uint32), np.searchsorted(first, self.starts), np.searchsorted(first, self.ends)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h >> np.uint64(32)).astype(np.uint32) if bits == 32 else h ^ (h >> np.uint64(32))
+        return h, np.searchsorted(first, self.starts), np.searchsorted(first, self.ends)
 
     def range_of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The places at which n-grams of each text begin."""

@@ -6,6 +6,7 @@ from .byte_bpe import op10_byte_bpe
 from .contamination import op3_contamination
 from .exact_dedup import op1_exact_dedup
 from .grammar_ids import op2_grammar_ids
+from .jaccard_join import op8_jaccard_join
 from .language import op6_language
 from .main_text import op5_main_text
 from .private_data import op7_private_data
@@ -23,6 +24,7 @@ QUERIES = {
     "op5_main_text": op5_main_text,
     "op6_language": op6_language,
     "op7_private_data": op7_private_data,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
