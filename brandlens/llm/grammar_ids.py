@@ -120,8 +120,11 @@ class WordIds:
             self.forget()
         at = pc.index_in(words, self.words)
         if at.null_count:
-            self.learn(pc.unique(words.filter(pc.is_null(at))))
-            at = pc.index_in(words, self.words)
+            missing = pc.is_null(at)
+            new = pc.unique(words.filter(missing))
+            place = pc.add(pc.index_in(words.filter(missing), new), pa.scalar(len(self.words), pa.int32()))
+            self.learn(new)
+            at = pc.replace_with_mask(at, missing, place)
         return at.to_numpy(zero_copy_only=False)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +133,14 @@ class WordIds:
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary
-        tailed = pc.match_substring_regex(distinct, "[a-z][.,]$")
-        base = self.find(pc.if_else(tailed, pc.utf8_slice_codeunits(distinct, 0, -1), distinct))
-        last = pc.utf8_slice_codeunits(distinct, -1)
-        tail = pc.index_in(pc.if_else(tailed, last, ""), pa.array(self.TAILS)).to_numpy(zero_copy_only=False)
+        # the last byte of each word, and the one before it
+        offsets = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset:distinct.offset + len(distinct) + 1]
+        data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)
+        last = np.where(np.diff(offsets) > 1, data[np.maximum(offsets[1:] - 1, 0)], 0) if len(data) else offsets[1:]
+        before = data[np.maximum(offsets[1:] - 2, 0)] if len(data) else offsets[1:]
+        tail = np.where((before >= 97) & (before <= 122), (last == 46) + 2 * (last == 44), 0)
+        # a letter stands before the tail, so trimming takes this one sign only
+        base = self.find(pc.if_else(pa.array(tail > 0), pc.ascii_rtrim(distinct, ".,"), distinct))
         both = np.stack([base, tail], 1)
         ids = Slices.of_lengths(self.ids.join(both.ravel()), self.ids.lengths[both].sum(1))
         codes = coded.indices.to_numpy()
