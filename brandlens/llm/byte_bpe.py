@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding over a global shuffle of distinct words.
 
-Method. Documents are packed into blocks of bounded size. Each block is split into
-pre-tokens with positions; the block keeps its position sequence as numbers of its own
+Method. Documents are packed into blocks of bounded size. Each block is split into words
+with positions: a word is a run of visible characters with the white space before it, and
+since no pre-token goes on from a visible character into white space, the pre-tokens of a
+text are those of its words. The block keeps its position sequence as numbers of its own
 distinct words. The distinct words of all blocks are exploded and shuffled by a hash of the
 word, so that all uses of a word meet in one place; there each distinct word of the corpus
-is encoded once. Its ids are joined back to the blocks that use it, and every document is
-reassembled from its positions. Decoding looks each id up in the token-byte table (one entry
-per id of the vocabulary, which bounds its size) and joins the bytes in order.
+is split by the pattern and encoded once. Its ids are joined back to the blocks that use it,
+and every document is reassembled from its positions. Decoding looks each id up in the
+token-byte table (one entry per id of the vocabulary, which bounds its size) and joins the
+bytes in order.
 
 A block names a word once however often it occurs, so a very frequent word weighs no more
 than one entry per block. The words that a block sends to one place travel as one packed
@@ -20,7 +23,7 @@ longer than a block is a block of its own.
 from __future__ import annotations
 
 import base64
-import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,22 +32,21 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, documents, materialise, table
+from .common import by_value, conf, documents, materialise, table
 from .ngrams import pieces
-from .tokens import Codes, Slices
+from .tokens import Slices
 
 by_value(__name__)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of text in a block.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -57,80 +59,83 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """Numbers as compressed low and high halves (high halves are mostly zero)."""
-    return zlib.compress((codes & 0xFFFF).astype("<u2").tobytes()
-                         + (codes >> 16).astype("<u2").tobytes(), 1)
+def pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(data, asbytes=True)
 
 
-def unpack_codes(packed: bytes) -> np.ndarray:
-    low, high = np.frombuffer(zlib.decompress(packed), "<u2").reshape(2, -1)
-    return low | (high.astype(np.uint32) << 16)
+def unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32: one byte each, 255 announcing that four planes of further bytes hold
+    the rest."""
+    first = np.minimum(numbers, 255).astype(np.uint8)
+    rest = np.ascontiguousarray(numbers[numbers >= 255] - 255, "<u4").view(np.uint8).reshape(-1, 4).T
+    return len(numbers).to_bytes(8, "little") + pack(first.tobytes() + np.ascontiguousarray(rest).tobytes())
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    n, data = int.from_bytes(packed[:8], "little"), np.frombuffer(unpack(packed[8:]), np.uint8)
+    numbers = data[:n].astype(np.uint32)
+    rest = np.ascontiguousarray(data[n:].reshape(4, -1).T).view("<u4").ravel()
+    numbers[numbers == 255] += rest
+    return numbers
 
 
 def pack_words(words: list[bytes]) -> bytes:
     """UTF-8 words in one string; the byte between them is in no UTF-8 text."""
-    return zlib.compress(b"\xff".join(words), 1) if words else b""
+    return pack(b"\xff".join(words)) if words else b""
 
 
 def unpack_words(packed: bytes) -> list[bytes]:
-    return zlib.decompress(packed).split(b"\xff") if packed else []
-
-
-class Splitter:
-    """Pre-tokens of many texts as numbers of distinct words.
-
-    No pre-token goes on from a visible character into white space, so a text may be cut
-    before every single blank or line end and each distinct chunk is matched once. Texts
-    with runs of white space, other white space or the cutting mark are matched whole.
-    """
-
-    MARK = "\x01"
-    WHOLE = r"[\s\v\pZ\x{85}]{2}|[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-    def __init__(self, pattern: str):
-        self.find = regex.compile(pattern).findall
-        self.words = Codes()
-
-    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The words of all `texts` in order, and how many belong to each."""
-        texts = texts.cast(pa.large_string())
-        whole = pc.match_substring_regex(texts, self.WHOLE)
-        marked = texts
-        for blank in " \n\t\r":
-            marked = pc.replace_substring(marked, blank, self.MARK + blank)
-        cut = pc.split_pattern(marked, self.MARK)
-        if pc.any(whole).as_py():  # such a text is one chunk
-            one = pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts)
-            cut = pc.if_else(whole, one, cut.cast(one.type))
-        per_text = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = pc.list_flatten(cut).dictionary_encode()
-        found = [self.find(chunk) for chunk in coded.dictionary.to_pylist()]
-        chunks = Slices.of_lengths(self.words.of(list(itertools.chain.from_iterable(found))),
-                                   np.fromiter(map(len, found), np.int64, len(found)))
-        codes = coded.indices.to_numpy()
-        ends = np.concatenate(([0], np.cumsum(chunks.lengths[codes])))[np.cumsum(per_text)]
-        return chunks.join(codes), np.diff(ends, prepend=0)
-
-
-def split_blocks(docs: DataFrame, pattern: str, block_bytes: int, places: int) -> DataFrame:
-    """Blocks of documents: block, doc_ids, n_words (of each document), codes (word numbers in
-    order) and words (packed, by place; numbers run through the places in order)."""
+    return unpack(packed).split(b"\xff") if packed else []
+
+
+MARK = "\x01"
+#: White space of the pattern, and a word: visible characters with the white space before.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Texts with other white space than single blanks, tabs and line ends, or with the mark.
+UNEVEN = r"[\s\x0b\x{85}\pZ]{2}|[\x01\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The word numbers of all `texts` in order, how many belong to each, and the words."""
+    texts = texts.cast(pa.large_string())
+    marked = texts
+    for blank in " \n\t\r":  # a word begins before every single blank
+        marked = pc.replace_substring(marked, blank, MARK + blank)
+    cut = pc.split_pattern(marked, MARK)
+    uneven = pc.match_substring_regex(texts, UNEVEN)
+    if pc.any(uneven).as_py():
+        found = pa.array([WORD.findall(t) if u else None for t, u in
+                          zip(texts.to_pylist(), uneven.to_pylist(), strict=True)], cut.type)
+        cut = pc.if_else(uneven, found, cut)
+    per_text = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.list_flatten(cut).dictionary_encode()
+    return coded.indices.to_numpy(), per_text, coded.dictionary
+
+
+def split_blocks(docs: DataFrame, block_bytes: int, places: int) -> DataFrame:
+    """Blocks of documents: block, doc_ids, n_words (of each document), codes and words (packed,
+    by place). The code of the word of rank r in place p, most frequent first, is
+    r * places + p, so that frequent words have small codes."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
         def packed() -> pa.RecordBatch:
-            splitter = Splitter(pattern)
-            codes, n = splitter.split(pa.concat_arrays([r["text"] for r in rows]))
-            words = [w.encode() for w in splitter.words]
+            codes, n, words = split_words(pa.concat_arrays([r["text"] for r in rows]))
+            words = words.cast(pa.large_binary()).to_pylist()
             place = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % places
-            order = np.argsort(place, kind="stable")
-            number = np.empty(len(words), np.uint32)
-            number[order] = np.arange(len(words), dtype=np.uint32)
+            order = np.lexsort([-np.bincount(codes, minlength=len(words)), place])
             cuts = np.searchsorted(place[order], np.arange(places + 1))
+            rank = np.arange(len(words)) - cuts[place[order]]
+            code = np.empty(len(words), np.uint32)
+            code[order] = rank * places + place[order]
             row = (block, pa.concat_arrays([r["doc_id"] for r in rows]).to_pylist(), n.tolist(),
-                   pack_codes(number[codes]), [pack_words([words[i] for i in order[a:b].tolist()])
+                   pack_numbers(code[codes]), [pack_words([words[i] for i in order[a:b].tolist()])
                                                for a, b in zip(cuts, cuts[1:], strict=False)])
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], f.type) for x, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
@@ -142,8 +147,10 @@ def split_blocks(docs: DataFrame, pattern: str, block_bytes: int, places: int) -
                 if size >= block_bytes:
                     yield packed()
                     block, rows, size = block + 1, [], 0
+                    pa.default_memory_pool().release_unused()
         if rows:
             yield packed()
+        pa.default_memory_pool().release_unused()
 
     return documents(docs).mapInArrow(
         split, "block long, doc_ids array<long>, n_words array<long>, codes binary, words array<binary>")
@@ -172,33 +179,34 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
                 ids = [known[w] for w in words]
                 n = np.fromiter(map(len, ids), "<u4", len(ids)) // 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["of_block"]]), pa.array([at], pa.int32()), pa.array([pack_codes(n)]),
-                     pa.array([pack_codes(np.frombuffer(b"".join(ids), "<u4"))])],
+                    [pa.array([row["of_block"]]), pa.array([at], pa.int32()), pa.array([pack_numbers(n)]),
+                     pa.array([pack_numbers(np.frombuffer(b"".join(ids), "<u4"))])],
                     ["of_block", "place", "n", "ids"])
 
     def reassemble(key, block: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values("place")
-        made = []
+        starts = np.zeros(places, np.int64)  # number of the first word of each place
+        flat, n, made = [], [], []
+        for row in words.sort_values("place").itertuples():
+            starts[row.place] = sum(map(len, n))
+            flat.append(unpack_numbers(row.ids))
+            n.append(unpack_numbers(row.n))
+        ids = Slices.of_lengths(np.concatenate([*flat, np.zeros(0, "<u4")]), np.concatenate([*n, np.zeros(0, "<u4")]))
         for row in block.itertuples():
-            codes, n_words = unpack_codes(row.codes), np.asarray(row.n_words)
-            flat, n = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-            if len(words):
-                flat = np.concatenate([unpack_codes(x) for x in words["ids"]])
-                n = np.concatenate([unpack_codes(x) for x in words["n"]])
-            ids = Slices.of_lengths(flat.astype("<u4"), n)
+            codes, n_words = unpack_numbers(row.codes), np.asarray(row.n_words)
             ends = np.cumsum(n_words)
-            for group in np.array_split(np.arange(len(ends)), max(1, len(codes) >> 18)):
+            for group in np.array_split(np.arange(len(ends)), len(codes) // (1 << 18) + 1):
                 if len(group):  # a bounded part of the block at a time
                     lo, hi = ends[group[0]] - n_words[group[0]], ends[group[-1]]
-                    joined = ids.join(codes[lo:hi])
-                    cut = np.concatenate(([0], np.cumsum(ids.lengths[codes[lo:hi]])))[
-                        np.concatenate(([0], ends[group] - lo))]
+                    own = starts[codes[lo:hi] % places] + codes[lo:hi] // places
+                    joined = ids.join(own)
+                    cut = np.concatenate(([0], np.cumsum(ids.lengths[own])))[np.concatenate(([0], ends[group] - lo))]
                     made += [joined[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
         doc_ids = [x for row in block.itertuples() for x in row.doc_ids]
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in doc_ids], "Int64"),
                              "ids": made})
 
-    blocks = materialise(split_blocks(docs, pattern, block_bytes, places), "bpe-blocks")
+    with conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
+        blocks = materialise(split_blocks(docs, block_bytes, places), "bpe-blocks")
     used = (blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("place", "words"))
             .filter(F.octet_length("words") > 0))
     ids = (used.repartition(places, "place").sortWithinPartitions("place")
