@@ -30,7 +30,7 @@ by_value(__name__)
 ORDERS = (4, 5, 6)
 BITS = 20
 #: Labelled documents of each label that the fit may use.
-PER_CLASS = 2500
+PER_CLASS = 1500
 #: An n-gram in fewer sample documents has no weight.
 LEAST = 4
 #: An n-gram with a smaller log ratio, either way, has no weight.
@@ -77,15 +77,16 @@ def train(rows: list, prior: np.ndarray) -> tuple[np.ndarray, float]:
     weights = np.zeros(1 << BITS)
     if len(rows) == 0 or (seen == 0).any():
         return weights, float(np.log((prior[1] + 1e-9) / (prior[0] + 1e-9)))
-    buckets = [np.frombuffer(b, "<u4") for _, b in rows]
-    n = np.fromiter(map(len, buckets), np.int64, len(buckets))
-    doc, bucket = np.repeat(np.arange(len(rows)), n), np.concatenate(buckets)
-    counts = [np.bincount(bucket[label[doc] == y], minlength=1 << BITS) for y in (0, 1)]
-    share = [(c + 1) / (c.sum() + len(c)) for c in counts]
-    ratio = np.where(counts[0] + counts[1] >= LEAST, np.log(share[1] / share[0]), 0.0)
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for y, b in rows:
+        counts[y, np.frombuffer(b, "<u4")] += 1
+    share = (counts + 1) / (counts.sum(1, keepdims=True) + counts.shape[1])
+    ratio = np.where(counts.sum(0) >= LEAST, np.log(share[1] / share[0]), 0.0)
     ratio[np.abs(ratio) < LEAST_RATIO] = 0.0
-    use = ratio[bucket] != 0
-    doc, bucket = doc[use], bucket[use]
+    # only n-grams with a ratio are held in memory together
+    buckets = [b[ratio[b] != 0] for b in (np.frombuffer(b, "<u4") for _, b in rows)]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b in buckets])
+    bucket = np.concatenate(buckets)
     # columns that occur, numbered
     column, at = np.unique(bucket, return_inverse=True)
     x = ratio[bucket].astype(np.float32)
