@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brandlens.session import materialise, scratch_dir
 
 __all__ = ["by_value", "materialise", "scratch_dir", "documents", "table", "conf", "sized_broadcast",
-           "crc_remainder"]
+           "crc_remainder", "bounded_batches"]
 
 #: A side is broadcast only when its counted rows times this estimate stay below the bound.
 BROADCAST_BYTES = 32 << 20
@@ -32,12 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in batches of at most 1,000 where the session has Spark's default
+    of 10,000, which long texts would turn into batches of many megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """`doc_id` (long) and `text` (null counts as empty), plus the columns named in `more`.
 
     Every other column is left out, so an operator's own column names never clash with
     columns of the input.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        *[F.col(c) for c in more])

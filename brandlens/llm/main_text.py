@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, table
+from .common import bounded_batches, by_value, table
 
 by_value(__name__)
 
@@ -179,6 +179,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], texts],
                                              ["page_id", "url", "text"])
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     return rows.mapInArrow(extracted, "page_id long, url string, text string")

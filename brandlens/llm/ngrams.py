@@ -16,7 +16,7 @@ from .common import by_value, crc_remainder, documents, materialise
 by_value(__name__)
 
 #: Bytes of text looked at together.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 _STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -30,6 +30,7 @@ def pieces(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.take(pa.array(np.arange(at, end)))
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 #: Letters and digits stay, as do all bytes of other scripts.
