@@ -234,11 +234,11 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Ids of every whole document, and the bytes they decode to."""
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """The digest columns of the contract for every row of `docs`."""
+    """doc_id, n_tokens, ids, and digests of the ids and of the bytes that they decode to."""
     return decode(encode(docs)).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -22,17 +22,19 @@ columns are ignored; whole texts are read, however long.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, documents, table
+from .common import bounded_batches, by_value, documents, table
 from .ngrams import WORD_BYTES, Texts, pieces
 
 by_value(__name__)
@@ -208,25 +210,36 @@ def matches(index: Index, words: np.ndarray, first: np.ndarray, last: np.ndarray
     return [(t, n, d, len(index.items[n]), place) for (t, n), (d, place) in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item that it contains: doc_id, item_id, distance (edits in
-    words), item_words, place (word of the document at which the passage begins)."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame) -> Iterator:
+    """Broadcast (index, item ids) of each block of items, pickled here so that workers need no
+    copy of this package."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, math.ceil(items.count() / ITEMS))
     block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    rows, out = documents(docs), None
-    for block in range(blocks):
+    for block in range(blocks):  # about ITEMS items each
         some = items.filter(block_of == block).filter("text IS NOT NULL").orderBy("item_id", "text").collect()
         index = Index(item_words([r["text"] for r in some])) if some else None
-        # at most ITEMS items; pickled here so that workers need no copy of this package
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps((index, [r["item_id"] for r in some])))
+        yield benchmark.sparkSession.sparkContext.broadcast(
+            cloudpickle.dumps((index, [r["item_id"] for r in some])))
+
+
+def matches_of(piece: pa.RecordBatch, index: Index | None) -> list[tuple]:
+    if index is None or not index.tables:
+        return []
+    return matches(index, *Texts(pc.fill_null(piece["text"], ""), WORD_BYTES).words())
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and item that it contains: doc_id, item_id, distance (edits in
+    words), item_words, place (word of the document at which the passage begins)."""
+    rows, parts = documents(docs), []
+    for shared in indexes(benchmark):
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, ids = cloudpickle.loads(shared.value)
             for batch in batches:
-                for piece in pieces(batch) if index and index.tables else ():
-                    hits = matches(index, *Texts(piece["text"], WORD_BYTES).words())
+                for piece in pieces(batch):
+                    hits = matches_of(piece, index)
                     text, item, d, n, place = (list(x) for x in zip(*hits)) if hits else ([],) * 5
                     yield pa.RecordBatch.from_arrays(
                         [piece["doc_id"].take(pa.array(text, pa.int64())),
@@ -234,10 +247,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          pa.array(n, pa.int32()), pa.array(place, pa.int64())],
                         ["doc_id", "item_id", "distance", "item_words", "place"])
 
-        part = rows.mapInArrow(
-            found, "doc_id long, item_id long, distance int, item_words int, place long")
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(rows.mapInArrow(
+            found, "doc_id long, item_id long, distance int, item_words int, place long"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that contain no item."""
+    bounded_batches(docs.sparkSession)
+    for shared in indexes(benchmark):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, _ = cloudpickle.loads(shared.value)
+            for batch in batches:
+                for piece in pieces(batch):
+                    stays = np.ones(piece.num_rows, bool)
+                    stays[[hit[0] for hit in matches_of(piece, index)]] = False
+                    yield piece.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op3_contamination(spark, sf_dir: str) -> DataFrame:

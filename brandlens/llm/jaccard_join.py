@@ -96,7 +96,8 @@ def node_of(shingles: np.ndarray, salt: int) -> int | None:
 
 
 def sets_of(docs: DataFrame, words: int, salt: int) -> DataFrame:
-    """doc_id, n, node, check (a second name) and prefix of every document."""
+    """doc_id, text_key (a hash of the text), n, node, check (a second name) and prefix of every
+    document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +105,14 @@ def sets_of(docs: DataFrame, words: int, salt: int) -> DataFrame:
                 sets = shingle_sets(piece["text"], words, salt)
                 size = [int(len(s) - least_overlap(len(s)) + wanted(len(s))) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [piece["doc_id"], pa.array([len(s) for s in sets], pa.int32()),
+                    [piece["doc_id"], piece["text_key"], pa.array([len(s) for s in sets], pa.int32()),
                      pa.array([node_of(s, salt) for s in sets], pa.int64()),
                      pa.array([node_of(s, salt + 1) for s in sets], pa.int64()),
                      pa.array([s[:k].tobytes() for s, k in zip(sets, size, strict=True)], pa.binary())],
-                    ["doc_id", "n", "node", "check", "prefix"])
+                    ["doc_id", "text_key", "n", "node", "check", "prefix"])
 
-    return documents(docs).mapInArrow(rows, "doc_id long, n int, node long, check long, prefix binary")
+    return documents(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(
+        rows, "doc_id long, text_key long, n int, node long, check long, prefix binary")
 
 
 # ---- inverted lists ---------------------------------------------------------------------
@@ -375,7 +377,8 @@ def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame
 
 
 def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
+    """doc_id, text_key, n_shingles and component_id (the smallest id reachable by links) of every
+    row."""
     for salt in range(0, 100, 2):
         sets = materialise(sets_of(docs, words, salt), "join-sets-of")
         nodes = materialise(sets.filter("node IS NOT NULL").groupBy("node").agg(
@@ -390,11 +393,24 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # nodes whose rows need another id than their own
     label = materialise(nodes.join(named, "node", "left").filter("rows > 1 OR component_id IS NOT NULL").select(
         "node", F.coalesce("component_id", "first").alias("component_id")), "join-label")
-    return (sets.select("doc_id", "n", "node").join(sized_broadcast(label, label.count(), 24), "node", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+    return (sets.select("doc_id", "text_key", "n", "node")
+            .join(sized_broadcast(label, label.count(), 24), "node", "left")
+            .select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of `docs`, with their own columns, that stay when every component keeps the
+    document that names it (the smallest id). Rows without an id stay if no row of their
+    component has one."""
+    dropped = materialise(join(docs, words).filter("NOT doc_id <=> component_id").select(
+        F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).distinct(), "join-dropped")
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(sized_broadcast(dropped, dropped.count(), 24),
+                     docs["doc_id"].cast("long").eqNullSafe(F.col("drop_id")) & (key == F.col("drop_key")),
+                     "left_anti")
+
+
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of similar documents over every whole text."""
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("text_key")

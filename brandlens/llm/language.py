@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_value, crc_remainder, documents, table
+from .common import bounded_batches, by_value, crc_remainder, documents, table
 from .ngrams import Texts, labelled_sample, pieces, sums
 
 by_value(__name__)
@@ -93,42 +93,56 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     return {"names": names, "filters": filters, "wrong": np.array(wrong)}
 
 
+def decide(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    names, wrong = np.array([*model["names"], UNKNOWN]), model["wrong"]
+    hashed = Texts(texts)
+    found, total = np.zeros((len(wrong), len(texts))), np.zeros(len(texts))
+    for n, h in hashed.grams(ORDERS):
+        first, last = hashed.range_of(n)
+        total += last - first
+        for block, masks in enumerate(model["filters"]):
+            mask = np.bitwise_and.reduce([masks[at] for at in slots(h)])
+            for bit in range(64 * block, min(64 * block + 64, len(wrong))):
+                has = (mask & mask.dtype.type(1 << (bit - 64 * block))) != 0
+                found[bit] += sums(has, first, last)
+    letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
+    if not len(wrong):
+        return np.full(len(texts), UNKNOWN), np.zeros(len(texts))
+    share = np.clip((found / np.maximum(total, 1) - wrong[:, None]) / np.maximum(1 - wrong[:, None], 1e-9), 0, 1)
+    return (names[np.where(letters, share.argmax(0), len(wrong))], np.where(letters, share.max(0), 0.0))
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """lang_pred and score of every row of `docs`."""
+    """doc_id, lang_pred and score of every row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^22 slots per 64 languages
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names, wrong = np.array([*model["names"], UNKNOWN]), model["wrong"]
         for batch in batches:
             for piece in pieces(batch):
-                texts = Texts(piece["text"])
-                found = np.zeros((len(names) - 1, piece.num_rows))
-                total = np.zeros(piece.num_rows)
-                for n, h in texts.grams(ORDERS):
-                    first, last = texts.range_of(n)
-                    total += last - first
-                    for block, masks in enumerate(model["filters"]):
-                        mask = np.bitwise_and.reduce([masks[at] for at in slots(h)])
-                        for bit in range(64 * block, min(64 * block + 64, len(wrong))):
-                            has = (mask & mask.dtype.type(1 << (bit - 64 * block))) != 0
-                            found[bit] += sums(has, first, last)
-                share = np.clip((found / np.maximum(total, 1) - wrong[:, None])
-                                / np.maximum(1 - wrong[:, None], 1e-9), 0, 1)
-                letters = pc.match_substring_regex(piece["text"], r"\pL").to_numpy(zero_copy_only=False)
-                best = np.full(piece.num_rows, len(names) - 1)
-                if len(wrong):
-                    best = np.where(letters, share.argmax(0), len(names) - 1)
-                    top = share.max(0)
-                else:
-                    top = np.zeros(piece.num_rows)
+                names, score = decide(piece["text"], shared.value)
                 yield pa.RecordBatch.from_arrays(
-                    [piece["doc_id"], pa.array(names[best].tolist(), pa.string()),
-                     pa.array(np.where(best < len(names) - 1, top, 0.0))], ["doc_id", "lang_pred", "score"])
+                    [piece["doc_id"], pa.array(names.tolist(), pa.string()), pa.array(score)],
+                    ["doc_id", "lang_pred", "score"])
 
     return documents(docs).mapInArrow(predicted, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language is known: not those that are
+    null, have no letter, or share no n-gram with any language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                names, score = decide(pc.fill_null(piece["text"], ""), shared.value)
+                yield piece.filter(pa.array((names != UNKNOWN) & (score > 0)))
+
+    return docs.mapInArrow(known, docs.schema)
+
+
 def op6_language(spark, sf_dir: str) -> DataFrame:
     """Language of every whole document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")

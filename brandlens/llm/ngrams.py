@@ -23,7 +23,7 @@ _STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 def pieces(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """`batch` in runs of rows with about `most` bytes of text, each copied to arrays of its own
     (string kernels of Arrow may misread arrays that begin inside another one)."""
-    ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
