@@ -131,7 +131,8 @@ def by_place(sets: DataFrame, places: int) -> DataFrame:
             shingle = np.frombuffer(b"".join(prefix), np.uint64)
             owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), count)
             size = batch["n"].to_numpy()[rows].astype(np.uint32)
-            place = ((shingle >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
+            # prefixes hold the smallest hashes, so places are dealt by another mix of the bits
+            place = (((shingle * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
             order = np.argsort(place.astype(np.int32), kind="stable")
             cuts = np.searchsorted(place[order], np.arange(places + 1))
             for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
