@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, conf, documents, materialise, table
+from .common import by_value, documents, table
 from .ngrams import pieces
 from .tokens import Slices
 
@@ -46,7 +46,7 @@ by_value(__name__)
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -117,10 +117,13 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(), per_text, coded.dictionary
 
 
-def split_blocks(docs: DataFrame, block_bytes: int, places: int) -> DataFrame:
-    """Blocks of documents: block, doc_ids, n_words (of each document), codes and words (packed,
-    by place). The code of the word of rank r in place p, most frequent first, is
-    r * places + p, so that frequent words have small codes."""
+def split_blocks(docs: DataFrame, block_bytes: int, places: int, what: str) -> DataFrame:
+    """Blocks of documents: block and mark (a checksum of its distinct words), and either
+
+    words: the distinct words, packed by place, the most frequent ones of a place first, or
+    codes: doc_ids, n_words (of each document) and the word codes in order. The code of the
+    word of rank r in place p is r * places + p, so frequent words have small codes.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows, size = TaskContext.get().partitionId() << 32, [], 0
@@ -131,14 +134,18 @@ def split_blocks(docs: DataFrame, block_bytes: int, places: int) -> DataFrame:
             place = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % places
             order = np.lexsort([-np.bincount(codes, minlength=len(words)), place])
             cuts = np.searchsorted(place[order], np.arange(places + 1))
-            rank = np.arange(len(words)) - cuts[place[order]]
-            code = np.empty(len(words), np.uint32)
-            code[order] = rank * places + place[order]
-            row = (block, pa.concat_arrays([r["doc_id"] for r in rows]).to_pylist(), n.tolist(),
-                   pack_numbers(code[codes]), [pack_words([words[i] for i in order[a:b].tolist()])
-                                               for a, b in zip(cuts, cuts[1:], strict=False)])
+            row = (block, zlib.crc32(b"\xff".join(words)))
+            if what == "words":
+                row += ([pack_words([words[i] for i in order[a:b].tolist()])
+                         for a, b in zip(cuts, cuts[1:], strict=False)],)
+            else:
+                code = np.empty(len(words), np.uint32)
+                code[order] = (np.arange(len(words)) - cuts[place[order]]) * places + place[order]
+                row += (pa.concat_arrays([r["doc_id"] for r in rows]).to_pylist(), n.tolist(),
+                        pack_numbers(code[codes]))
+            schema = SCHEMAS[what]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], f.type) for x, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
+                [pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for piece in pieces(batch, block_bytes // 4):
@@ -152,18 +159,25 @@ def split_blocks(docs: DataFrame, block_bytes: int, places: int) -> DataFrame:
             yield packed()
         pa.default_memory_pool().release_unused()
 
-    return documents(docs).mapInArrow(
-        split, "block long, doc_ids array<long>, n_words array<long>, codes binary, words array<binary>")
+    return documents(docs).mapInArrow(split, {
+        "words": "block long, mark long, words array<binary>",
+        "codes": "block long, mark long, doc_ids array<long>, n_words array<long>, codes binary"}[what])
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-                   ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()),
-                   ("words", pa.list_(pa.binary()))])
+SCHEMAS = {
+    "words": pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("words", pa.list_(pa.binary()))]),
+    "codes": pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+                        ("n_words", pa.list_(pa.int64())), ("codes", pa.binary())])}
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
            block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit) of every document."""
+    """doc_id and ids (little-endian unsigned 32-bit) of every document.
+
+    `docs` is read twice, for the words of its blocks and for their order, so that the texts
+    need not be kept in between; it must give the same rows in the same partitions, as tables
+    do. A block that differs between the readings fails the job.
+    """
     places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +193,13 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
                 ids = [known[w] for w in words]
                 n = np.fromiter(map(len, ids), "<u4", len(ids)) // 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["of_block"]]), pa.array([at], pa.int32()), pa.array([pack_numbers(n)]),
-                     pa.array([pack_numbers(np.frombuffer(b"".join(ids), "<u4"))])],
-                    ["of_block", "place", "n", "ids"])
+                    [pa.array([row["of_block"]]), pa.array([row["of_mark"]]), pa.array([at], pa.int32()),
+                     pa.array([pack_numbers(n)]), pa.array([pack_numbers(np.frombuffer(b"".join(ids), "<u4"))])],
+                    ["of_block", "of_mark", "place", "n", "ids"])
 
     def reassemble(key, block: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        if set(words["of_mark"]) - set(block["mark"]) or not len(block):
+            raise ValueError("the documents changed between two readings; write them to a table first")
         starts = np.zeros(places, np.int64)  # number of the first word of each place
         flat, n, made = [], [], []
         for row in words.sort_values("place").itertuples():
@@ -205,13 +221,13 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in doc_ids], "Int64"),
                              "ids": made})
 
-    with conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
-        blocks = materialise(split_blocks(docs, block_bytes, places), "bpe-blocks")
-    used = (blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("place", "words"))
+    words = split_blocks(docs, block_bytes, places, "words")
+    used = (words.select(F.col("block").alias("of_block"), F.col("mark").alias("of_mark"),
+                         F.posexplode("words").alias("place", "words"))
             .filter(F.octet_length("words") > 0))
     ids = (used.repartition(places, "place").sortWithinPartitions("place")
-           .mapInArrow(encode_words, "of_block long, place int, n binary, ids binary"))
-    return (blocks.select("block", "doc_ids", "n_words", "codes").groupBy("block")
+           .mapInArrow(encode_words, "of_block long, of_mark long, place int, n binary, ids binary"))
+    return (split_blocks(docs, block_bytes, places, "codes").groupBy("block")
             .cogroup(ids.groupBy("of_block"))
             .applyInPandas(reassemble, "doc_id long, ids binary"))
 
