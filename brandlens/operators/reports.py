@@ -62,10 +62,3 @@ def newest_first_order(time_col: str = "event_time", seq_col: str = "seq") -> li
     """Newest first, missing times last, ties by arrival order."""
     return [F.col(time_col).desc_nulls_last(), F.col(seq_col).asc()]
 
-
-def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
-                    name: str = "rn") -> DataFrame:
-    """First k rows of each group; Spark plans this as WindowGroupLimit (k per task
-    before the shuffle), so a hot group contributes only k rows per partition."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)

@@ -7,7 +7,7 @@ before flips and damps it (x -0.74). compound = s / sqrt(s^2 + 15) for the sum s
 pos / neg / neu are the shares of (v+1), |v-1| and the count of unscored tokens.
 
 Plan: tokens are exploded with positions (one row per token, streamed, not stored),
-joined to the lexicon (a parameter table; broadcast only below a checked row count),
+joined to the lexicon (a parameter table; Spark chooses the join by its size),
 and only scored/negator/booster tokens survive. The 1-3 token look-back is a range
 window over positions inside one document (bounded by document length). A sentinel
 row per document keeps documents without hits, so no join back to the input is needed.
@@ -46,9 +46,6 @@ DEFAULT_BOOSTERS: dict[str, float] = {
     "slightly": -BOOSTER_INCREMENT, "barely": -BOOSTER_INCREMENT, "somewhat": -BOOSTER_INCREMENT,
 }
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def lexicon_table(spark: SparkSession, lexicon: Mapping[str, float] | None = None,
                   negators: Sequence[str] | None = None,
                   boosters: Mapping[str, float] | None = None) -> DataFrame:
@@ -62,12 +59,6 @@ def lexicon_table(spark: SparkSession, lexicon: Mapping[str, float] | None = Non
     return spark.createDataFrame(rows, "word string, valence double, neg int, boost double")
 
 
-def _maybe_broadcast(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a lookup table only when its row count is known to be small."""
-    n = table.count()
-    return F.broadcast(table) if n <= max_rows else table
-
-
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("platform", "id"),
                       text: Column | str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """keys + keep + label, compound, pos, neu, neg (rounded to 4).
@@ -85,7 +76,9 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, keys: Sequence[str] =
     ex = base.select(*keys, "_keep", "_blank", F.size("_tok").alias("_n"),
                      F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("_tok")))
                      .alias("pos", "word"))
-    lex = _maybe_broadcast(lexicon.select("word", "valence", "neg", "boost"))
+    # carried values stay on the sentinel row only
+    ex = ex.withColumn("_keep", F.when(F.col("pos") == 0, F.col("_keep")))
+    lex = lexicon.select("word", "valence", "neg", "boost")
     hits = ex.join(lex, "word", "left").where((F.col("pos") == 0) | F.col("valence").isNotNull())
 
     w = Window.partitionBy(*keys).orderBy("pos")

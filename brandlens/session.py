@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators assume. Time zone is pinned so day boundaries and
 # epoch conversions do not depend on where the driver runs.
@@ -54,7 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory, setting one only when none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant folder and is
-    used as is. Only when it is unset (local runs, tests) is a scratch folder created.
+    used as is. Only when it is unset and the master is local is a scratch folder created;
+    a cluster without it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
+    elif not sc.master.startswith("local"):
+        # every executor would write to its own disk and the stage would be lost
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="brandlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     return sc.getCheckpointDir()
@@ -77,15 +81,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ensure_parallelism(df, *keys: str, min_partitions: int | None = None):
-    """Hash-repartition `df` on `keys` only when it has fewer partitions than the cluster
-    can run at once (e.g. one unsplittable file). Large inputs already arrive in many
-    splits and pass through untouched, so this adds no shuffle at scale."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)
+def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at `path`, or None if nothing is there yet. Any other failure (storage,
+    permission, damaged files) is raised: an unreadable table is not an empty one."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def materialise(df, name: str = "stage"):

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenise
-from ..session import ensure_parallelism
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -42,11 +41,11 @@ _PLATFORM = {"en": "reddit", "fr": "twitter", "de": "playstore", "es": "appstore
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified mention rows (one per document with a matching event)."""
-    docs = ensure_parallelism(
-        read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition("doc_id")
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    j = docs.join(ev, ev["event_id"] == docs["doc_id"] * F.lit(5)).join(lab, "doc_id", "left")
+    # a document without an event stays, with empty event columns
+    j = docs.join(ev, ev["event_id"] == docs["doc_id"] * F.lit(5), "left").join(lab, "doc_id", "left")
 
     topic = F.lit(None).cast("string")
     for k, v in _RAW_TOPIC.items():
@@ -126,6 +125,6 @@ SELECT CAST(d.doc_id AS VARCHAR) AS id, {plat} AS platform, d.doc_id AS seq,
        {topic} AS raw_topic,
        {_duck_list(_RAW_SENTIMENT)}[CAST(((e.user_id % 6 + 6) % 6) + 1 AS INTEGER)] AS raw_sentiment,
        list_slice(list_filter({duck_tokenise('d.text')}, lambda t: length(t) >= 8), 1, 4) AS raw_phrases
-FROM documents d JOIN events e ON e.event_id = d.doc_id * 5
+FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id * 5
 LEFT JOIN labels l ON l.doc_id = d.doc_id
 """

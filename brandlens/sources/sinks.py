@@ -1,17 +1,20 @@
 """Outputs: versioned records + meta envelope, alerts, word cloud, digest text.
 
 Spark cannot overwrite a path it is reading, and a half-written output must never be
-visible, so every write goes to a new version folder and a one-line pointer file is
-switched last. Readers follow the pointer.
+visible, so every write goes to a new version folder. A pointer file for the version is
+added last and older pointers stay, so a reader always finds one: the newest it sees.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import read_if_exists
+
 
 def _new_version() -> str:
     return uuid.uuid4().hex[:16]
@@ -25,16 +28,16 @@ def write_envelope(records: DataFrame, meta: DataFrame, out_dir: str,
     records.write.mode("error").partitionBy(partition_by).parquet(f"{base}/records/{v}")
     meta.coalesce(1).write.mode("error").json(f"{base}/meta/{v}")
     spark = records.sparkSession
-    spark.createDataFrame([(v,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/CURRENT")
+    pointer = spark.createDataFrame([(time.time_ns(), v)], "written long, version string")
+    pointer.coalesce(1).write.mode("append").parquet(f"{base}/pointers")
     return v
 
 
 def current_version(spark: SparkSession, out_dir: str) -> str | None:
-    try:
-        row = spark.read.text(f"{out_dir.rstrip('/')}/CURRENT").first()
-    except Exception:  # noqa: BLE001 - no output yet
+    pointers = read_if_exists(spark, f"{out_dir.rstrip('/')}/pointers")
+    if pointers is None:
         return None
-    return row.value if row else None
+    return pointers.agg(F.max(F.struct("written", "version"))["version"]).first()[0]
 
 
 def read_envelope(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame] | None:
