@@ -136,15 +136,16 @@ def digest_samples(df: DataFrame, order: Sequence[Column],
         F.when(F.col("llm_sentiment").isin("very_positive", "positive"), F.lit("positive")),
         F.when(F.col("topic") == "bug_report", F.lit("bug")),
         F.when(F.col("topic") == "feature_request", F.lit("feature"))), lambda t: t.isNotNull())
-    x = df.select("*", F.explode(tags).alias("bucket"))
+    # the snippet stands for the text from here on, so the window moves no whole texts
+    short = F.substring(F.coalesce(first_nonempty("title", "text"), F.lit("")), 1, snippet)
+    x = df.select("*", F.explode(tags).alias("bucket"), short.alias("snippet")).drop("title", "text")
     w = Window.partitionBy("bucket").orderBy(*order)
     lim = F.lit(None)
     for b, n in k.items():
         lim = F.when(F.col("bucket") == b, F.lit(n)).otherwise(lim)
     r = x.withColumn("rn", F.row_number().over(w))
     r = r.where(F.col("rn") <= F.lit(max(k.values()))).where(F.col("rn") <= lim)
-    return r.select("*", F.substring(F.coalesce(first_nonempty("title", "text"), F.lit("")), 1, snippet)
-                    .alias("snippet")).withColumn("rn", F.col("rn").cast("bigint"))
+    return r.withColumn("rn", F.col("rn").cast("bigint"))
 
 
 def is_digest_day(as_of: str, force: bool = False) -> Column:
@@ -152,13 +153,26 @@ def is_digest_day(as_of: str, force: bool = False) -> Column:
     return F.lit(True) if force else F.dayofweek(F.lit(as_of).cast("date")) == F.lit(1)
 
 
+#: Our own words of the digest; a caller may pass others.
+DIGEST_WORDS = {"title": "What people said,", "total": "Posts in all", "platforms": "Where", "critical": "Urgent faults",
+                "negative": "Unhappy", "positive": "Happy", "bug": "Something is broken", "feature": "Wishes",
+                "nothing": "(nothing)"}
+
+
+def digest_by_model(digest: DataFrame, model_fn: Callable[[list[str]], list[str]], instruction: str) -> DataFrame:
+    """The digest's text rewritten by the model; as it was if the model fails."""
+    from .classify import call_model
+
+    prompts = digest.select(F.lit(0).cast("long").alias("batch_id"), F.lit(1).alias("n"),
+                            F.concat(F.lit(instruction + "\n\n"), F.col("text")).alias("prompt"), "text")
+    answer = call_model(prompts, model_fn, tasks=1).select("batch_id", "response")
+    return prompts.join(answer, "batch_id").select(F.coalesce("response", "text").alias("text"))
+
+
 def digest_text(stats: DataFrame, samples: DataFrame, as_of: str, days: int,
-                buckets: Sequence[tuple[str, str]] = (("negative", "Top negative mentions"),
-                                                      ("positive", "Top positive mentions"),
-                                                      ("bug", "Bug reports"),
-                                                      ("feature", "Feature requests")),
-                force: bool = True) -> DataFrame:
-    """One row `text`: the weekly digest body (header, counts, sample snippets per bucket).
+                words: Mapping[str, str] = DIGEST_WORDS, force: bool = True) -> DataFrame:
+    """One row `text`: the weekly digest body (header, counts, sample snippets per bucket), in
+    the given `words`.
 
     No row unless `as_of` is a Sunday or `force` is set.
 
@@ -173,14 +187,14 @@ def digest_text(stats: DataFrame, samples: DataFrame, as_of: str, days: int,
     tot = stats.agg(F.max(F.when(F.col("dimension") == "total", F.col("n"))).alias("total"),
                     F.max(F.when(F.col("dimension") == "critical", F.col("n"))).alias("critical"))
     parts = []
-    for b, title in buckets:
+    for b in ("negative", "positive", "bug", "feature"):
         lines = samples.where(F.col("bucket") == b).agg(
             F.array_sort(F.collect_list(F.struct("rn", F.concat(F.lit("- "), F.col("snippet")).alias("l"))))
             .alias("xs")).select(F.coalesce(F.nullif(F.array_join(F.transform("xs", lambda x: x["l"]), "\n"),
-                                                     F.lit("")), F.lit("None")).alias("t"))
-        parts.append(F.concat(F.lit(f"\n{title}:\n"), lines.scalar()))
-    header = F.concat(F.lit("Weekly digest "), F.lit(as_of), F.lit("\nData from "), since, F.lit(" to "),
-                      F.lit(as_of), F.lit(":\n- Total mentions: "), F.col("total").cast("string"),
-                      F.lit("\n- By platform: "), F.coalesce(plat.scalar(), F.lit("")),
-                      F.lit("\n- Critical bugs flagged: "), F.col("critical").cast("string"), F.lit("\n"))
+                                                     F.lit("")), F.lit(words["nothing"])).alias("t"))
+        parts.append(F.concat(F.lit(f"\n== {words[b]} ==\n"), lines.scalar()))
+    header = F.concat(F.lit(words["title"] + " "), since, F.lit(" .. "), F.lit(as_of),
+                      F.lit(f"\n{words['total']}: "), F.col("total").cast("string"),
+                      F.lit(f"\n{words['platforms']}: "), F.coalesce(plat.scalar(), F.lit("")),
+                      F.lit(f"\n{words['critical']}: "), F.col("critical").cast("string"), F.lit("\n"))
     return tot.where(is_digest_day(as_of, force)).select(F.concat(header, *parts).alias("text"))

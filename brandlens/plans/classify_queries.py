@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DRIVER_AS_OF, DRIVER_PROFILE, MAX_PROMPT_TEXT
 from ..functions.text import WHITESPACE_RE
-from ..operators.classify import (assign_batches, batch_prompts, cache_admission, call_model,
-                                  incremental_overlay, offline_model, parse_answers, sanitise,
+from ..operators.classify import (DEFAULT_ITEM, assign_batches, batch_prompts, cache_admission, call_model,
+                                  incremental_overlay, parse_answers, sanitise,
                                   sanitise_answer, zip_batch_results)
 from ..operators.dedup import append_unseen
 from ..operators.enrich import enrich_incremental
@@ -17,6 +17,7 @@ from ..session import prepare
 from ..sources.driver import mentions, mentions_sql
 from .mention_queries import _LANDED_SQL, _landed, _sanitise_sql, sanitise_exprs_sql
 from .registry import query
+from .stand_ins import stand_in_model
 
 M = f"WITH mentions AS ({mentions_sql()})"
 P = DRIVER_PROFILE
@@ -39,25 +40,24 @@ def _strip_sql(expr: str) -> str:
 SELECT platform, id, ((row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) // 5)::BIGINT AS batch_id,
        ((row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) % 5)::INTEGER AS pos_in_batch FROM mentions""")
 def q_batch_assign(spark, sf_dir):
-    b = assign_batches(_m(spark, sf_dir), newest_first_order())
-    return b.select("platform", "id", "batch_id", "pos_in_batch")
+    keys = _m(spark, sf_dir).select("platform", "id", "event_time", "seq")
+    return assign_batches(keys, newest_first_order()).select("platform", "id", "batch_id", "pos_in_batch")
 
 
 # --- P3 / C2 prompts (template = our own text; compared on the item block) ------------
 _ITEM_TEMPLATE = "{items}"
-_ITEM_FMT = "%d. [platform=%s] " + '"' * 3 + "%s" + '"' * 3
+_ITEM_FMT = DEFAULT_ITEM.replace("\n", "\\n")
 
 
 @query("batch_prompts", f"""{M},
 b AS (SELECT *, (row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) // 5 AS batch_id,
              (row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) % 5 AS pos FROM mentions),
-it AS (SELECT batch_id, pos, printf('{_ITEM_FMT}', pos + 1, coalesce(platform, 'unknown'),
+it AS (SELECT batch_id, pos, printf(E'{_ITEM_FMT}', pos + 1, coalesce(platform, 'unknown'),
        substring({_strip_sql("coalesce(title, '') || ' ' || coalesce(text, '')")}, 1, {MAX_PROMPT_TEXT})) AS item FROM b)
 SELECT batch_id::BIGINT AS batch_id, count(*)::INTEGER AS n, string_agg(item, chr(10) ORDER BY pos) AS prompt
 FROM it GROUP BY batch_id""")
 def q_batch_prompts(spark, sf_dir):
-    b = assign_batches(_m(spark, sf_dir), newest_first_order())
-    return batch_prompts(b, template=_ITEM_TEMPLATE)
+    return batch_prompts(_batched(spark, sf_dir), template=_ITEM_TEMPLATE)
 
 
 # --- stand-in model responses (from the tables) with the malformations C4 must handle ----
@@ -74,7 +74,7 @@ def _responses(batched: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos_in_batch", ans.alias("a")))).alias("_xs"))
     arr = F.to_json(F.transform("_xs", lambda x: x["a"]))
     first = F.to_json(F.element_at(F.transform("_xs", lambda x: x["a"]), 1))
-    k = F.pmod(F.col("batch_id"), F.lit(7))
+    k = F.pmod(F.col("batch_id"), F.lit(10))
     resp = (F.when(k == 0, arr)
             .when(k == 1, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
             .when(k == 2, F.concat(F.lit("Here you go: "), arr, F.lit(" hope it helps")))
@@ -82,12 +82,17 @@ def _responses(batched: DataFrame) -> DataFrame:
                                  "length(to_json(transform(_xs, x -> x.a))) - 12)"))
             .when(k == 4, F.lit("no answer"))
             .when(k == 5, F.concat(F.lit("["), first, F.lit("]")))
+            .when(k == 6, F.concat(F.lit("[1] "), arr))
+            .when(k == 7, F.concat(F.lit("["), first, F.lit("] and ["), first, F.lit("]")))
+            .when(k == 8, F.translate(arr, '"', "'"))
             .otherwise(first))
     return g.select("batch_id", "n", resp.alias("response"))
 
 
 def _batched(spark, sf_dir) -> DataFrame:
-    return assign_batches(_m(spark, sf_dir), newest_first_order())
+    m = _m(spark, sf_dir).select("platform", "id", "event_time", "seq", "title", "text", "raw_relevance",
+                                 "raw_topic", "raw_sentiment", "raw_phrases")
+    return assign_batches(m, newest_first_order())
 
 
 # --- C4 parse (golden cases are unit-tested too) ----------------------------------------
@@ -105,10 +110,12 @@ b AS (SELECT *, (row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) // 5 AS batch_id
              (row_number() OVER (ORDER BY {_ORDER_SQL}) - 1) % 5 AS pos FROM mentions),
 g AS (SELECT batch_id, count(*)::INTEGER AS n, CAST(to_json(list({ans} ORDER BY pos)) AS VARCHAR) AS arr,
              CAST(to_json(list({ans} ORDER BY pos)[1]) AS VARCHAR) AS first FROM b GROUP BY batch_id),
-resp AS (SELECT batch_id, n, CASE batch_id % 7
+resp AS (SELECT batch_id, n, CASE batch_id % 10
     WHEN 0 THEN arr WHEN 1 THEN '{_FENCE}json' || chr(10) || arr || chr(10) || '{_FENCE}'
     WHEN 2 THEN 'Here you go: ' || arr || ' hope it helps' WHEN 3 THEN substring(arr, 1, length(arr) - 12)
-    WHEN 4 THEN 'no answer' WHEN 5 THEN '[' || first || ']' ELSE first END AS response FROM g),
+    WHEN 4 THEN 'no answer' WHEN 5 THEN '[' || first || ']'
+    WHEN 6 THEN '[1] ' || arr WHEN 7 THEN '[' || first || '] and [' || first || ']'
+    WHEN 8 THEN translate(arr, '"', chr(39)) ELSE first END AS response FROM g),
 t0 AS (SELECT batch_id, n, {strip(f"regexp_replace(regexp_replace({strip('response')}, '(?m)^{_FENCE}[a-z]*\n?', '', 'g'), '(?m)\n?{_FENCE}$', '', 'g')")} AS t FROM resp),
 t1 AS (SELECT *, strpos(t, '[') AS lb, strpos(reverse(t), ']') AS rr FROM t0),
 t2 AS (SELECT *, CASE WHEN lb > 0 AND rr > 0 AND length(t) - rr + 1 > lb
@@ -177,7 +184,7 @@ FROM mo"""
 def q_classify_batches(spark, sf_dir):
     b = _batched(spark, sf_dir)
     prompts = batch_prompts(b)
-    resp = call_model(prompts, offline_model)
+    resp = call_model(prompts, stand_in_model)
     ans = resp.select("batch_id", parse_answers(F.col("response"), F.col("n")).alias("answers"))
     z = zip_batch_results(b, ans)
     return z.select("platform", "id", "batch_id", *sanitise_answer(F.col("answer")))
@@ -240,7 +247,7 @@ FROM ({_classify_sql(m_new)}) c JOIN ({_search_enrich_sql(m_new)}) s USING (plat
 def q_incremental_enrich(spark, sf_dir):
     m = _m(spark, sf_dir)
     cur = m.select("platform", "id", "seq", "title", "text", "event_time", "votes")
-    out, _ = enrich_incremental(cur, _previous_run(m), P, offline_model)
+    out, _ = enrich_incremental(cur, _previous_run(m), P, stand_in_model)
     return out.select("platform", "id", "is_new", "relevance", "topic", "llm_sentiment", "is_critical",
                       "bm25_score", "is_near_duplicate", "fuzzy_brand_match")
 

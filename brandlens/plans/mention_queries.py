@@ -11,11 +11,11 @@ from ..functions.text import WHITESPACE_RE, combined_text, first_nonempty, senti
 from ..operators import gates
 from ..operators.dedup import dedup_first
 from ..operators.reports import global_rank, newest_first_order, rank_by
-from ..operators.rollups import (alert_status, breakdown_share, count_by, count_by_sentiment,
+from ..operators.rollups import (DIGEST_WORDS, alert_status, breakdown_share, count_by, count_by_sentiment,
                                  daily_counts, digest_samples, digest_text, meta_rollup, sentiment_trend)
 from ..operators.sentiment import lexicon_sentiment, lexicon_table
 from ..operators.classify import sanitise
-from ..session import prepare
+from ..session import materialise, prepare
 from ..sources.driver import duck_split_words, mentions, mentions_sql
 from .registry import query
 
@@ -395,8 +395,8 @@ def q_top_engagement(spark, sf_dir):
 # --- T1 / S12 weekly digest text ------------------------------------------------------
 def _digest_sql() -> str:
     def bucket(b: str, title: str) -> str:
-        return (f"'\n{title}:\n' || coalesce((SELECT string_agg('- ' || snippet, chr(10) ORDER BY rn) "
-                f"FROM samp WHERE bucket = '{b}'), 'None')")
+        return (f"'\n== {title} ==\n' || coalesce((SELECT string_agg('- ' || snippet, chr(10) ORDER BY rn) "
+                f"FROM samp WHERE bucket = '{b}'), '{DIGEST_WORDS['nothing']}')")
     return f"""{M}, {_sanitise_sql()},
 w AS (SELECT * FROM san WHERE event_time >= {_SINCE}),
 b AS (SELECT 'negative' AS bucket, 10 AS k, * FROM w WHERE llm_sentiment IN ('very_negative', 'negative')
@@ -408,17 +408,17 @@ samp AS (SELECT bucket, rn, substring(coalesce(nullif(title, ''), nullif(text, '
          FROM r WHERE rn <= k),
 pl AS (SELECT string_agg(p || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY p || ': ' || CAST(n AS VARCHAR)) AS s
        FROM (SELECT coalesce(platform, 'unknown') AS p, count(*) AS n FROM w GROUP BY 1))
-SELECT 'Weekly digest {AS_OF}' || chr(10) || 'Data from ' || strftime(DATE '{AS_OF}' - INTERVAL {DIGEST_DAYS} DAY, '%Y-%m-%d')
-  || ' to {AS_OF}:' || chr(10) || '- Total mentions: ' || (SELECT count(*) FROM w)
-  || chr(10) || '- By platform: ' || coalesce((SELECT s FROM pl), '')
-  || chr(10) || '- Critical bugs flagged: ' || (SELECT count(*) FILTER (WHERE is_critical) FROM w) || chr(10)
-  || {bucket('negative', 'Top negative mentions')} || {bucket('positive', 'Top positive mentions')}
-  || {bucket('bug', 'Bug reports')} || {bucket('feature', 'Feature requests')} AS text"""
+SELECT '{DIGEST_WORDS['title']} ' || strftime(DATE '{AS_OF}' - INTERVAL {DIGEST_DAYS} DAY, '%Y-%m-%d') || ' .. {AS_OF}'
+  || chr(10) || '{DIGEST_WORDS['total']}: ' || (SELECT count(*) FROM w)
+  || chr(10) || '{DIGEST_WORDS['platforms']}: ' || coalesce((SELECT s FROM pl), '')
+  || chr(10) || '{DIGEST_WORDS['critical']}: ' || (SELECT count(*) FILTER (WHERE is_critical) FROM w) || chr(10)
+  || {' || '.join(bucket(b, DIGEST_WORDS[b]) for b in ('negative', 'positive', 'bug', 'feature'))} AS text"""
 
 
 @query("weekly_digest", _digest_sql())
 def q_weekly_digest(spark, sf_dir):
-    w = _sanitised(_m(spark, sf_dir)).where(gates.lookback(AS_OF))
+    # the week's rows are read three times below, the documents once
+    w = materialise(_sanitised(_m(spark, sf_dir)).where(gates.lookback(AS_OF)), "digest-week")
     stats = meta_rollup(w, dims={"platform": "unknown"}, sentiment=False)
     samples = digest_samples(w, newest_first_order())
     return digest_text(stats, samples, AS_OF, DIGEST_DAYS)
@@ -432,6 +432,22 @@ SELECT platform, id, compound, rnk FROM (
   WHERE m.event_time >= {_SINCE} AND m.platform = 'twitter')""")
 def q_browse_most_negative(spark, sf_dir):
     from ..operators.browse import browse
-    s = _sentiment(spark, _m(spark, sf_dir), keep=("seq", "title", "text", "event_time"))
-    b = browse(s, platform="twitter", since_days=DIGEST_DAYS, as_of=AS_OF, sort="most_negative")
+    # filters first, then scores, so only the rows that are shown are scored
+    m = _m(spark, sf_dir).where((F.col("platform") == "twitter") & gates.lookback(AS_OF, DIGEST_DAYS))
+    b = browse(_sentiment(spark, m, keep=("seq", "event_time")), sort="most_negative")
+    return b.select("platform", "id", "compound", "rnk")
+
+
+# --- O4 browse: happy posts of a range of days, happiest first ------------------------------
+@query("browse_most_positive", f"""{M}, {_sentiment_sql_ctes()}
+SELECT platform, id, compound, rnk FROM (
+  SELECT m.platform, m.id, l.compound, row_number() OVER (ORDER BY l.compound DESC NULLS LAST, m.seq) AS rnk
+  FROM mentions m JOIN lab l USING (platform, id)
+  WHERE CAST(m.event_time AS DATE) <= DATE '{AS_OF}' - INTERVAL 2 DAY AND l.label = 'positive')""")
+def q_browse_most_positive(spark, sf_dir):
+    from ..operators.browse import browse
+    import datetime as dt
+    until = str(dt.date.fromisoformat(AS_OF) - dt.timedelta(days=2))
+    s = _sentiment(spark, _m(spark, sf_dir), keep=("seq", "event_time"))
+    b = browse(s, until=until, sentiment="positive", sort="most_positive")
     return b.select("platform", "id", "compound", "rnk")

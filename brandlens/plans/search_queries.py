@@ -21,14 +21,18 @@ def _m(spark, sf_dir):
     return mentions(spark, sf_dir)
 
 
+# the corpus of a mention is its title and its text
+_COMB = "concat_ws(' ', nullif(title, ''), nullif(text, ''))"
+
+
 # --- X5 tokenise -----------------------------------------------------------------
 @query("tokenise", f"""{M}
-SELECT platform, id, {duck_tokenise('text')} AS tokens,
-       len({duck_tokenise('text')}) AS n_tokens
+SELECT platform, id, {duck_tokenise(_COMB)} AS tokens,
+       len({duck_tokenise(_COMB)}) AS n_tokens
 FROM mentions""")
 def q_tokenise(spark, sf_dir):
     m = _m(spark, sf_dir)
-    t = tokenise(F.col("text"))
+    t = tokenise(combined_text("title", "text"))
     return m.select("platform", "id", t.alias("tokens"), F.size(t).cast("bigint").alias("n_tokens"))
 
 
@@ -81,26 +85,26 @@ def q_bm25_top10(spark, sf_dir):
 
 # --- A6 term frequency -------------------------------------------------------------
 @query("term_freq", f"""{M},
-t AS (SELECT platform, id, {duck_tokenise('text')} AS tok FROM mentions)
+t AS (SELECT platform, id, {duck_tokenise(_COMB)} AS tok FROM mentions)
 SELECT platform, id, u.term AS term, count(*)::BIGINT AS tf, max(len(tok))::BIGINT AS dl
 FROM t, unnest(tok) AS u(term) GROUP BY ALL""")
 def q_term_freq(spark, sf_dir):
     m = _m(spark, sf_dir)
-    tf = term_frequencies(m, ("platform", "id"), "text")
+    tf = term_frequencies(m, ("platform", "id"), combined_text("title", "text"))
     return tf.select("platform", "id", "term", F.col("tf").cast("bigint").alias("tf"),
                      F.col("dl").cast("bigint").alias("dl"))
 
 
 # --- A7 document frequency + corpus stats -----------------------------------------
 @query("doc_freq", f"""{M},
-t AS (SELECT platform, id, {duck_tokenise('text')} AS tok FROM mentions),
+t AS (SELECT platform, id, {duck_tokenise(_COMB)} AS tok FROM mentions),
 st AS (SELECT count(*)::BIGINT AS n, round(avg(len(tok)), 6) AS avgdl FROM t)
 SELECT u.term AS term, count(DISTINCT (platform, id))::BIGINT AS df, st.n AS n, st.avgdl AS avgdl
 FROM t, unnest(tok) AS u(term), st GROUP BY u.term, st.n, st.avgdl""")
 def q_doc_freq(spark, sf_dir):
     m = _m(spark, sf_dir)
-    tf = term_frequencies(m, ("platform", "id"), "text")
-    st = corpus_stats(m, "text")
+    tf = term_frequencies(m, ("platform", "id"), combined_text("title", "text"))
+    st = corpus_stats(m, combined_text("title", "text"))
     n = st.select(F.col("n").cast("bigint")).scalar()
     avgdl = st.select(F.round(F.col("avgdl"), 6)).scalar()
     return tf.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("df")).select(
@@ -109,7 +113,7 @@ def q_doc_freq(spark, sf_dir):
 
 # --- R2 TF-IDF vectors ------------------------------------------------------------
 @query("tfidf_vectors", f"""{M},
-t AS (SELECT platform, id, {duck_tokenise('text')} AS tok FROM mentions),
+t AS (SELECT platform, id, {duck_tokenise(_COMB)} AS tok FROM mentions),
 st AS (SELECT count(*)::DOUBLE AS n FROM t),
 tf AS (SELECT platform, id, u.term AS term, count(*)::DOUBLE AS tf, max(len(tok))::DOUBLE AS dl
        FROM t, unnest(tok) AS u(term) GROUP BY ALL),
@@ -118,7 +122,7 @@ SELECT platform, id, term, round(tf / greatest(dl, 1) * ln((st.n + 1) / (df + 1)
 FROM tf JOIN df USING (term), st""")
 def q_tfidf_vectors(spark, sf_dir):
     m = _m(spark, sf_dir)
-    v = tfidf_vectors(m, ("platform", "id"), "text")
+    v = tfidf_vectors(m, ("platform", "id"), combined_text("title", "text"))
     return v.select("platform", "id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -128,7 +132,6 @@ from ..functions.text import fuzzy_contains  # noqa: E402
 from ..operators.cooccurrence import word_cloud  # noqa: E402
 from ..operators.neardup import near_duplicate_flags, near_duplicate_pairs  # noqa: E402
 
-_COMB = "concat_ws(' ', nullif(title, ''), nullif(text, ''))"
 
 
 def _vectors_sql(collapse: bool) -> str:

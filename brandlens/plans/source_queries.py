@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_dir
 from ..sources.driver import mentions, mentions_sql
-from ..sources.driver_landing import write_landed
 from ..sources.landed import load_sources
 from ..sources.sinks import meta_row, read_envelope, write_envelope
 from .registry import query
+from .stand_ins import write_landed
 
 M = f"WITH mentions AS ({mentions_sql()})"
 

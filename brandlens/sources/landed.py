@@ -1,13 +1,14 @@
 """Landed source payloads -> unified mention rows.
 
 Each source lands raw JSON (one file per fetch). Files are read with an explicit schema
-(no inference pass), malformed records are dropped, and a missing file is skipped, as
-the original skips a missing or unparsable file. A JSON-array file (the original's
-format) needs ``multi_line=True``; at scale, land JSON Lines so files split.
-
-Arrival order: every row carries its arrival key (source rank, file rank, row id inside
-the file read, position inside a listing page); `load_sources` turns it into exact dense
-`seq` numbers with `global_rank` (range partitioning, no single task).
+(no inference pass), malformed records are dropped (a path with nothing but malformed records
+is an error), and a missing file is skipped. A JSON-array file needs ``multi_line=True``; at
+scale, land JSON Lines so files split.
+
+Arrival order: every row carries its arrival key (source, position of the path, file name,
+split, row, position inside a listing page); file names must sort by time of fetch. `seq` is
+null until `load_sources` turns the keys into exact dense numbers with `global_rank` (range
+partitioning, no single task).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import SOURCE_ORDER
 from ..functions.text import nullif_empty
+from ..operators.dedup import dedup_first
 from ..operators.reports import global_rank
 
 # Raw payload schemas (field names are the sources' own).
@@ -36,34 +38,51 @@ APPSTORE_REVIEW = "userName string, date timestamp, title string, review string,
 # Unified mention columns produced by every normaliser.
 MENTION_COLUMNS = ("id", "platform", "seq", "title", "text", "author", "url", "channel",
                    "event_time", "votes", "rating", "app_version", "reply_text",
-                   "followers", "likes", "retweets", "replies", "thumbs_up")
+                   "followers", "likes", "retweets", "replies", "thumbs_up", "display_name",
+                   "scraped_at")
 _TYPES = {"seq": "bigint", "event_time": "timestamp_ntz", "votes": "bigint", "rating": "int",
           "followers": "bigint", "likes": "bigint", "retweets": "bigint", "replies": "bigint",
-          "thumbs_up": "bigint"}
+          "thumbs_up": "bigint", "scraped_at": "timestamp_ntz"}
 
-SEQ_SHIFT = 40
+_CORRUPT = "_corrupt_record"
 
 
 def read_json_lenient(spark: SparkSession, paths: Sequence[str], schema: str,
-                      multi_line: bool = False) -> DataFrame:
+                      multi_line: bool = False, check: bool = True) -> DataFrame:
     """Union of the readable files; missing paths are skipped, malformed records dropped.
 
-    Adds `_file_rank` (position of the path in `paths`) and `_row` (order inside it).
+    Adds `_file_rank` (position of the path in `paths`), `_file`, `_block` and `_row` (the
+    file, the start of the split that held the record, and the order inside it), which
+    order the records as they lie in the files, however the files are split.
+
+    With `check` a path whose records are all malformed raises an error that names the
+    counts, e.g. an indented JSON array read without `multi_line`.
     """
     out = None
     for i, p in enumerate(paths):
         try:
-            df = (spark.read.schema(schema).option("multiLine", multi_line)
-                  .option("mode", "DROPMALFORMED").json(p))
+            read = spark.read.option("multiLine", multi_line)
+            df = read.schema(schema).option("mode", "DROPMALFORMED").json(p)
             df.schema  # noqa: B018 - resolves the path now
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            if e.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        df = df.withColumn("_file_rank", F.lit(i)).withColumn("_row", F.monotonically_increasing_id())
+        if check and not multi_line:
+            every = (read.schema(f"{schema}, {_CORRUPT} string").option("mode", "PERMISSIVE")
+                     .option("columnNameOfCorruptRecord", _CORRUPT).json(p))
+            bad, good, _ = every.agg(F.count(_CORRUPT), F.count_if(F.col(_CORRUPT).isNull()),
+                                     F.count(every.columns[0])).first()
+            if bad and not good:
+                raise ValueError(f"{p}: all {bad} records are malformed; is it an array that needs multi_line=True?")
+        df = (df
+              .select("*", F.lit(i).alias("_file_rank"), F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_block"),
+                      F.col("_metadata.file_modification_time").alias("_scraped_at"))
+              .withColumn("_row", F.monotonically_increasing_id()))
         out = df if out is None else out.unionByName(df)
     if out is None:
-        return spark.createDataFrame([], f"{schema}, _file_rank int, _row long")
+        return spark.createDataFrame([], f"{schema}, _file_rank int, _file string, _block long, _scraped_at timestamp, _row long")
     return out
 
 
@@ -71,23 +90,16 @@ def _source_rank(platform: str) -> int:
     return SOURCE_ORDER.index(platform) if platform in SOURCE_ORDER else len(SOURCE_ORDER)
 
 
-def _arrival(platform: str) -> F.Column:
-    """A packed arrival number, exact for one small landing (one partition per file,
-    < 2^26 rows, < 64 files per source); `load_sources` replaces it with exact dense
-    numbers over the full arrival key."""
-    return (F.lit(_source_rank(platform)).cast("bigint") * F.lit(1 << SEQ_SHIFT)
-            + F.col("_file_rank").cast("bigint") * F.lit(1 << 34)
-            + (F.col("_row") * F.lit(1 << 12) + F.col("_pos"))).alias("seq")
-
-
 def _finish(df: DataFrame, cols: dict, platform: str) -> DataFrame:
+    cols = {**cols, "scraped_at": F.col("_scraped_at")}  # when the file was landed
     sel = []
     for c in MENTION_COLUMNS:
         e = cols.get(c, F.lit(None))
         sel.append(e.cast(_TYPES.get(c, "string")).alias(c))
-    # the full arrival key travels along for load_sources
-    key = F.struct(F.lit(_source_rank(platform)).alias("s"), F.col("_file_rank").alias("f"),
-                   F.col("_row").alias("r"), F.col("_pos").alias("p")).alias("_arrival")
+    # the arrival key; load_sources turns it into numbers
+    key = F.struct(F.lit(_source_rank(platform)).alias("source"), F.col("_file_rank").alias("path"),
+                   F.col("_file").alias("file"), F.col("_block").alias("block"),
+                   F.col("_row").alias("row"), F.col("_pos").alias("place")).alias("_arrival")
     return df.select(*sel, key).where(F.coalesce(F.col("id"), F.lit("")) != "")
 
 
@@ -97,14 +109,15 @@ def _with_pos(df: DataFrame) -> DataFrame:
 
 def flatten_listing(pages: DataFrame) -> DataFrame:
     """Listing pages -> one row per child post/comment (fields of `data.children[].data`)."""
-    ex = pages.select("_file_rank", "_row", F.posexplode("data.children").alias("_pos", "child"))
-    return ex.select("_file_rank", "_row", "_pos", "child.data.*")
+    key = ["_file_rank", "_file", "_block", "_row", "_scraped_at"]
+    ex = pages.select(*key, F.posexplode("data.children").alias("_pos", "child"))
+    return ex.select(*key, "_pos", "child.data.*")
 
 
 def normalise_reddit(posts: DataFrame) -> DataFrame:
     posts = _with_pos(posts)
     return _finish(posts, {
-        "id": F.col("id"), "platform": F.lit("reddit"), "seq": _arrival("reddit"),
+        "id": F.col("id"), "platform": F.lit("reddit"),
         "title": F.coalesce(F.col("title"), F.lit("")),
         "text": F.coalesce(nullif_empty("selftext"), nullif_empty("body"), F.lit("")),
         "author": F.coalesce(F.col("author"), F.lit("")),
@@ -118,7 +131,7 @@ def normalise_reddit(posts: DataFrame) -> DataFrame:
 def normalise_tweets(tweets: DataFrame) -> DataFrame:
     tweets = _with_pos(tweets)
     return _finish(tweets, {
-        "id": F.col("id").cast("string"), "platform": F.lit("twitter"), "seq": _arrival("twitter"),
+        "id": F.col("id").cast("string"), "platform": F.lit("twitter"),
         "text": F.coalesce(F.col("rawContent"), F.lit("")),
         "author": F.coalesce(F.col("user.username"), F.lit("")),
         "url": F.coalesce(F.col("url"), F.lit("")), "event_time": F.col("date"),
@@ -126,13 +139,14 @@ def normalise_tweets(tweets: DataFrame) -> DataFrame:
         "likes": F.coalesce(F.col("likeCount"), F.lit(0)),
         "retweets": F.coalesce(F.col("retweetCount"), F.lit(0)),
         "replies": F.coalesce(F.col("replyCount"), F.lit(0)),
+        "display_name": F.coalesce(F.col("user.displayname"), F.lit("")),
     }, "twitter")
 
 
 def normalise_play(reviews: DataFrame, app_url: str = "") -> DataFrame:
     reviews = _with_pos(reviews)
     return _finish(reviews, {
-        "id": F.col("reviewId"), "platform": F.lit("playstore"), "seq": _arrival("playstore"),
+        "id": F.col("reviewId"), "platform": F.lit("playstore"),
         "text": F.coalesce(F.col("content"), F.lit("")),
         "author": F.coalesce(F.col("userName"), F.lit("")), "url": F.lit(app_url),
         "event_time": F.col("at"), "rating": F.coalesce(F.col("score"), F.lit(0)),
@@ -149,7 +163,7 @@ def normalise_appstore(reviews: DataFrame) -> DataFrame:
     reviews = _with_pos(reviews)
     return _finish(reviews, {
         "id": F.concat(F.lit("ios_"), F.sha2(key, 256)), "platform": F.lit("appstore"),
-        "seq": _arrival("appstore"), "title": F.coalesce(F.col("title"), F.lit("")),
+        "title": F.coalesce(F.col("title"), F.lit("")),
         "text": F.coalesce(F.col("review"), F.lit("")),
         "author": F.coalesce(F.col("userName"), F.lit("")), "event_time": F.col("date"),
         "rating": F.coalesce(F.col("rating"), F.lit(0)),
@@ -159,8 +173,12 @@ def normalise_appstore(reviews: DataFrame) -> DataFrame:
 
 def load_sources(spark: SparkSession, reddit: Sequence[str] = (), twitter: Sequence[str] = (),
                  playstore: Sequence[str] = (), appstore: Sequence[str] = (),
-                 multi_line: bool = False) -> DataFrame:
-    """All four sources normalised and unioned (source order reddit, twitter, play, app)."""
+                 multi_line: bool = False, first_wins: bool = False) -> DataFrame:
+    """All four sources normalised and unioned (source order reddit, twitter, play, app).
+
+    With `first_wins` only the first arrival of each (platform, id) stays, e.g. when the Play
+    Store paths are a list of the newest and a list of the most relevant reviews.
+    """
     parts = [
         normalise_reddit(flatten_listing(read_json_lenient(spark, reddit, REDDIT_PAGE, multi_line))),
         normalise_tweets(read_json_lenient(spark, twitter, TWEET, multi_line)),
@@ -173,4 +191,5 @@ def load_sources(spark: SparkSession, reddit: Sequence[str] = (), twitter: Seque
     # exact dense arrival numbers over (source, file, row, position): one range shuffle,
     # no assumption about partition or file counts
     ranked = global_rank(out, [F.col("_arrival")], "_seq")
-    return ranked.withColumn("seq", F.col("_seq")).drop("_seq", "_arrival").select(*MENTION_COLUMNS)
+    numbered = ranked.withColumn("seq", F.col("_seq")).select(*MENTION_COLUMNS)
+    return dedup_first(numbered) if first_wins else numbered

@@ -5,10 +5,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brandlens.config import BrandProfile
-from brandlens.operators.classify import offline_model
 from brandlens.operators.dedup import dedup_first
 from brandlens.operators.enrich import enrich_incremental
 from brandlens.operators.gates import relevance_gate
+from brandlens.plans.stand_ins import stand_in_model
 
 WORDS = ["acme", "app", "motor", "happy", "bug", "crash", "fine", "great"]
 SCHEMA = "platform string, id string, seq long, title string, text string"
@@ -40,16 +40,54 @@ def test_gate_is_monotone_in_blocklist(spark, texts, extra_block):
     assert all(x or not y for x, y in zip(a, b))  # passing the bigger blocklist implies passing the smaller
 
 
+def test_model_sees_each_batch_once_and_a_killed_run_goes_on(spark, tmp_path):
+    from brandlens.operators.classify import assign_batches, batch_prompts, stored_answers
+    import pytest
+    log = tmp_path / "calls"
+    log.write_text("")
+    rows = [("r", str(i), i, None, f"post number {i}") for i in range(23)]
+    cur = spark.createDataFrame(rows, SCHEMA).withColumn("event_time", F.lit(None).cast("timestamp_ntz"))
+    p = BrandProfile(brand="acme", variants=("acmex",), reference_query="post")
+    path = str(log)
+
+    def counting(prompts):
+        with open(path, "a") as f:
+            f.write("x\n" * len(prompts))
+        return [stand_in_model([x])[0] for x in prompts]
+
+    out, meta = enrich_incremental(cur, None, p, counting, search=False, answers=str(tmp_path / "answers"),
+                                   backend="stand-in")
+    m = meta.first()
+    assert out.count() == 23 and (m.total, m.new_this_run, m.llm_backend, m.llm_enriched, m.search_enriched) == (
+        23, 23, "stand-in", True, False)
+    assert m.by_platform == {"r": 23} and sum(m.by_topic.values()) == 23
+    assert len(log.read_text().split()) == 5
+
+    def dying(prompts):
+        if any("post number 22" in x for x in prompts):
+            raise SystemExit  # the worker dies, and with it the run
+        return counting(prompts)
+
+    log.write_text("")
+    prompts = batch_prompts(assign_batches(cur, [F.col("seq").asc()]))
+    store = str(tmp_path / "again")
+    with pytest.raises(Exception):
+        stored_answers(prompts, dying, store, wave=2, tasks=1)
+    before = len(log.read_text().split())
+    assert stored_answers(prompts, counting, store, wave=2, tasks=1).count() == 5
+    assert before == 4 and len(log.read_text().split()) == 5
+
+
 def test_incremental_twice_equals_once(spark):
     p = BrandProfile(brand="acme", variants=("acmex",), reference_query="acme app crash")
     rows = [("r", str(i), i, None, f"acme app {'crash bug' if i % 3 == 0 else 'great fine'} number{i} longword{i}")
             for i in range(23)]
     cur = spark.createDataFrame(rows, SCHEMA).withColumn("event_time", F.lit(None).cast("timestamp_ntz"))
-    first, meta1 = enrich_incremental(cur, None, p, offline_model)
+    first, meta1 = enrich_incremental(cur, None, p, stand_in_model)
     first_rows = first.collect()
     assert meta1.first().new_this_run == len(rows)
     prev = spark.createDataFrame(first_rows, first.schema).drop("is_new")
-    second, meta2 = enrich_incremental(cur, prev, p, offline_model)
+    second, meta2 = enrich_incremental(cur, prev, p, stand_in_model)
     cols = ["platform", "id", "relevance", "topic", "llm_sentiment", "key_phrases", "is_critical"]
     # every row got >= 1 key phrase in the first run, so nothing is new the second time
     assert all(r.key_phrases for r in first_rows)

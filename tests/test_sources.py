@@ -45,7 +45,7 @@ def test_reddit_listing_flatten_and_fallbacks(spark):
     assert sorted(rows) == ["p1", "p2"]
     assert rows["p1"].text == "from body" and rows["p2"].text == "self"
     assert rows["p1"].url == "https://reddit.com/r/x/p1" and rows["p2"].title == ""
-    assert rows["p1"].seq < rows["p2"].seq
+    assert rows["p1"]._arrival < rows["p2"]._arrival
 
 
 def test_tweet_defaults(spark):
@@ -97,3 +97,42 @@ def test_alert_cloud_digest_sinks(spark):
     assert got == [("other", 2), ("word", 3)]
     write_digest(spark.createDataFrame([("Weekly digest\nline",)], "text string"), f"{base}/digest")
     assert [r.value for r in spark.read.text(f"{base}/digest").collect()] == ["Weekly digest", "line"]
+
+
+def test_folder_order_does_not_depend_on_file_sizes(spark):
+    from brandlens.operators.dedup import dedup_first
+    from brandlens.sources.landed import load_sources
+    base = scratch_dir(spark, "t-json").replace("file:", "")
+    old = [{"id": 1, "rawContent": "first fetch"}]
+    new = [{"id": 1, "rawContent": "second fetch"}] + [{"id": i, "rawContent": "x" * 200} for i in range(2, 4000)]
+    for name, rows in (("2024-01-01", old), ("2024-01-02", new)):
+        _write(f"{base}/tw/{name}.json", "\n".join(map(json.dumps, rows)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "50000"):  # whole files, then many splits
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = dedup_first(load_sources(spark, twitter=[f"{base}/tw"])).orderBy("seq").collect()
+            assert [r.id for r in rows] == [str(i) for i in range(1, 4000)]
+            assert rows[0].text == "first fetch"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_first_wins_over_two_lists(spark):
+    from brandlens.sources.landed import load_sources
+    base = scratch_dir(spark, "t-json").replace("file:", "")
+    _write(f"{base}/new.json", json.dumps([{"reviewId": "a", "content": "newest"}, {"reviewId": "b"}]))
+    _write(f"{base}/rel.json", json.dumps([{"reviewId": "a", "content": "relevant"}, {"reviewId": "c"}]))
+    rows = load_sources(spark, playstore=[f"{base}/new.json", f"{base}/rel.json"], multi_line=True,
+                        first_wins=True).collect()
+    assert sorted((r.id, r.text) for r in rows) == [("a", "newest"), ("b", ""), ("c", "")]
+    assert all(r.scraped_at is not None for r in rows)
+
+
+def test_all_malformed_is_an_error(spark):
+    import pytest
+    base = scratch_dir(spark, "t-json").replace("file:", "")
+    _write(f"{base}/indented.json", json.dumps([{"reviewId": "a"}, {"reviewId": "b"}], indent=2))
+    with pytest.raises(ValueError, match="multi_line"):
+        read_json_lenient(spark, [f"{base}/indented.json"], PLAY_REVIEW)
+    assert read_json_lenient(spark, [f"{base}/indented.json"], PLAY_REVIEW, multi_line=True).count() == 2
