@@ -159,14 +159,19 @@ def word_ids(path: str, most: int = WORDS) -> WordIds:
 # ---- the grammar -----------------------------------------------------------------------
 
 
-def frequent_pairs(keys: np.ndarray, least: int, share: float, most: int) -> np.ndarray:
-    """The frequent values of `keys`, the most frequent ones first."""
+def frequent_pairs(keys: np.ndarray, shift: int, ends: np.ndarray, least: int, share: float,
+                   most: int) -> np.ndarray:
+    """The frequent pairs of `keys` that do not begin with the end of a document, the most
+    frequent ones first."""
     keys = np.sort(keys)
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     counts = np.diff(np.append(at, len(keys)))
-    chosen = np.flatnonzero(counts >= max(least, int(counts.max(initial=0) * share)))
-    chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:most]]
-    return keys[at[chosen]]
+    often = counts >= least
+    pairs, counts = keys[at[often]], counts[often]
+    inside = ~ends[pairs >> keys.dtype.type(shift)]
+    pairs, counts = pairs[inside], counts[inside]
+    chosen = np.flatnonzero(counts >= counts.max(initial=0) * share)
+    return pairs[chosen[np.argsort(-counts[chosen], kind="stable")[:most]]]
 
 
 def without_overlap(at: np.ndarray) -> np.ndarray:
@@ -197,23 +202,24 @@ def compress(ids: np.ndarray, n_terminals: int, end_id: int, least: int = MIN_PA
     ends[end_id] = True
     while space > 0 and len(seq) > 1:
         keys = (seq[:-1].astype(kind) << kind(shift)) | seq[1:]
-        closed = np.flatnonzero(ends[seq[:-1]])  # pairs that would reach into the next document
-        pairs = frequent_pairs(np.delete(keys, closed), least, share, min(space, 1 << 13))
+        pairs = frequent_pairs(keys, shift, ends, least, share, min(space, 1 << 13))
         if not len(pairs):
             break
         # one pair to a slot; of pairs that share a slot the most frequent one has its turn
         slots, first = np.unique((pairs * kind(mixer)) >> to_slot, return_index=True)
         pairs = pairs[first]
+        pair_at = np.zeros(1 << 20, kind)  # an empty slot holds a key of another slot
+        pair_at[0] = 1
+        pair_at[slots] = pairs
         rule_at = np.zeros(1 << 20, np.int16)
         rule_at[slots] = np.arange(len(pairs))  # at most 2^13
-        rule = rule_at[(keys * kind(mixer)) >> to_slot]
-        hit = pairs[rule] == keys
-        hit[closed] = False
-        at = np.flatnonzero(hit)
+        slot = (keys * kind(mixer)) >> to_slot
+        at = np.flatnonzero(pair_at[slot] == keys)
         at = at[without_overlap(at)]
+        rule = rule_at[slot[at]].astype(np.uint32)
         left = (pairs >> kind(shift)).astype(np.uint32)
         right = (pairs & kind((1 << shift) - 1)).astype(np.uint32)
-        seq[at] = rule[at].astype(np.uint32) + np.uint32(len(lengths))
+        seq[at] = rule + np.uint32(len(lengths))
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
@@ -258,6 +264,22 @@ def grammar_of(row) -> tuple[Grammar, np.ndarray]:
 
 # ---- writing and reading ----------------------------------------------------------------
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list]]:
+    """Texts and ids of the rows of all batches, in groups of about `most` bytes: the words of a
+    large group repeat more, so fewer are looked up."""
+    rows: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for piece in pieces(batch, most):
+            rows.append(piece)
+            size += pc.sum(pc.binary_length(piece["text"])).as_py()
+            if size >= most:
+                yield pa.concat_arrays([r["text"] for r in rows]), pa.concat_arrays([r["doc_id"] for r in rows]).to_pylist()
+                rows, size = [], 0
+    if rows:
+        yield pa.concat_arrays([r["text"] for r in rows]), pa.concat_arrays([r["doc_id"] for r in rows]).to_pylist()
+
+
 schema = pa.schema([
     ("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
     ("doc_ids", pa.list_(pa.int64())), ("doc_n", pa.list_(pa.int64())), ("n_terminals", pa.int32()),
@@ -284,23 +306,21 @@ def write(docs: DataFrame, out: str, path: str = VOCABULARY, end_id: int = END_I
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for piece in pieces(batch, SLICE_BYTES):
-                ids, n = words.encode(piece["text"])
-                # the end id after the ids of each document
-                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
-                at = 0
-                for doc_id, end, count in zip(piece["doc_id"].to_pylist(), np.cumsum(n).tolist(),
-                                              n.tolist(), strict=True):
-                    doc_ids.append(doc_id)
-                    doc_n.append(count)
-                    size += count
-                    if size >= shard_ids:
-                        parts.append(ids[at:end])
-                        yield packed()
-                        at, shard, first = end, shard + 1, first + size
-                        doc_ids, doc_n, parts, size = [], [], [], 0
-                parts.append(ids[at:])
+        for texts, ids_of_texts in gathered(batches, SLICE_BYTES):
+            ids, n = words.encode(texts)
+            # the end id after the ids of each document
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            at = 0
+            for doc_id, end, count in zip(ids_of_texts, np.cumsum(n).tolist(), n.tolist(), strict=True):
+                doc_ids.append(doc_id)
+                doc_n.append(count)
+                size += count
+                if size >= shard_ids:
+                    parts.append(ids[at:end])
+                    yield packed()
+                    at, shard, first = end, shard + 1, first + size
+                    doc_ids, doc_n, parts, size = [], [], [], 0
+            parts.append(ids[at:])
         if doc_ids:
             yield packed()
 
