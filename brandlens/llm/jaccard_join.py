@@ -10,11 +10,14 @@ A pair that reaches the lowered threshold is verified by probing the larger set,
 search, for the shingles of the smaller one.
 
 Only nodes that are in so many long lists that the lowered threshold is zero can be similar
-without meeting in a short list. They are large families of near copies. Their lists are
-searched by pivots: in each round every node of a list is verified against one pivot of the
-list, linked nodes become one component, and what is left after the rounds are the pairs of
-nodes of different components, which are all verified. So no pair inside a component has to
-be looked at and no link between components is lost.
+without meeting in a short list. They are large families of near copies. Of their long lists
+only the rarest ones are needed, as many as the node has beyond the threshold. These are
+searched by a pivot first: every node of a list is verified against one node of the list, and
+linked nodes become one component. What is left are nodes of different components. They are
+dealt into blocks of bounded size, every two blocks that share a list are compared in one
+task by counting the shingles that their nodes have in common, and a task returns only links
+that join components it has not joined yet. So no pair is ever a row, nothing inside a
+component is looked at again, and no link between components is lost.
 
 Links end as connected components, found by rounds of minimum labels in Spark. State between
 rounds is written to the shared folder.
@@ -33,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, by_value, documents, materialise, sized_broadcast, table
+from .common import BROADCAST_BYTES, by_value, conf, documents, materialise, sized_broadcast, table
 from .ngrams import Texts, pieces
 
 by_value(__name__)
@@ -48,7 +51,10 @@ PERCENT = 85
 LONG = 32
 #: Entries of the lists that are merged in one place.
 PLACE_ENTRIES = 1_000_000
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
+#: Nodes of a block, and shingles counted at once when two blocks are compared.
+BLOCK_NODES = 512
+COUNTED = 4096
 #: Words are what stands between blanks and the control characters 9 to 13.
 SIGNS = np.array([32 if b == 32 or 9 <= b <= 13 else b for b in range(256)], np.uint8)
 
@@ -303,6 +309,104 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "component")
 
 
+def classes_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node and component of all `nodes`; a node without a link is its own component."""
+    return materialise(nodes.join(components(links), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")), "join-classes")
+
+
+# ---- blocks of nodes in long lists ----------------------------------------------------------
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of `a` has in common with each set of `b`."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    counts = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return counts
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        shingle = np.concatenate(sets)
+        column = np.minimum(np.searchsorted(both, shingle), len(both) - 1)
+        known = both[column] == shingle
+        return row[known], column[known]
+
+    (row_a, column_a), (row_b, column_b) = entries(a), entries(b)
+    for first in range(0, len(both), COUNTED):  # a bounded number of shingles at a time
+        held = []
+        for row, column, n in ((row_a, column_a, len(a)), (row_b, column_b, len(b))):
+            matrix = np.zeros((n, COUNTED), np.float32)
+            some = (column >= first) & (column < first + COUNTED)
+            matrix[row[some], column[some] - first] = 1
+            held.append(matrix)
+        counts += held[0] @ held[1].T
+    return counts
+
+
+def joining_links(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
+    """Links between nodes of two blocks, each of which joins two components that the links
+    before it have not joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sets = [[np.frombuffer(x["shingles"], np.uint64) for x in block] for block in (a, b)]
+    n, m = (np.array([len(x) for x in s]) for s in sets)
+    similar_to = 100 * (common := common_counts(*sets)) >= PERCENT * (n[:, None] + m[None, :] - common)
+    component = np.array([x["component"] for x in b])
+    out = []
+    for i, row in enumerate(similar_to):
+        hits = np.flatnonzero(row & (component != a[i]["component"]))
+        for j in hits[np.unique(component[hits], return_index=True)[1]].tolist():
+            x, y = root(a[i]["component"]), root(b[j]["component"])
+            if x != y:
+                parent[x] = y
+                out.append((a[i]["node"], b[j]["node"]))
+    return out
+
+
+def block_links(family: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """Links between nodes of different components that share a long list (a, b)."""
+    # nodes with the same rarest list are neighbours; a large group of them is split
+    group = family.filter("rank = 1").select("node", F.col("shingle").alias("home"))
+    sizes = group.groupBy("home").agg(F.count("*").alias("size"))
+    n_small = sizes.filter(F.col("size") < BLOCK_NODES).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large = F.col("size") >= BLOCK_NODES
+    split = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES))
+    shared = F.pmod(F.xxhash64("home"), F.lit(n_small // BLOCK_NODES + 1))
+    placed = materialise(group.join(sizes, "home").join(label, "node").select(
+        "node", "component", F.when(large, F.col("home")).otherwise(F.lit(0)).alias("home"),
+        F.when(large, split).otherwise(shared).alias("part"), large.alias("large"))
+        .withColumn("block", F.xxhash64("large", "home", "part")), "join-placed")
+    pure = placed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    held = family.join(placed.select("node", "block"), "node").select("block", "shingle").distinct().join(pure, "block")
+    other = held.select("shingle", F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    pairs = (held.withColumnRenamed("block", "a").join(other, "shingle")
+             # two blocks of one component have nothing to tell
+             .filter("a <= b AND NOT (low = high AND low_b = high_b AND low = low_b)").select("a", "b").distinct())
+    # about BLOCK_NODES nodes a row
+    packed = materialise(placed.select("node", "component", "block").join(sets, "node").groupBy("block").agg(
+        F.collect_list(F.struct("node", "component", "shingles")).alias("nodes")), "join-blocks")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = joining_links(batch["of_a"][i].as_py(), batch["of_b"][i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()),
+                                                  pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    rows = (materialise(pairs, "join-block-pairs")
+            .join(packed.select(F.col("block").alias("a"), F.col("nodes").alias("of_a")), "a")
+            .join(packed.select(F.col("block").alias("b"), F.col("nodes").alias("of_b")), "b"))
+    with conf(family.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="4"):
+        return materialise(rows.repartition("a", "b").select("of_a", "of_b").mapInArrow(compare, "a long, b long"),
+                           "join-links")
+
+
 def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame:
     """node and component of every node that is linked with another one."""
     spark = docs.sparkSession
@@ -320,9 +424,15 @@ def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame
         .withColumn("skipped", F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))))
         .filter(F.col("shared") >= F.least(column_wanted(F.col("n_a")), column_wanted(F.col("n_b"))) - F.col("skipped"))
         .select("a", "b"), "join-candidates")
-    # nodes that may have met a similar one in long lists only
-    family = materialise(long_lists.join(
-        in_long.filter(F.col("long") >= column_lowest(F.col("n"))).select("node"), "node", "left_semi"), "join-family")
+    # Nodes that may have met a similar one in long lists only. The rarest shingle that a pair
+    # shares is, in either node, among the rarest `long - l + 1` of its long lists: at least
+    # l - 1 shared ones follow it. So a node is looked for in these lists alone.
+    length = long_lists.groupBy("shingle").agg(F.count("*").alias("length"))
+    spare = in_long.select("node", (F.col("long") - column_lowest(F.col("n")) + 1).alias("spare")).filter("spare > 0")
+    rarest = Window.partitionBy("node").orderBy("length", "shingle")
+    family = materialise(long_lists.join(spare, "node").join(length, "shingle")
+                         .withColumn("rank", F.row_number().over(rarest)).filter("rank <= spare")
+                         .select("shingle", "node", "n", "rank"), "join-family")
     nodes = (short_pairs.select(F.col("a").alias("node")).unionByName(short_pairs.select(F.col("b").alias("node")))
              .unionByName(family.select("node")).distinct())
     nodes = materialise(nodes, "join-nodes")
@@ -353,26 +463,16 @@ def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame
                           .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
             pairs = one.unionByName(with_pivot.distinct().join(tested, ["a", "b"], "left_anti"))
         else:
-            # every pair that is left: nodes of a list in different components
-            mixed = (placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                     .filter("x <> y").select("shingle"))
-            left = placed.join(mixed, "shingle", "left_semi")
-            right = left.select("shingle", F.col("node").alias("b"), F.col("component").alias("at_b"), F.col("n").alias("n_b"))
-            met = (left.withColumnRenamed("node", "a").join(right, "shingle")
-                   .filter("a < b AND component <> at_b")
-                   .filter(100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
-                   .select("a", "b").distinct())
-            pairs = apart(short_pairs).unionByName(met.join(tested, ["a", "b"], "left_anti"))
+            pairs = apart(short_pairs)
         pairs = materialise(pairs.distinct(), "join-pairs")
-        if pairs.isEmpty():
-            if turn < PIVOT_ROUNDS:
-                continue
-            break
-        links = links.unionByName(materialise(verify(pairs, texts), "join-links"))
-        tested = tested.unionByName(pairs)
-        found_now = components(links)
-        label = materialise(nodes.join(found_now, "node", "left").select(
-            "node", F.coalesce("component", "node").alias("component")), "join-classes")
+        if not pairs.isEmpty():
+            links = links.unionByName(materialise(verify(pairs, texts), "join-links"))
+            tested = tested.unionByName(pairs)
+            label = classes_of(nodes, links)
+    more = block_links(family, texts, label)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        label = classes_of(nodes, links)
     return label.join(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
                       .distinct(), "node", "left_semi")
 

@@ -73,13 +73,29 @@ def test_components_equal_brute_force(spark, monkeypatch, long):
     check(spark, corpus())
 
 
-def test_pairs_left_after_the_pivot_rounds(spark, monkeypatch):
-    """Without pivot rounds every pair is verified; the components are the same."""
+def test_blocks_find_what_pivots_leave(spark, monkeypatch):
+    """Without pivots all links of long lists come from blocks; the components are the same."""
     monkeypatch.setattr(X, "LONG", 3)
     monkeypatch.setattr(X, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(X, "BLOCK_NODES", 16)
+    monkeypatch.setattr(X, "COUNTED", 64)
     check(spark, corpus()[:150])
 
 
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(X, "COUNTED", 7)
+    rng = np.random.default_rng(4)
+    a, b = ([np.unique(rng.integers(0, 50, k)).astype(np.uint64) for k in rng.integers(1, 40, 12)] for _ in range(2))
+    assert (X.common_counts(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
+def test_links_of_blocks_join_each_component_once():
+    one = np.arange(20, dtype=np.uint64).tobytes()
+    block = [{"node": i, "component": i // 2, "shingles": one} for i in range(10)]
+    found = X.joining_links(block, block)
+    assert len(found) == 4  # five components, joined by four links
+
+
 def test_odd_rows(spark, odd_docs, texts, no_docs):
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in X.join(odd_docs).collect()), key=repr)
     assert found == brute(texts)
