@@ -62,3 +62,39 @@ def test_one_query_for_each_operator(number):
 
 def test_registered_oracles():
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+CONTRACT = {
+    "op1_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op2_grammar_ids": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op3_contamination": "doc_id bigint, item_id bigint, distance int, item_words int, place bigint",
+    "op4_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op5_main_text": "page_id bigint, url string, text string, n_chars bigint",
+    "op6_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op7_private_data": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
+                        "base_sha256 string, spans string",
+    "op8_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op10_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_query_runs_over_its_whole_table(spark, sf, name):
+    rows = queries.QUERIES[name](spark, sf)
+    assert ", ".join(" ".join(x) for x in rows.dtypes) == CONTRACT[name]
+    table = "pages" if "page_id" in rows.columns else "documents"
+    key = "page_id" if table == "pages" else "doc_id"
+    ids = sorted(r[0] for r in duckdb.sql(f"SELECT {key} FROM '{sf}/{table}.parquet'").fetchall())
+    found = sorted(r[key] for r in rows.select(key).collect())
+    assert found == ids if name != "op3_contamination" else set(found) <= set(ids)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    expected = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in expected.description]
+    rows = queries.QUERIES[name](spark, sf).select(*columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(expected.fetchall())
