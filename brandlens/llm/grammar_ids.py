@@ -329,9 +329,9 @@ def write(docs: DataFrame, out: str, path: str = VOCABULARY, end_id: int = END_I
      .write.option("compression", "zstd").parquet(out))
 
 
-def read(spark, out: str) -> DataFrame:
-    """Every document of the files in `out`: doc_id, start (ids before it), n_tokens, ids
-    (unsigned 32-bit little-endian), ids_crc32."""
+def read(spark, out: str, with_ids: bool = True) -> DataFrame:
+    """Every document of the files in `out`: doc_id, start (ids before it), n_tokens, ids_crc32
+    (of its ids as read) and, unless they are not wanted, ids (unsigned 32-bit little-endian)."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -342,17 +342,17 @@ def read(spark, out: str) -> DataFrame:
                 ends = np.cumsum(n)
                 starts = ends - n
                 texts = [ids[4 * a:4 * b] for a, b in zip(starts, ends, strict=True)]
-                yield pd.DataFrame({
+                made = pd.DataFrame({
                     "doc_id": pd.array(row.doc_ids, "Int64"), "start": starts + row.first,
-                    "n_tokens": n, "ids": texts, "ids_crc32": [zlib.crc32(t) for t in texts],
-                    "part": row.part})
+                    "n_tokens": n, "ids_crc32": [zlib.crc32(t) for t in texts], "part": row.part})
+                yield made.assign(ids=texts) if with_ids else made
 
     shards = spark.read.parquet(out)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row per part
     before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     rows = shards.mapInPandas(
-        expand, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long, part int")
+        expand, "doc_id long, start long, n_tokens long, ids_crc32 long, part int" + ", ids binary" * with_ids)
     return (rows.join(before, "part")
             .withColumn("start", F.col("start") + F.col("before")).drop("part", "before"))
 
@@ -361,4 +361,4 @@ def op2_grammar_ids(spark, sf_dir: str) -> DataFrame:
     """Write the ids of every whole document as grammar shards and read the files back."""
     out = f"{scratch_dir(spark, 'grammar-ids')}/shards"
     write(table(spark, sf_dir, "documents"), out)
-    return read(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(spark, out, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -495,7 +495,7 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     label = materialise(nodes.join(named, "node", "left").filter("rows > 1 OR component_id IS NOT NULL").select(
         "node", F.coalesce("component_id", "first").alias("component_id")), "join-label")
     return (sets.select("doc_id", "text_key", "n", "node")
-            .join(sized_broadcast(label, label.count(), 24), "node", "left")
+            .join(sized_broadcast(label, label.count(), 64), "node", "left")
             .select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 
@@ -507,7 +507,7 @@ def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
     dropped = materialise(join(docs, words).filter("NOT doc_id <=> component_id").select(
         F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).distinct(), "join-dropped")
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(sized_broadcast(dropped, dropped.count(), 24),
+    return docs.join(sized_broadcast(dropped, dropped.count(), 64),
                      docs["doc_id"].cast("long").eqNullSafe(F.col("drop_id")) & (key == F.col("drop_key")),
                      "left_anti")
 
