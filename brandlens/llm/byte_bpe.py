@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, documents, table
+from .common import by_value, documents, release_memory, table
 from .ngrams import pieces
 from .tokens import Slices
 
@@ -154,10 +154,10 @@ def split_blocks(docs: DataFrame, block_bytes: int, places: int, what: str) -> D
                 if size >= block_bytes:
                     yield packed()
                     block, rows, size = block + 1, [], 0
-                    pa.default_memory_pool().release_unused()
+                    release_memory()
         if rows:
             yield packed()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return documents(docs).mapInArrow(split, {
         "words": "block long, mark long, words array<binary>",
@@ -196,6 +196,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
                     [pa.array([row["of_block"]]), pa.array([row["of_mark"]]), pa.array([at], pa.int32()),
                      pa.array([pack_numbers(n)]), pa.array([pack_numbers(np.frombuffer(b"".join(ids), "<u4"))])],
                     ["of_block", "of_mark", "place", "n", "ids"])
+        release_memory()
 
     def reassemble(key, block: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         if set(words["of_mark"]) - set(block["mark"]) or not len(block):
@@ -218,6 +219,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
                     cut = np.concatenate(([0], np.cumsum(ids.lengths[own])))[np.concatenate(([0], ends[group] - lo))]
                     made += [joined[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
         doc_ids = [x for row in block.itertuples() for x in row.doc_ids]
+        release_memory()
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in doc_ids], "Int64"),
                              "ids": made})
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from brandlens.session import materialise, scratch_dir
 
 __all__ = ["by_value", "materialise", "scratch_dir", "documents", "table", "conf", "sized_broadcast",
-           "crc_remainder", "bounded_batches"]
+           "crc_remainder", "bounded_batches",
+           "release_memory"]
 
 #: A side is broadcast only when its counted rows times this estimate stay below the bound.
 BROADCAST_BYTES = 32 << 20
@@ -27,6 +30,16 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, which a worker would keep for its next task while
+    the other processes of the machine need it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

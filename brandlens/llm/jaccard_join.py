@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, by_value, conf, documents, materialise, sized_broadcast, table
+from .common import BROADCAST_BYTES, by_value, conf, documents, materialise, release_memory, sized_broadcast, table
 from .ngrams import Texts, pieces
 
 by_value(__name__)
@@ -211,6 +211,7 @@ def search_lists(sets: DataFrame, places: int) -> DataFrame:
                 rows.append(row)
         if rows:
             yield from merged(rows)
+        release_memory()
 
     return (by_place(sets, places).repartition(places, "place").sortWithinPartitions("place")
             .mapInArrow(merge, "kind string, a long, b long, n_a int, n_b int, shared int"))
@@ -466,7 +467,8 @@ def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame
             pairs = apart(short_pairs)
         pairs = materialise(pairs.distinct(), "join-pairs")
         if not pairs.isEmpty():
-            links = links.unionByName(materialise(verify(pairs, texts), "join-links"))
+            with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="100"):  # two sets a row
+                links = links.unionByName(materialise(verify(pairs, texts), "join-links"))
             tested = tested.unionByName(pairs)
             label = classes_of(nodes, links)
     more = block_links(family, texts, label)

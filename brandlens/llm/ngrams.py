@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_value, crc_remainder, documents, materialise
+from .common import by_value, crc_remainder, documents, materialise, release_memory
 
 by_value(__name__)
 
@@ -30,7 +30,7 @@ def pieces(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.take(pa.array(np.arange(at, end)))
         at = end
-    pa.default_memory_pool().release_unused()
+    release_memory()
 
 
 #: Letters and digits stay, as do all bytes of other scripts.
