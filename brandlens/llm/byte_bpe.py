@@ -46,7 +46,7 @@ by_value(__name__)
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of text in a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def ranks_of(path: str) -> dict[bytes, int]:

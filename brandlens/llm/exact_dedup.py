@@ -75,7 +75,7 @@ def advance(spark, store: str, files_per_batch: int = 1000) -> DataFrame:
               ".streaming.state.RocksDBStateStoreProvider",
               spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
               spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
-              spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256"):
+              spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="128"):
         arrivals = (spark.readStream
                     .schema("doc_id long, row long, digest string, landing string")
                     .option("maxFilesPerTrigger", files_per_batch)
