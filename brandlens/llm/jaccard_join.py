@@ -44,8 +44,8 @@ from .ngrams import Texts, pieces
 
 by_value(__name__)
 
+#: Words of a shingle and similarity in hundredths of the query.
 WORDS = 4
-#: Similarity in hundredths.
 PERCENT = 85
 #: A list of more nodes is long.
 LONG = 32
@@ -59,19 +59,19 @@ COUNTED = 4096
 SIGNS = np.array([32 if b == 32 or 9 <= b <= 13 else b for b in range(256)], np.uint8)
 
 
-def least_overlap(n):
+def least_overlap(n, percent: int = PERCENT):
     """Shingles that a set of `n` shares at least with any set similar to it."""
-    return -(-n * PERCENT // 100)
+    return -(-n * percent // 100)
 
 
-def wanted(n):
+def wanted(n, percent: int = PERCENT):
     """Occurrences (l) that the prefix of a set of `n` is long enough for."""
-    return np.minimum(least_overlap(n), np.maximum(48, 1 + n // 8))
+    return np.minimum(least_overlap(n, percent), np.maximum(48, 1 + n // 8))
 
 
-def lowest_wanted(n):
+def lowest_wanted(n, percent: int = PERCENT):
     """The smallest `wanted` of any set that can be similar to one of `n`."""
-    return wanted(least_overlap(n))  # `wanted` never falls as sets grow
+    return wanted(least_overlap(n, percent), percent)  # `wanted` never falls as sets grow
 
 
 def shingle_sets(texts: pa.Array, words: int, salt: int) -> list[np.ndarray]:
@@ -101,7 +101,7 @@ def node_of(shingles: np.ndarray, salt: int) -> int | None:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), salt))))
 
 
-def sets_of(docs: DataFrame, words: int, salt: int) -> DataFrame:
+def sets_of(docs: DataFrame, words: int, percent: int, salt: int) -> DataFrame:
     """doc_id, text_key (a hash of the text), n, node, check (a second name) and prefix of every
     document."""
 
@@ -109,7 +109,7 @@ def sets_of(docs: DataFrame, words: int, salt: int) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 sets = shingle_sets(piece["text"], words, salt)
-                size = [int(len(s) - least_overlap(len(s)) + wanted(len(s))) for s in sets]
+                size = [int(len(s) - least_overlap(len(s), percent) + wanted(len(s), percent)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [piece["doc_id"], piece["text_key"], pa.array([len(s) for s in sets], pa.int32()),
                      pa.array([node_of(s, salt) for s in sets], pa.int64()),
@@ -153,8 +153,8 @@ def by_place(sets: DataFrame, places: int) -> DataFrame:
         cut, "place int, nodes binary, sizes binary, owner binary, shingles binary")
 
 
-def merge_lists(nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray,
-                shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_lists(nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray, shingle: np.ndarray,
+                percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge the lists of one place: ((a, b) numbers of pairs in short lists, how many lists hold
     both, (shingle, node number) entries of long lists as indexes into `shingle`)."""
     order = np.argsort(owner, kind="stable")
@@ -171,14 +171,14 @@ def merge_lists(nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray,
             i, j = np.triu_indices(m, 1)
             a, b = lists[:, i].ravel().astype(np.uint64), lists[:, j].ravel().astype(np.uint64)
             low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            near = 100 * low.astype(np.int64) >= PERCENT * high.astype(np.int64)
+            near = 100 * low.astype(np.int64) >= percent * high.astype(np.int64)
             keys.append((a[near] << np.uint64(32)) | b[near])
     pair, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
     long_entries = order[np.repeat(length > LONG, length)]
     return np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.int64), count, long_entries
 
 
-def search_lists(sets: DataFrame, places: int) -> DataFrame:
+def search_lists(sets: DataFrame, places: int, percent: int) -> DataFrame:
     """kind 'pair': nodes a and b, their sizes, and how many short lists of a place hold both;
     kind 'long': shingle a is in a long list that holds node b."""
 
@@ -191,7 +191,7 @@ def search_lists(sets: DataFrame, places: int) -> DataFrame:
         sizes[at] = np.concatenate(parts[1])
         owner = at[np.concatenate([x + b for x, b in zip(parts[2], before, strict=True)])]
         shingle = np.concatenate(parts[3])
-        pair, count, entries = merge_lists(names, sizes, owner, shingle)
+        pair, count, entries = merge_lists(names, sizes, owner, shingle, percent)
         for kind, a, b, n_a, n_b, shared in (
                 ("pair", names[pair[:, 0]], names[pair[:, 1]], sizes[pair[:, 0]], sizes[pair[:, 1]], count),
                 ("long", shingle[entries].view(np.int64), names[owner[entries]], sizes[owner[entries]],
@@ -217,25 +217,25 @@ def search_lists(sets: DataFrame, places: int) -> DataFrame:
             .mapInArrow(merge, "kind string, a long, b long, n_a int, n_b int, shared int"))
 
 
-def column_wanted(n):
+def column_wanted(n, percent: int = PERCENT):
     """`wanted` as a column."""
-    overlap = F.ceil(n * PERCENT / 100).cast("int")
+    overlap = F.ceil(n * percent / 100).cast("int")
     return F.least(overlap, F.greatest(F.lit(48), F.lit(1) + F.floor(n / 8).cast("int")))
 
 
-def column_lowest(n):
-    return column_wanted(F.ceil(n * PERCENT / 100).cast("int"))
+def column_lowest(n, percent: int = PERCENT):
+    return column_wanted(F.ceil(n * percent / 100).cast("int"), percent)
 
 
 # ---- verification -----------------------------------------------------------------------
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets reach the similarity; the smaller one's shingles are looked up in
     the larger one, and the look-up ends when too many are missing."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    # 100 * x >= PERCENT * (n + m - x)
-    need = -(-PERCENT * (len(a) + len(b)) // (100 + PERCENT))
+    # 100 * x >= percent * (n + m - x)
+    need = -(-percent * (len(a) + len(b)) // (100 + percent))
     missing, step = len(small) - need, 256
     for at in range(0, len(small), step):
         part = small[at:at + step]
@@ -276,12 +276,12 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int, salt: int) -> DataF
     return (made if few else made.join(nodes, "node", "left_semi")).dropDuplicates(["node"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows (a, b) of `pairs` whose sets are similar."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))
+            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
                     for x, y in zip(batch["of_a"], batch["of_b"], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
@@ -345,7 +345,7 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def joining_links(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
+def joining_links(a: list[dict], b: list[dict], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between nodes of two blocks, each of which joins two components that the links
     before it have not joined."""
     parent: dict[int, int] = {}
@@ -357,7 +357,7 @@ def joining_links(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
 
     sets = [[np.frombuffer(x["shingles"], np.uint64) for x in block] for block in (a, b)]
     n, m = (np.array([len(x) for x in s]) for s in sets)
-    similar_to = 100 * (common := common_counts(*sets)) >= PERCENT * (n[:, None] + m[None, :] - common)
+    similar_to = 100 * (common := common_counts(*sets)) >= percent * (n[:, None] + m[None, :] - common)
     component = np.array([x["component"] for x in b])
     out = []
     for i, row in enumerate(similar_to):
@@ -370,7 +370,7 @@ def joining_links(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(family: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+def block_links(family: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Links between nodes of different components that share a long list (a, b)."""
     # nodes with the same rarest list are neighbours; a large group of them is split
     group = family.filter("rank = 1").select("node", F.col("shingle").alias("home"))
@@ -396,7 +396,7 @@ def block_links(family: DataFrame, sets: DataFrame, label: DataFrame) -> DataFra
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found = joining_links(batch["of_a"][i].as_py(), batch["of_b"][i].as_py())
+                found = joining_links(batch["of_a"][i].as_py(), batch["of_b"][i].as_py(), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()),
                                                   pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
@@ -408,11 +408,11 @@ def block_links(family: DataFrame, sets: DataFrame, label: DataFrame) -> DataFra
                            "join-links")
 
 
-def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame:
+def linked(docs: DataFrame, sets: DataFrame, words: int, percent: int, salt: int) -> DataFrame:
     """node and component of every node that is linked with another one."""
     spark = docs.sparkSession
     entries = sets.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
-    found = materialise(search_lists(sets, max(24, math.ceil(entries / PLACE_ENTRIES))), "join-found")
+    found = materialise(search_lists(sets, max(24, math.ceil(entries / PLACE_ENTRIES)), percent), "join-found")
     long_lists = found.filter("kind = 'long'").select(F.col("a").alias("shingle"), F.col("b").alias("node"),
                                                       F.col("n_b").alias("n"))
     in_long = materialise(long_lists.groupBy("node").agg(F.count("*").alias("long"), F.max("n").alias("n")), "join-long")
@@ -423,13 +423,14 @@ def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame
         counted.join(long_of.withColumnsRenamed({"node": "a", "long": "long_a"}), "a", "left")
         .join(long_of.withColumnsRenamed({"node": "b", "long": "long_b"}), "b", "left")
         .withColumn("skipped", F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))))
-        .filter(F.col("shared") >= F.least(column_wanted(F.col("n_a")), column_wanted(F.col("n_b"))) - F.col("skipped"))
+        .filter(F.col("shared") >= F.least(column_wanted(F.col("n_a"), percent), column_wanted(F.col("n_b"), percent))
+                - F.col("skipped"))
         .select("a", "b"), "join-candidates")
     # Nodes that may have met a similar one in long lists only. The rarest shingle that a pair
     # shares is, in either node, among the rarest `long - l + 1` of its long lists: at least
     # l - 1 shared ones follow it. So a node is looked for in these lists alone.
     length = long_lists.groupBy("shingle").agg(F.count("*").alias("length"))
-    spare = in_long.select("node", (F.col("long") - column_lowest(F.col("n")) + 1).alias("spare")).filter("spare > 0")
+    spare = in_long.select("node", (F.col("long") - column_lowest(F.col("n"), percent) + 1).alias("spare")).filter("spare > 0")
     rarest = Window.partitionBy("node").orderBy("length", "shingle")
     family = materialise(long_lists.join(spare, "node").join(length, "shingle")
                          .withColumn("rank", F.row_number().over(rarest)).filter("rank <= spare")
@@ -460,7 +461,7 @@ def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame
                 F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
             with_pivot = (placed.join(pivot, "shingle")
                           .filter((F.col("component") != F.col("pivot.component"))
-                                  & (100 * F.least("n", "pivot.n") >= PERCENT * F.greatest("n", "pivot.n")))
+                                  & (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")))
                           .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
             pairs = one.unionByName(with_pivot.distinct().join(tested, ["a", "b"], "left_anti"))
         else:
@@ -468,10 +469,10 @@ def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame
         pairs = materialise(pairs.distinct(), "join-pairs")
         if not pairs.isEmpty():
             with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="100"):  # two sets a row
-                links = links.unionByName(materialise(verify(pairs, texts), "join-links"))
+                links = links.unionByName(materialise(verify(pairs, texts, percent), "join-links"))
             tested = tested.unionByName(pairs)
             label = classes_of(nodes, links)
-    more = block_links(family, texts, label)
+    more = block_links(family, texts, label, percent)
     if not more.isEmpty():
         links = links.unionByName(more)
         label = classes_of(nodes, links)
@@ -479,17 +480,18 @@ def linked(docs: DataFrame, sets: DataFrame, words: int, salt: int) -> DataFrame
                       .distinct(), "node", "left_semi")
 
 
-def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id (the smallest id reachable by links) of every
-    row."""
+    row. Sets of shingles of `words` words are linked from a Jaccard similarity of `percent`
+    hundredths on."""
     for salt in range(0, 100, 2):
-        sets = materialise(sets_of(docs, words, salt), "join-sets-of")
+        sets = materialise(sets_of(docs, words, percent, salt), "join-sets-of")
         nodes = materialise(sets.filter("node IS NOT NULL").groupBy("node").agg(
             F.min("doc_id").alias("first"), F.count("*").alias("rows"),
             (F.min("check") != F.max("check")).alias("mixed")), "join-nodes-of")
         if nodes.filter("mixed").isEmpty():  # two sets never share a name
             break
-    classes = linked(docs, sets.select("node", "n", "prefix"), words, salt)
+    classes = linked(docs, sets.select("node", "n", "prefix"), words, percent, salt)
     of_component = (classes.join(nodes.select("node", "first"), "node")
                     .groupBy("component").agg(F.min("first").alias("component_id")))
     named = materialise(classes.join(of_component, "component").select("node", "component_id"), "join-named")
@@ -502,11 +504,11 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
-def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, with their own columns, that stay when every component keeps the
     document that names it (the smallest id). Rows without an id stay if no row of their
     component has one."""
-    dropped = materialise(join(docs, words).filter("NOT doc_id <=> component_id").select(
+    dropped = materialise(join(docs, words, percent).filter("NOT doc_id <=> component_id").select(
         F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).distinct(), "join-dropped")
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(sized_broadcast(dropped, dropped.count(), 64),

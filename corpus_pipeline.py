@@ -19,6 +19,11 @@ from brandlens.llm import byte_bpe, contamination, exact_dedup, jaccard_join, la
 from brandlens.llm.common import scratch_dir, table
 
 
+#: Documents are near copies from this Jaccard similarity (hundredths) of their word shingles on.
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification does not reject."""
     return language.with_language(docs, language.fit(docs))
@@ -31,7 +36,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of similar documents, the one with the smallest id."""
-    return jaccard_join.representatives(docs)
+    return jaccard_join.representatives(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

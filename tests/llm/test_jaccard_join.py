@@ -10,15 +10,15 @@ from brandlens.llm import jaccard_join as X
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, k=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(FOLD))
-    if len(words) < 4:
+    if len(words) < k:
         return frozenset([tuple(words)] if words else [])
-    return frozenset(tuple(words[i:i + 4]) for i in range(len(words) - 3))
+    return frozenset(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
 
 
-def brute(rows):
-    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+def brute(rows, k=4, percent=85):
+    sets, parent = [shingles(t, k) for _, t in rows], list(range(len(rows)))
 
     def root(i):
         while parent[i] != i:
@@ -29,7 +29,7 @@ def brute(rows):
     for i, s in enumerate(sets):
         shared = Counter(j for x in s for j in lists[x])
         for j, n in shared.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[root(i)] = root(j)
         for x in s:
             lists[x].append(i)
@@ -119,3 +119,25 @@ def test_similar_is_exact():
         a, b = (np.unique(rng.integers(0, 40, rng.integers(1, 60))).astype(np.uint64) for _ in range(2))
         n = len(np.intersect1d(a, b))
         assert X.similar(a, b) == (100 * n >= 85 * (len(a) + len(b) - n))
+
+
+@pytest.mark.parametrize("words, percent", [(5, 80), (3, 60)])
+def test_bounds_hold_for_other_similarities(words, percent):
+    rng = np.random.default_rng(6)
+    for n in range(1, 1500):
+        partners = np.arange(-(-n * percent // 100), n * 100 // percent + 1)
+        assert X.lowest_wanted(n, percent) <= X.wanted(partners, percent).min()
+    for _ in range(500):
+        a, b = (np.unique(rng.integers(0, 40, rng.integers(1, 60))).astype(np.uint64) for _ in range(2))
+        n = len(np.intersect1d(a, b))
+        assert X.similar(a, b, percent) == (100 * n >= percent * (len(a) + len(b) - n))
+
+
+@pytest.mark.parametrize("long", [3, 32])
+def test_components_of_other_shingles_and_similarity(spark, monkeypatch, long):
+    monkeypatch.setattr(X, "LONG", long)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in X.join(docs, 5, 80).collect()), key=repr)
+    assert found == brute(rows, 5, 80)
+    assert found != brute(rows)
