@@ -6,8 +6,11 @@ random bit of (j, word). Sequences at a small edit distance soon walk in step ag
 their walks agree in most places (Hamming distance). A repetition samples a few steps of a
 walk as its key. Walks start at every word of a document and, for each benchmark item, at
 several anchors of the item; a document window as long as the item whose key equals an
-item's key is a candidate. The number of repetitions follows from the target recall. Every
-candidate is verified by the exact edit distance in words.
+item's key is a candidate. The number of repetitions follows from the target recall. An edit at
+an anchor spoils all its walks, so each item is also cut into one piece more than it allows
+edits. One piece of any passage within the distance is left whole, and a walk that goes straight
+on over it has the same key, so no such passage is missed. Every candidate is verified by the
+exact edit distance in words.
 
 A document contains an item if some passage is within `1 - SIMILARITY` of the item's words
 (at least 0.8 similar). Items are indexed in blocks of bounded size, all documents are read
@@ -74,6 +77,22 @@ def walk(words: np.ndarray, at: np.ndarray, repeat: int, steps: np.ndarray) -> n
     return key
 
 
+def straight_walk(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the walks that start at the places `at` and look at each of `length` words."""
+    last = len(words) - 1
+    key = words[at].astype(np.uint64)
+    for step in range(1, length):
+        key = (key ^ words[np.minimum(at + step, last)]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def item_pieces(length: int) -> list[tuple[int, int]]:
+    """(offset, words) of the pieces of an item of `length` words, one more than it allows edits."""
+    bounds = np.arange(edits(length) + 2) * length // (edits(length) + 1)
+    return [(a, b - a) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+
+
 def sampled_steps(length: int, repeat: int) -> np.ndarray:
     """The steps of a walk over `length` words that one repetition looks at. A walk is at most
     at word j in step j, so it stays inside the words."""
@@ -84,7 +103,7 @@ def sampled_steps(length: int, repeat: int) -> np.ndarray:
 
 
 class Index:
-    """Walk keys of the anchors of one block of items."""
+    """Walk keys of the anchors and pieces of one block of items."""
 
     def __init__(self, items: list[np.ndarray]):
         self.items = items
@@ -95,6 +114,7 @@ class Index:
                 counts[w] = counts.get(w, 0) + 1
         # (item, offset) by the number of words that a walk may look at, a power of two
         by_length: dict[int, list[tuple[int, int]]] = {}
+        by_piece: dict[int, list[tuple[int, int]]] = {}  # (item, offset) by the words of a piece
         for number, words in enumerate(items):
             seen = len(words) and max(1, 1 << (len(words) // 2).bit_length() - 1 if len(words) > 1 else 1)
             span = max(1, len(words) - seen + 1) if len(words) else 0
@@ -103,8 +123,14 @@ class Index:
                 choice = range(start, min(start + ANCHOR_WORDS, span))
                 offset = min(choice, key=lambda o: (counts[int(words[o])], o))
                 by_length.setdefault(seen, []).append((number, offset))
+            for offset, size in item_pieces(len(words)) if len(words) else ():
+                by_piece.setdefault(size, []).append((number, offset))
+        walks = [(anchors, [functools.partial(walk, repeat=repeat, steps=sampled_steps(seen, repeat))
+                            for repeat in range(REPEATS)]) for seen, anchors in sorted(by_length.items())]
+        walks += [(anchors, [functools.partial(straight_walk, length=size)])
+                  for size, anchors in sorted(by_piece.items())]
         self.tables = []
-        for seen, anchors in sorted(by_length.items()):
+        for anchors, repeats in walks:
             firsts = np.zeros(1 << FIRST_BITS, bool)
             for number, offset in anchors:
                 firsts[items[number][offset] >> np.uint32(32 - FIRST_BITS)] = True
@@ -112,23 +138,22 @@ class Index:
             flat = np.concatenate(items)
             starts = np.cumsum([0] + [len(x) for x in items])
             at = np.array([starts[n] + o for n, o in anchors])
-            repeats = []
-            for repeat in range(REPEATS):
-                steps = sampled_steps(seen, repeat)
-                key = walk(flat, at, repeat, steps)
+            keyed = []
+            for keys_of in repeats:
+                key = keys_of(flat, at)
                 order = np.argsort(key, kind="stable")
-                repeats.append((steps, key[order], order))
-            self.tables.append((firsts, np.array(anchors), repeats))
+                keyed.append((keys_of, key[order], order))
+            self.tables.append((firsts, np.array(anchors), keyed))
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Distinct (start, item) rows: where an item may begin in `words`."""
         found = []
         for firsts, anchors, repeats in self.tables:
             begin = np.flatnonzero(firsts[words >> np.uint32(32 - FIRST_BITS)])
-            for repeat, (steps, keys, order) in enumerate(repeats):
+            for keys_of, keys, order in repeats:
                 if not len(begin):
                     break
-                key = walk(words, begin, repeat, steps)
+                key = keys_of(words, begin)
                 low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 hit = np.flatnonzero(high > low)
                 many = (high - low)[hit]

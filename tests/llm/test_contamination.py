@@ -63,6 +63,25 @@ def test_recall_against_brute_force(spark):
     assert {r.doc_id for r in stays.collect()} == set(range(len(texts))) - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("n", [*range(5, 26), 40, 59])
+def test_no_passage_is_missed_at_most_edits(n):
+    """Every length by itself, with one substitution at each word and with all allowed edits."""
+    items = [" ".join(passage(n)) for _ in range(12)]
+    texts = []
+    for item in items:
+        words = item.split()
+        for at in range(n):
+            texts.append(" ".join(passage(10) + words[:at] + ["changed"] + words[at + 1:] + passage(10)))
+        texts += [" ".join(passage(10) + edited(words, X.edits(n)) + passage(10)) for _ in range(10)]
+        # edits dealt evenly leave the shortest pieces
+        spread = {round((k + 0.5) * n / X.edits(n)) for k in range(X.edits(n))}
+        texts.append(" ".join(passage(10) + ["changed" if k in spread else w for k, w in enumerate(words)]))
+    expected = brute(texts, items)
+    found = X.matches(X.Index(X.item_words(items)), *Texts(pa.array(texts, pa.string()), WORD_BYTES).words())
+    assert {(t, i): d for t, i, d, _, _ in found} == expected
+    assert len(expected) >= len(texts)
+
+
 @pytest.mark.parametrize("text, hit", [
     ("The cat sat on the mat.", True), ("so THE cat,sat on\nthe mat!", True), ("the cat sat on the", True),
     ("the cat sat", False), ("", False), (None, False)])
