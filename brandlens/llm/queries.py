@@ -11,6 +11,7 @@ from .jaccard_join import op8_jaccard_join
 from .language import op6_language
 from .main_text import op5_main_text
 from .merkle import op12_merkle_manifest
+from .pivot_index import op11_pivot_near_dedup
 from .private_data import op7_private_data
 from .quality import op4_quality
 from .toxicity import op9_toxicity
@@ -65,6 +66,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_pivot_near_dedup": op11_pivot_near_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_importance_resampling": op13_importance_resampling,
 }
