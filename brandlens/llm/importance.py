@@ -55,12 +55,13 @@ def words(text: Column) -> Column:
 
 def features(word: Column, run: int) -> Column:
     """All runs of 1 to `run` consecutive words, joined by a blank."""
-    parts = [word]
-    for n in range(2, run + 1):
+
+    def runs(n: int) -> Column:
         starts = F.slice(F.sequence(F.lit(1), F.greatest(F.size(word), F.lit(1))), F.lit(1),
                          F.greatest(F.size(word) - (n - 1), F.lit(0)))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(word, i, n), " ")))
-    return F.concat(*parts) if len(parts) > 1 else word
+        return F.transform(starts, lambda i: F.array_join(F.slice(word, i, n), " "))
+
+    return F.concat(word, *[runs(n) for n in range(2, run + 1)]) if run > 1 else word
 
 
 def bucket(feature: Column, buckets: int) -> Column:
