@@ -23,9 +23,10 @@ longer than a block is a block of its own.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -172,7 +173,13 @@ SCHEMAS = {
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
            block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit) of every document.
+    """doc_id and ids (little-endian unsigned 32-bit) of every document."""
+    return reassembled(docs, lambda ids: {"ids": ids}, "ids binary", path, pattern, block_bytes)
+
+
+def reassembled(docs: DataFrame, shown: Callable[[list[bytes]], dict], schema: str, path: str = VOCABULARY,
+                pattern: str = PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and the columns that `shown` makes of the ids of some documents.
 
     `docs` is read twice, for the words of its blocks and for their order, so that the texts
     need not be kept in between; it must give the same rows in the same partitions, as tables
@@ -221,7 +228,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
         doc_ids = [x for row in block.itertuples() for x in row.doc_ids]
         release_memory()
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in doc_ids], "Int64"),
-                             "ids": made})
+                             **shown(made)})
 
     words = split_blocks(docs, block_bytes, places, "words")
     used = (words.select(F.col("block").alias("of_block"), F.col("mark").alias("of_mark"),
@@ -231,7 +238,16 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
            .mapInArrow(encode_words, "of_block long, of_mark long, place int, n binary, ids binary"))
     return (split_blocks(docs, block_bytes, places, "codes").groupBy("block")
             .cogroup(ids.groupBy("of_block"))
-            .applyInPandas(reassemble, "doc_id long, ids binary"))
+            .applyInPandas(reassemble, f"doc_id long, {schema}"))
+
+
+def token_bytes(path: str) -> Slices:
+    """The token-byte table."""
+    ranks = sorted((rank, token) for token, rank in ranks_of(path).items())
+    tokens = [b""] * (ranks[-1][0] + 1)
+    for rank, token in ranks:
+        tokens[rank] = token
+    return Slices(tokens, np.dtype(np.uint8))
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -239,24 +255,33 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     @F.pandas_udf("binary")
     def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks = sorted((rank, token) for token, rank in ranks_of(path).items())
-        tokens = [b""] * (ranks[-1][0] + 1)  # the token-byte table
-        for rank, token in ranks:
-            tokens[rank] = token
-        tokens = Slices(tokens, np.dtype(np.uint8))
+        tokens = token_bytes(path)
         for ids in batches:
             yield ids.map(lambda x: tokens.join(np.frombuffer(x, "<u4")).tobytes())
 
     return encoded.withColumn("decoded", bytes_of("ids"))
 
 
-def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    """Ids of every whole document, and the bytes they decode to."""
-    return digests(table(spark, sf_dir, "documents")).drop("ids")
+def digests(docs: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the bytes that they decode to, and the ids.
 
+    Decoding and digests follow where a document is put together, so a task needs one worker and
+    the bytes go nowhere."""
+    table_of: dict[str, Slices] = {}  # made once a task
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids, and digests of the ids and of the bytes that they decode to."""
-    return decode(encode(docs)).select(
-        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    def shown(ids: list[bytes]) -> dict:
+        if not table_of:
+            table_of["tokens"] = token_bytes(VOCABULARY)
+        tokens = table_of["tokens"]
+        decoded = [hashlib.sha256(tokens.join(np.frombuffer(x, "<u4")).tobytes()).hexdigest() for x in ids]
+        return ({"ids": ids} if with_ids else {}) | {
+            "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+            "decoded_sha256": decoded}
+
+    return reassembled(docs, shown, "ids binary, " * with_ids
+                       + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, and the bytes they decode to."""
+    return digests(table(spark, sf_dir, "documents"), with_ids=False)

@@ -45,12 +45,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Settings of the batches that travel to Python, with Spark's default and the value used here.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+           "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows travel to Python in batches of at most 1,000 where the session has Spark's default
-    of 10,000, which long texts would turn into batches of many megabytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    """Rows travel to Python in batches of at most 1,000 rows and about 8 MB (a longer row is a
+    batch of its own) where the session has Spark's defaults, so that many long texts are never
+    one batch. The setting stays, as the returned frames run later."""
+    for key, (default, bounded) in BATCHES.items():
+        if spark.conf.get(key).removesuffix("b") == default:
+            spark.conf.set(key, bounded)
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:

@@ -17,35 +17,30 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, conf, materialise, scratch_dir, sized_broadcast, table
-
-by_value(__name__)
+from .common import conf, materialise, scratch_dir, sized_broadcast, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 #: Estimated bytes of one broadcast hit (digest text and locator).
 HIT_BYTES = 200
 
 
-def sha256_folded(text: str) -> str:
-    """SHA-256 of the UTF-8 bytes after lower-casing A-Z only."""
-    return hashlib.sha256(text.encode().translate(_FOLD)).hexdigest()
-
-
 def folded(text):
     """Lower-case A-Z only, as a column expression."""
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def land(docs: DataFrame, store: str, digest: Callable[[str], str] = sha256_folded) -> str:
+def sha256_folded(text: Column) -> Column:
+    """SHA-256 of the UTF-8 bytes after lower-casing A-Z only."""
+    return F.sha2(folded(text), 256)
+
+
+def land(docs: DataFrame, store: str, digest: Callable[[Column], Column] = sha256_folded) -> str:
     """Append the rows of `docs` to the content store and return the landing's name.
 
     A stored row holds doc_id, text, row (its number in the landing), digest, and `rest`,
@@ -53,16 +48,12 @@ def land(docs: DataFrame, store: str, digest: Callable[[str], str] = sha256_fold
     """
     landing = f"l{uuid.uuid4().hex}"
 
-    @F.pandas_udf("string")
-    def digest_of(texts: pd.Series) -> pd.Series:
-        return texts.map(digest)
-
     rest = [F.col(c) for c in docs.columns if c != "text"]
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                  F.col("text").cast("string").alias("text"),
                  F.struct(*rest).alias("rest"))
      .withColumn("row", F.monotonically_increasing_id())
-     .withColumn("digest", digest_of(F.coalesce("text", F.lit(""))))
+     .withColumn("digest", digest(F.coalesce("text", F.lit(""))))
      .write.parquet(f"{store}/content/landing={landing}"))
     return landing
 
@@ -75,7 +66,9 @@ def advance(spark, store: str, files_per_batch: int = 1000) -> DataFrame:
               ".streaming.state.RocksDBStateStoreProvider",
               spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
               spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
-              spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="128"):
+              spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="128",
+              # a store is closed when its batch is written, not when a later one needs the place
+              spark__sql__streaming__stateStore__unloadOnCommit="true"):
         arrivals = (spark.readStream
                     .schema("doc_id long, row long, digest string, landing string")
                     .option("maxFilesPerTrigger", files_per_batch)
@@ -125,7 +118,7 @@ def decide(spark, store: str, state: DataFrame, carry: tuple[str, ...] = ()) ->
     return clean.select(*out).unionByName(split.join(by_bytes, ["digest", "folded"]).select(*out))
 
 
-def dedup(docs: DataFrame, store: str | None = None, digest: Callable[[str], str] = sha256_folded,
+def dedup(docs: DataFrame, store: str | None = None, digest: Callable[[Column], Column] = sha256_folded,
           files_per_batch: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Land `docs`, advance the state and return a decision for every row of the store.
 
