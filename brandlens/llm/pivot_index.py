@@ -72,6 +72,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def number_kind(nodes: DataFrame) -> type:
+    """The type in which vectors travel: that of the table if it is float, else double."""
+    return np.float32 if dict(nodes.dtypes)["embedding"] == "array<float>" else np.float64
+
+
 def spread(sample: np.ndarray, most: int, apart: float = SPREAD) -> np.ndarray:
     """Of the rows of `sample`, in order, those that lie apart from the ones taken before."""
     taken = np.zeros((0, sample.shape[1]), np.float32)
@@ -97,21 +102,22 @@ def pivots_of(nodes: DataFrame, n: int, dimensions: int) -> np.ndarray:
 
 
 def described(nodes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """node, copies, vector (doubles of length 1) and its nearest pivots, ordered by distance."""
+    """node, copies, vector (its numbers as they are) and its nearest pivots, ordered by distance."""
     shared = nodes.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOT_BYTES
+    kind = number_kind(nodes)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                vectors = unit(matrix(some["embedding"]))
-                near = -(vectors.astype(np.float32) @ points.T)
+                vectors = matrix(some["embedding"])
+                near = -(unit(vectors).astype(np.float32) @ points.T)
                 first = np.argpartition(near, nearest - 1, axis=1)[:, :nearest]
                 order = np.argsort(np.take_along_axis(near, first, 1), axis=1, kind="stable")
                 first = np.take_along_axis(first, order, 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [some["node"], some["copies"], pa.array([v.tobytes() for v in vectors], pa.binary()),
+                    [some["node"], some["copies"], pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary()),
                      pa.array(first.tolist(), pa.list_(pa.int32()))], ["node", "copies", "vector", "pivots"])
 
     return nodes.select("node", "copies", "embedding").mapInArrow(
@@ -194,14 +200,15 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return label
 
 
-def search(entries: DataFrame, shared: int, cosine: float) -> DataFrame:
+def search(entries: DataFrame, shared: int, cosine: float, kind: type) -> DataFrame:
     """node, links (rows it is linked with in these two blocks) and near (a node of its class)."""
 
     def compare(group: pa.Table) -> pa.Table:
         p, q, i, j = (group[c][0].as_py() for c in "pqij")
         part = group["part"].to_numpy()
         node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-        vectors = np.frombuffer(b"".join(group["vector"].to_pylist()), np.float64).reshape(len(node), -1)
+        vectors = np.frombuffer(b"".join(group["vector"].to_pylist()), kind).reshape(len(node), -1)
+        vectors = unit(vectors.astype(np.float64))
         pivots = group["pivots"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         a = np.flatnonzero(part == i)
         b = a if i == j else np.flatnonzero(part == j)
@@ -258,7 +265,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sha
     shared = min(shared, nearest)
     index = materialise(described(nodes, pivots, nearest), "pivot-index")
     index = ranked_pivots(index, len(pivots))
-    found = materialise(search(lists_of(index, nearest, shared, block), shared, cosine), "pivot-found")
+    found = materialise(search(lists_of(index, nearest, shared, block), shared, cosine, number_kind(nodes)), "pivot-found")
     classes = components(found.filter("node <> near").select(F.col("node").alias("a"), F.col("near").alias("b")).distinct())
     of_class = (classes.join(nodes.select("node", "first"), "node").groupBy("component")
                 .agg(F.min("first").alias("component_id")))
