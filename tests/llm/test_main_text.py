@@ -41,3 +41,43 @@ def test_whole_long_pages_and_odd_rows(spark):
     assert sorted((r.page_id, len(r.text.split("\n"))) for r in found if r.page_id) == [(1, 5000), (2, 1), (2, 1)]
     assert [(r.url, r.text) for r in found if r.page_id is None] == [(None, "")]
     assert X.extract(pages.limit(0)).collect() == []
+
+
+LONG, SHORT = "word " * 200, "short end of the story with a few words"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<main><section><p>{LONG}</p></section><section><p>{SHORT}</p></section></main>", f"{LONG.strip()}\n{SHORT}"),
+    (f"<div class='layout has-sidebar'><article><p>{LONG}</p></article><div class='sidebar'>Side</div></div>", LONG.strip()),
+    (f"<body><div id='news-alert'><h1>Head</h1><p>{LONG}</p></div></body>", f"Head\n{LONG.strip()}"),
+    (f"<article><p>{LONG}</p></article>" + "<p class='ad'>Buy" * 1500, LONG.strip()),
+    (f"<ul class='menu'><li class='nav'>One<li class='nav'>Two</ul><article><p>{LONG}</article>", LONG.strip()),
+    (f"<div><p>{SHORT}</p></div><div class='comments'><p>{LONG}</p></div>", SHORT),
+    ("<p>&#" + "0" * 5000 + "65; &#" + "9" * 5000 + ";</p>", "A \ufffd"),
+    (f"<p title=don't>{LONG}</p><p title='x>y'>it's</p>", f"{LONG.strip()}\nit's"),
+])
+def test_wrappers_sections_and_open_elements(page, text):
+    assert X.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<p a=", "<script ", "<p a=\"", "<div>", "<p class='ad'>", "<!--", "<a '", "</p", "&#", "<li class=menu><p>x"])
+def test_time_grows_with_the_length(part):
+    import time
+
+    page, began = part * (1_000_000 // len(part)), time.perf_counter()
+    X.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_bulk_against_plain_windows():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(200):
+        length = [rng.choice([0, 3, 20, 60, 200]) for _ in range(rng.randrange(1, 30))]
+        sums = [sum(length[i:i + 3]) for i in range(len(length))]
+        level = min(90, max(1, max(sums) / 2))
+        expected = [any(sums[i] >= level for i in range(max(0, k - 2), k + 1)) for k in range(len(length))]
+        assert X.bulk_lines(np.array(length, float), 3, 90).tolist() == expected
