@@ -26,6 +26,7 @@ ignored; a document longer than a shard is a shard of its own.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import unicodedata
@@ -85,6 +86,10 @@ class WordIds:
 
     def __init__(self, path: str, most: int):
         self.tokenizer = Tokenizer.from_file(path)
+        # words hold no added token: texts that do are encoded as a whole
+        self.whole = Tokenizer.from_file(path)
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = "|".join(map(re.escape, added))
         self.tokenizer.encode_special_tokens = True
         self.most = most
         self.byte_signs = byte_signs()
@@ -129,6 +134,20 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all `texts` in order, and how many belong to each."""
+        special = pc.match_substring_regex(texts, self.added, ignore_case=True) if self.added else pa.array([], pa.bool_())
+        if not pc.any(special).as_py():
+            return self.encode_words(texts)
+        ids, n = self.encode_words(pc.if_else(special, pa.scalar("", texts.type), texts))
+        at = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        own = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(
+            texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)]
+        parts = np.split(ids, np.cumsum(n)[at])
+        n = n.copy()
+        n[at] = [len(x) for x in own]
+        return np.concatenate([x for pair in zip(parts, [*own, np.zeros(0, "<u4")], strict=True) for x in pair]), n
+
+    def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` for texts without an added token."""
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()

@@ -66,3 +66,20 @@ def test_words_are_forgotten_when_there_are_too_many(tokenizer):
     for text in ["one two three four five six", "Seven, eight. one é,", "it's l'été."]:
         ids, n = words.encode(pa.array([text]))
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+
+
+def test_added_tokens_in_texts():
+    """Texts that hold an added token: the ids of the library, with and without blanks around it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(X.VOCABULARY)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert added
+    texts = ["plain words first", ""]
+    for a in added:
+        texts += [a, f"{a} foo", f"foo{a}bar", f"foo {a}{a} bar.", a.upper(), f"half {a[:-1]}", f"\n{a}\t", "Between, two."]
+    ids, n = X.word_ids(X.VOCABULARY).encode(pa.array(texts))
+    ends = n.cumsum()
+    for text, k, end in zip(texts, n.tolist(), ends.tolist(), strict=True):
+        assert ids[end - k:end].tolist() == library.encode(text, add_special_tokens=False).ids, text
