@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_value, crc_remainder, documents, materialise, release_memory
+from .common import by_value, crc_remainder, documents, materialise, release_memory, sized_broadcast
 
 by_value(__name__)
 
 #: Bytes of text looked at together.
 SLICE_BYTES = 1 << 20
+#: Estimated bytes of a label's or a sampled row's entry in a broadcast.
+LABEL_BYTES = 64
 _STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -107,12 +109,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     those first in the order of a hash of their id, so the sample does not depend on how the
     tables are stored. A document labelled more than once takes its largest label.
     """
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
-             .filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()
-                     & (crc_remainder("doc_id", modulus) != held_out))
-             .groupBy("doc_id").agg(F.max("label").alias("label")))
-    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    taken = (known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class)
-             .drop("rank"))
-    # at most `per_class` rows for each label
-    return documents(docs).join(F.broadcast(materialise(taken, "sample")), "doc_id").select("text", "label")
+    known = materialise(
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
+        .filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()
+                & (crc_remainder("doc_id", modulus) != held_out))
+        .groupBy("doc_id").agg(F.max("label").alias("label")), "sample-labels")
+    sizes = materialise(known.groupBy("label").agg(F.count("*").alias("n")), "sample-sizes")
+    # a bound on the hash leaves a few more rows of each label than are taken; only these are ranked
+    spare = per_class + 8 * int(per_class ** 0.5) + 8
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
+    few = (known.join(sized_broadcast(sizes, sizes.count(), LABEL_BYTES), "label").withColumn("h", h)
+           .filter(F.col("h") * F.col("n") < F.lit(spare) * F.lit(1 << 31)))
+    order = W.partitionBy("label").orderBy("h", "doc_id")
+    taken = materialise(few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class)
+                        .select("doc_id", "label"), "sample")
+    return (documents(docs).join(sized_broadcast(taken, taken.count(), LABEL_BYTES), "doc_id")
+            .select("text", "label"))

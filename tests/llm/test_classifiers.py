@@ -99,3 +99,59 @@ def test_more_than_64_languages(spark):
     truth = {r[0]: r[2] for r in rows}
     found = language.predict(docs, model).collect()
     assert sum(truth[r.doc_id] == r.lang_pred for r in found) / len(found) > 0.97
+
+
+def test_toxicity_of_words_that_run_through_a_text(spark):
+    """A word that many clean texts quote once, and toxic ones use throughout; scores follow from
+    the weights by a plain loop."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        words = [rng.choice(WORDS["de"]) for _ in range(40)]
+        toxic = rng.random() < 0.2
+        for _ in range(6 if toxic else rng.random() < 0.3):
+            words.insert(rng.randrange(len(words)), "grobian")
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    weights, bias = toxicity.fit(docs, docs)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, (weights, bias)).collect()}
+    assert sum((found[i] >= 0.5) == bool(t) for i, _, t in rows) >= 0.99 * len(rows)
+
+    def plain(text):
+        data, counts = f" {text} ".encode(), Counter()
+        for n in toxicity.ORDERS:
+            for k in range(len(data) - n + 1):
+                h = 0
+                for b in data[k:k + n]:
+                    h = (h * 0x01000193 + b) & 0xFFFFFFFF
+                x = ((h + n) * 0x9E3779B1) & 0xFFFFFFFF
+                counts[(x ^ (x >> 15)) >> (32 - toxicity.BITS)] += 1
+        z = bias + sum(weights[b] * math.log2(1 + c) for b, c in counts.items())
+        return 1 / (1 + math.exp(-z))
+
+    for i, text, _ in rows[:40]:
+        assert np.isclose(found[i], plain(text), atol=1e-9)
+
+
+def test_minimum_of_a_known_function():
+    import numpy as np
+
+    a = np.diag([1.0, 10.0, 100.0]) + 0.1
+    b = np.array([1.0, -2.0, 3.0])
+    x, left = toxicity.minimise(lambda w: (float(w @ a @ w / 2 - b @ w), a @ w - b), np.zeros(3))
+    assert left <= toxicity.FLAT and np.allclose(x, np.linalg.solve(a, b), atol=1e-6)
+
+
+def test_sample_is_bounded_and_does_not_follow_storage(spark):
+    from brandlens.llm.ngrams import labelled_sample
+
+    rows = [(i, f"text {i}", "a" if i % 10 else "b") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [sorted(map(tuple, labelled_sample(x, x, "lang", 4, 2, 150).collect())) for x in (docs, docs.repartition(7))]
+    assert found[0] == found[1]
+    assert [sum(lang == k for _, lang in found[0]) for k in "ab"] == [150, 150]
