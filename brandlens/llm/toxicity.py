@@ -112,7 +112,7 @@ def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarr
 
 
 def train(rows: list, prior: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weight of each bucket and the bias, from (label, buckets, values) rows."""
+    """Weight of each bucket and the bias, from (label, buckets, values) rows, which are used up."""
     label = np.array([r[0] for r in rows], np.int64)
     seen = np.bincount(label, minlength=2)
     weights = np.zeros(1 << BITS)
@@ -137,9 +137,14 @@ def train(rows: list, prior: np.ndarray) -> tuple[np.ndarray, float]:
     x = (ratio[bucket] * value).astype(np.float32)
     weight = (prior / (seen / len(rows)))[label] / len(rows)
     sign = np.where(label == 1, 1.0, -1.0)
+    n_rows = len(rows)
+    rows.clear()  # the sample's memory goes before the fit needs its own
+    del found, held, value, counts, share, holders
+    ratio_of = ratio[column]
+    del bucket, ratio
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = sign * (np.bincount(doc, x * w[at], len(rows)) + w[-1])
+        z = sign * (np.bincount(doc, x * w[at], n_rows) + w[-1])
         wrong = -sign * weight / (1 + np.exp(np.clip(z, -60, 60)))
         slope = np.append(np.bincount(at, x * wrong[doc], len(column)) + RIDGE * w[:-1], wrong.sum())
         return float((weight * np.logaddexp(0, -z)).sum() + RIDGE / 2 * (w[:-1] @ w[:-1])), slope
@@ -148,19 +153,19 @@ def train(rows: list, prior: np.ndarray) -> tuple[np.ndarray, float]:
     w, left = minimise(loss, start)
     if left > 100 * FLAT:
         raise RuntimeError(f"the fit has not converged: {left}")
-    weights[column] = w[:-1] * ratio[column]
+    weights[column] = w[:-1] * ratio_of
     return weights, float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """Learn from the rows whose crc32(doc_id) mod 5 is not 0."""
     sample = labelled_sample(docs, labels, "toxic", 5, 0, per_class)
-    rows = sample.mapInArrow(sets, "label int, buckets binary, values binary").toPandas().sort_values(
-        ["label", "buckets"], kind="stable")
+    rows = list(sample.mapInArrow(sets, "label int, buckets binary, values binary").toPandas()
+                .sort_values(["label", "buckets"], kind="stable").itertuples(index=False, name=None))
     usable = labels.filter(F.col("toxic").isNotNull() & (crc_remainder("doc_id", 5) != 0))
     n, ones = usable.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = np.array([n - ones, ones]) / n if n else np.array([1.0, 0.0])
-    return train(list(rows.itertuples(index=False, name=None)), prior)
+    return train(rows, prior)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
