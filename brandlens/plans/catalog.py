@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import classify_queries, mention_queries, search_queries, source_queries, stream_queries  # noqa: F401
+from . import (classify_queries, mention_queries, search_queries, sentiment_queries,  # noqa: F401
+               source_queries, stream_queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
