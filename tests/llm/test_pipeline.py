@@ -50,7 +50,10 @@ def test_pipeline_of_odd_and_empty_tables(spark, sf, odd_docs, no_docs, tmp_path
         if k:
             assert docs.count() == 0
         else:
-            assert {1, 2, 3, 4, 7, 8} & {r.doc_id for r in docs.collect()} == {1} or docs.count() > 4
+            # 3, 4, 7, 8 have no letter, 10 shares no n-gram with a language; 1 and 2 are equal but
+            # for case, 5 is there twice
+            ids = sorted(r.doc_id for r in docs.collect() if r.doc_id is not None)
+            assert [i for i in ids if i != 6] == [2, 5, 9, 11]
 
 
 @pytest.mark.parametrize("number", range(1, 14))
