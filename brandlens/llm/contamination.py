@@ -5,12 +5,16 @@ over a sequence: step j writes the word under the walk and then stays or moves o
 random bit of (j, word). Sequences at a small edit distance soon walk in step again, so
 their walks agree in most places (Hamming distance). A repetition samples a few steps of a
 walk as its key. Walks start at every word of a document and, for each benchmark item, at
-several anchors of the item; a document window as long as the item whose key equals an
-item's key is a candidate. The number of repetitions follows from the target recall. An edit at
-an anchor spoils all its walks, so each item is also cut into one piece more than it allows
-edits. One piece of any passage within the distance is left whole, and a walk that goes straight
-on over it has the same key, so no such passage is missed. Every candidate is verified by the
-exact edit distance in words.
+several anchors of the item, more than it allows edits, since an edit at an anchor spoils its
+walks; a document window as long as the item whose key equals an item's key is a candidate.
+The number of repetitions is measured for each item length: passages with all allowed edits are
+drawn, and repetitions are added until the target share of them is found. A walk whose key after
+its first sampled step is no item's ends there. Every candidate is verified by the exact edit
+distance in words.
+
+With `exact` each item is also cut into one piece more than it allows edits. One piece of any
+passage within the distance is left whole, and a walk that goes straight on over it has the same
+key, so no passage is missed. The query leaves this off.
 
 A document contains an item if some passage is within `1 - SIMILARITY` of the item's words
 (at least 0.8 similar). Items are indexed in blocks of bounded size, all documents are read
@@ -43,15 +47,16 @@ from .ngrams import WORD_BYTES, Texts, pieces
 by_value(__name__)
 
 SIMILARITY = 0.8
-#: Chance that two walks of similar sequences agree in one sampled step, for the repetitions.
-AGREE = 0.65
 SAMPLED = 3
-RECALL = 0.95
-REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE ** SAMPLED))
+#: Share of the passages with all allowed edits that the repetitions have to find.
+RECALL = 0.998
+#: Passages drawn to measure it, and the most repetitions tried.
+TRIALS = 1000
+MOST_REPEATS = 60
 #: Items in one index.
 ITEMS = 20_000
-#: Anchors of an item, at most one for every so many words.
-ANCHOR_WORDS = 6
+#: Anchors of an item that allows few edits.
+LEAST_ANCHORS = 4
 FIRST_BITS = 20
 
 
@@ -62,29 +67,36 @@ def item_words(texts: list[str]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(first, last, strict=True)]
 
 
-def walk(words: np.ndarray, at: np.ndarray, repeat: int, steps: np.ndarray) -> np.ndarray:
-    """Keys of the walks that start at the places `at`: the words under the walk at `steps`."""
+def walk(words: np.ndarray, at: np.ndarray, repeat: int, steps: np.ndarray,
+         known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the walks that start at the places `at` (the words under the walk at `steps`) and
+    the numbers of these walks. With `known`, a bitmap of the keys after the first sampled step,
+    walks without one of these end there."""
     rng = np.random.default_rng(1000 + repeat)
     coins = rng.integers(0, 1 << 32, steps[-1] + 1, dtype=np.uint32) | np.uint32(1)
-    at, last = at.copy(), len(words) - 1
+    number, last = np.arange(len(at)), len(words) - 1
     key = words[at].astype(np.uint64)  # the first word is part of every key
     for step in range(int(steps[-1]) + 1):
         word = words[at]
         if step in steps:
             key = (key ^ word) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
+            if known is not None and step == steps[0]:
+                bit = key >> np.uint64(64 - FIRST_BITS)
+                stays = np.flatnonzero(known[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1)
+                number, key, at, word = number[stays], key[stays], at[stays], word[stays]
         at = np.minimum(at + ((word * coins[step]) >> np.uint32(31)), last)
-    return key
+    return key, number
 
 
-def straight_walk(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Keys of the walks that start at the places `at` and look at each of `length` words."""
+def straight_walk(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `walk`, for walks that look at each of `length` words."""
     last = len(words) - 1
     key = words[at].astype(np.uint64)
     for step in range(1, length):
         key = (key ^ words[np.minimum(at + step, last)]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key
+    return key, np.arange(len(at))
 
 
 def item_pieces(length: int) -> list[tuple[int, int]]:
@@ -102,48 +114,97 @@ def sampled_steps(length: int, repeat: int) -> np.ndarray:
     return np.sort(rng.choice(np.arange(1, length), min(SAMPLED, length - 1), replace=False))
 
 
+def walk_words(length: int) -> int:
+    """The words that a walk over an item may look at, a power of two."""
+    return 1 << max(length // 2, 1).bit_length() - 1
+
+
+def stretches(length: int) -> list[range]:
+    """The places of an item's anchors, one of each range: more than it allows edits."""
+    span = length - walk_words(length) + 1
+    step = max(1, span // max(LEAST_ANCHORS, edits(length) + 1))
+    return [range(a, min(a + step, span)) for a in range(0, span, step)]
+
+
+def drawn_edits(words: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """`words` with all allowed edits, changed, left out or added words, at random places or
+    about evenly dealt, which leaves the shortest whole parts."""
+    edited, allowed, even = words.tolist(), edits(len(words)), rng.random() < 0.5
+    for k, kind in enumerate(rng.integers(0, 3, allowed)):
+        place = int((k + rng.random()) * len(edited) / allowed) if even else int(rng.integers(0, len(edited)))
+        edited[place:place + (kind < 2)] = [] if kind == 1 else [int(rng.integers(0, 1 << 32))]
+    return np.array(edited, np.uint32)
+
+
+@functools.cache
+def repeats_needed(length: int) -> int:
+    """The repetitions that find the share RECALL of drawn passages of an item length."""
+    rng = np.random.default_rng(length)
+    steps = walk_words(length)
+    items = rng.integers(0, 1 << 32, (TRIALS, length), dtype=np.uint32)
+    passages = np.concatenate([drawn_edits(words, rng) for words in items])
+    offsets = np.array([int(rng.choice(places)) for places in stretches(length)])
+    at = (np.arange(TRIALS)[:, None] * length + offsets).ravel()
+    found = np.zeros(TRIALS, bool)
+    for repeat in range(MOST_REPEATS):
+        sampled = sampled_steps(steps, repeat)
+        key, _ = walk(items.ravel(), at, repeat, sampled)
+        other, _ = walk(passages, np.arange(len(passages)), repeat, sampled)
+        found |= np.isin(key, other).reshape(TRIALS, -1).any(1)
+        if found.mean() >= RECALL:
+            return repeat + 1
+    return MOST_REPEATS
+
+
 class Index:
-    """Walk keys of the anchors and pieces of one block of items."""
+    """Walk keys of the anchors of one block of items, with `exact` of their pieces too."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, items: list[np.ndarray], exact: bool = False):
         self.items = items
         self.counts = [Counter(x.tolist()) for x in items]
         counts: dict[int, int] = {}
         for words in items:
             for w in set(words.tolist()):
                 counts[w] = counts.get(w, 0) + 1
-        # (item, offset) by the number of words that a walk may look at, a power of two
-        by_length: dict[int, list[tuple[int, int]]] = {}
+        # (item, offset) by the words that a walk may look at and the repetitions needed
+        by_walk: dict[tuple[int, int], list[tuple[int, int]]] = {}
         by_piece: dict[int, list[tuple[int, int]]] = {}  # (item, offset) by the words of a piece
         for number, words in enumerate(items):
-            seen = len(words) and max(1, 1 << (len(words) // 2).bit_length() - 1 if len(words) > 1 else 1)
-            span = max(1, len(words) - seen + 1) if len(words) else 0
-            for start in range(0, span, ANCHOR_WORDS):
+            if not len(words):
+                continue
+            anchors = by_walk.setdefault((walk_words(len(words)), repeats_needed(len(words))), [])
+            for choice in stretches(len(words)):
                 # in each stretch the word that fewest items have
-                choice = range(start, min(start + ANCHOR_WORDS, span))
-                offset = min(choice, key=lambda o: (counts[int(words[o])], o))
-                by_length.setdefault(seen, []).append((number, offset))
-            for offset, size in item_pieces(len(words)) if len(words) else ():
+                anchors.append((number, min(choice, key=lambda o: (counts[int(words[o])], o))))
+            for offset, size in item_pieces(len(words)) if exact else ():
                 by_piece.setdefault(size, []).append((number, offset))
-        walks = [(anchors, [functools.partial(walk, repeat=repeat, steps=sampled_steps(seen, repeat))
-                            for repeat in range(REPEATS)]) for seen, anchors in sorted(by_length.items())]
-        walks += [(anchors, [functools.partial(straight_walk, length=size)])
-                  for size, anchors in sorted(by_piece.items())]
+        # all items behind each other; a walk from an anchor stays inside its item
+        flat = np.concatenate([np.zeros(0, np.uint32), *items])
+        starts = np.cumsum([0] + [len(x) for x in items])
+        tables = [(anchors, [(repeat, sampled_steps(seen, repeat)) for repeat in range(repeats)])
+                  for (seen, repeats), anchors in sorted(by_walk.items())]
         self.tables = []
-        for anchors, repeats in walks:
-            firsts = np.zeros(1 << FIRST_BITS, bool)
-            for number, offset in anchors:
-                firsts[items[number][offset] >> np.uint32(32 - FIRST_BITS)] = True
-            # all items behind each other; a walk from an anchor stays inside its item
-            flat = np.concatenate(items)
-            starts = np.cumsum([0] + [len(x) for x in items])
+        for anchors, repeats in tables:
             at = np.array([starts[n] + o for n, o in anchors])
             keyed = []
-            for keys_of in repeats:
-                key = keys_of(flat, at)
-                order = np.argsort(key, kind="stable")
-                keyed.append((keys_of, key[order], order))
-            self.tables.append((firsts, np.array(anchors), keyed))
+            for repeat, steps in repeats:
+                known = np.zeros(1 << FIRST_BITS, bool)
+                known[walk(flat, at, repeat, steps[:1])[0] >> np.uint64(64 - FIRST_BITS)] = True
+                keyed.append((functools.partial(walk, repeat=repeat, steps=steps, known=np.packbits(known)),
+                              walk(flat, at, repeat, steps)[0]))
+            self.add(anchors, keyed)
+        for size, anchors in sorted(by_piece.items()):
+            at = np.array([starts[n] + o for n, o in anchors])
+            keys_of = functools.partial(straight_walk, length=size)
+            self.add(anchors, [(keys_of, keys_of(flat, at)[0])])
+
+    def add(self, anchors: list[tuple[int, int]], keyed: list[tuple]) -> None:
+        firsts = np.zeros(1 << FIRST_BITS, bool)
+        for number, offset in anchors:
+            firsts[self.items[number][offset] >> np.uint32(32 - FIRST_BITS)] = True
+        orders = [np.argsort(key, kind="stable") for _, key in keyed]
+        self.tables.append((firsts, np.array(anchors), [
+            (keys_of, key[order], order) for (keys_of, key), order in zip(keyed, orders, strict=True)]))
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Distinct (start, item) rows: where an item may begin in `words`."""
@@ -153,12 +214,12 @@ class Index:
             for keys_of, keys, order in repeats:
                 if not len(begin):
                     break
-                key = keys_of(words, begin)
+                key, walks = keys_of(words, begin)
                 low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 hit = np.flatnonzero(high > low)
                 many = (high - low)[hit]
                 which = order[np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-                start = np.repeat(begin[hit], many) - anchors[which, 1]
+                start = np.repeat(begin[walks[hit]], many) - anchors[which, 1]
                 found.append(np.stack([start, anchors[which, 0]], 1))
         if not found:
             return np.zeros((0, 2), np.int64)
@@ -235,7 +296,7 @@ def matches(index: Index, words: np.ndarray, first: np.ndarray, last: np.ndarray
     return [(t, n, d, len(index.items[n]), place) for (t, n), (d, place) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame) -> Iterator:
+def indexes(benchmark: DataFrame, exact: bool) -> Iterator:
     """Broadcast (index, item ids) of each block of items, pickled here so that workers need no
     copy of this package."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -243,7 +304,7 @@ def indexes(benchmark: DataFrame) -> Iterator:
     block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for block in range(blocks):  # about ITEMS items each
         some = items.filter(block_of == block).filter("text IS NOT NULL").orderBy("item_id", "text").collect()
-        index = Index(item_words([r["text"] for r in some])) if some else None
+        index = Index(item_words([r["text"] for r in some]), exact) if some else None
         yield benchmark.sparkSession.sparkContext.broadcast(
             cloudpickle.dumps((index, [r["item_id"] for r in some])))
 
@@ -254,11 +315,11 @@ def matches_of(piece: pa.RecordBatch, index: Index | None) -> list[tuple]:
     return matches(index, *Texts(pc.fill_null(piece["text"], ""), WORD_BYTES).words())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, distance (edits in
     words), item_words, place (word of the document at which the passage begins)."""
     rows, parts = documents(docs), []
-    for shared in indexes(benchmark):
+    for shared in indexes(benchmark, exact):
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, ids = cloudpickle.loads(shared.value)
@@ -277,10 +338,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_rows(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
     """The rows of `docs`, with all their columns, that contain no item."""
     bounded_batches(docs.sparkSession)
-    for shared in indexes(benchmark):
+    for shared in indexes(benchmark, exact):
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, _ = cloudpickle.loads(shared.value)

@@ -77,9 +77,27 @@ def test_no_passage_is_missed_at_most_edits(n):
         spread = {round((k + 0.5) * n / X.edits(n)) for k in range(X.edits(n))}
         texts.append(" ".join(passage(10) + ["changed" if k in spread else w for k, w in enumerate(words)]))
     expected = brute(texts, items)
-    found = X.matches(X.Index(X.item_words(items)), *Texts(pa.array(texts, pa.string()), WORD_BYTES).words())
+    own, words = X.item_words(items), Texts(pa.array(texts, pa.string()), WORD_BYTES).words()
+    found = X.matches(X.Index(own, exact=True), *words)
     assert {(t, i): d for t, i, d, _, _ in found} == expected
     assert len(expected) >= len(texts)
+    # walks with bit sampling alone, as the query has it
+    index = X.Index(own)
+    assert len(index.tables) == 1
+    walked = {(t, i): d for t, i, d, _, _ in X.matches(index, *words)}
+    assert walked.items() <= expected.items()
+    assert len(walked) >= 0.98 * len(expected)
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 11, 15, 19, 25, 40, 59])
+def test_recall_of_walks_at_all_allowed_edits(n):
+    items = [" ".join(passage(n)) for _ in range(40)]
+    texts = [" ".join(passage(10) + edited(item.split(), X.edits(n)) + passage(10)) for item in items for _ in range(8)]
+    expected = brute(texts, items)
+    found = X.matches(X.Index(X.item_words(items)), *Texts(pa.array(texts, pa.string()), WORD_BYTES).words())
+    assert len(expected) >= len(texts)
+    assert len({(t, i) for t, i, *_ in found} & expected.keys()) >= 0.95 * len(expected)
+    assert {(t, i) for t, i, *_ in found} <= expected.keys()
 
 
 @pytest.mark.parametrize("text, hit", [
