@@ -78,6 +78,61 @@ def test_model_sees_each_batch_once_and_a_killed_run_goes_on(spark, tmp_path):
     assert before == 4 and len(log.read_text().split()) == 5
 
 
+def test_answers_one_job_at_any_number_of_waves(spark, tmp_path):
+    from brandlens.operators.classify import stored_answers
+    calls = str(tmp_path / "calls")
+
+    def counting(prompts):
+        with open(calls, "a") as f:
+            f.write("".join(p + "\n" for p in prompts))
+        return [f"answer to {p}" for p in prompts]
+
+    def jobs(store, prompts):
+        spark.sparkContext.setJobGroup(store, store)
+        rows = stored_answers(prompts, counting, store, wave=2, tasks=3).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(store))
+
+    # two batches may have the same prompt; it is asked once
+    many = spark.createDataFrame([(b, 5, f"p{b % 70}") for b in range(90)], "batch_id long, n int, prompt string")
+    few = many.filter("batch_id < 2")
+    rows, wide = jobs(str(tmp_path / "many"), many)
+    assert {(r.batch_id, r.response, r.error) for r in rows} == {(b, f"answer to p{b % 70}", None) for b in range(90)}
+    assert sorted(open(calls).read().split()) == sorted(f"p{i}" for i in range(70))
+    assert jobs(str(tmp_path / "few"), few)[1] == wide
+    assert jobs(str(tmp_path / "none"), many.limit(0))[0] == []
+    # a folder named by URI, half-written files in it are not read
+    (tmp_path / "many" / ".left-over").write_text("half a file")
+    open(calls, "w").close()
+    again = stored_answers(many, counting, f"file:{tmp_path / 'many'}", wave=7, tasks=2)
+    assert again.count() == 90 and open(calls).read() == ""
+
+
+def test_a_task_tried_again_goes_on_behind_its_files(spark, tmp_path):
+    """The files of a task whose rows were lost are there; the same prompts are not asked again."""
+    from brandlens.operators.classify import stored_answers
+    import pytest
+    calls, store = str(tmp_path / "calls"), str(tmp_path / "store")
+    prompts = spark.createDataFrame([(b, 1, f"p{b:02}") for b in range(20)], "batch_id long, n int, prompt string")
+
+    def dies_late(some):
+        if "p15" in some:
+            raise SystemExit
+        with open(calls, "a") as f:
+            f.write("".join(p + "\n" for p in some))
+        return list(some)
+
+    def counting(some):
+        with open(calls, "a") as f:
+            f.write("".join(p + "\n" for p in some))
+        return list(some)
+
+    with pytest.raises(Exception):
+        stored_answers(prompts, dies_late, store, wave=4, per_call=4, tasks=1)
+    assert stored_answers(prompts, counting, store, wave=4, per_call=4, tasks=1).count() == 20
+    assert sorted(open(calls).read().split()) == [f"p{b:02}" for b in range(20)]
+
+
 def test_incremental_twice_equals_once(spark):
     p = BrandProfile(brand="acme", variants=("acmex",), reference_query="acme app crash")
     rows = [("r", str(i), i, None, f"acme app {'crash bug' if i % 3 == 0 else 'great fine'} number{i} longword{i}")
