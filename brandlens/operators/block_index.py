@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..config import BM25_B, BM25_K1, STOP_WORDS
 from ..functions.text import tokenise
 from ..session import materialise
+from .ranking import with_term_counts
 from .reports import global_rank
 
 BLOCK = 128
@@ -58,8 +59,8 @@ def build_index(docs: DataFrame, keys: Sequence[str], order: Sequence[str], text
         *keys, "doc", F.size("_tok").alias("dl"), "_tok")
     numbered = materialise(numbered, "index-documents")
     size = numbered.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    postings = (numbered.select("doc", "dl", F.explode("_tok").alias("term"))
-                .groupBy("doc", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("dl").alias("dl")))
+    # a document's number is its own, so its terms are counted inside its row
+    postings = with_term_counts(numbered.select("doc", "dl", "_tok"))
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(size["avgdl"])))
     blocks = (postings.select("term", F.floor((F.col("doc") - 1) / block).alias("block"), "doc", share.alias("share"))
               .groupBy("term", "block")
