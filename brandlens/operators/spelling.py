@@ -40,9 +40,16 @@ def keys_of(word: Column) -> Column:
     return F.concat(short, ends)
 
 
-def document_words(docs: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:
-    """keys + word, one row for every distinct word of a document."""
-    return docs.select(*keys, F.explode(F.array_distinct(split_words(text))).alias("word"))
+def distinct_words(text: Column) -> Column:
+    """Array of the distinct words of a text."""
+    return F.array_distinct(split_words(text))
+
+
+def document_words(docs: DataFrame, text: Column | str, keys: Sequence[str]) -> DataFrame:
+    """keys + word, one row for every distinct word of a document. `text` is a text, or the name
+    of a column of `distinct_words`, which is best written first: words are read twice."""
+    words = F.col(text) if isinstance(text, str) else distinct_words(text)
+    return docs.select(*keys, F.explode(words).alias("word"))
 
 
 def vocabulary(words: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import combined_text, split_words
 from ..operators import spelling
-from ..session import prepare
+from ..session import materialise, prepare
 from ..sources.driver import duck_split_words, mentions, mentions_sql
 from .registry import query
 
@@ -25,10 +25,13 @@ hits AS (SELECT query, platform, id, min(distance) AS distance FROM near JOIN w
 
 def _words(spark, sf_dir):
     prepare(spark)
-    docs = spelling.document_words(mentions(spark, sf_dir), combined_text("title", "text"), KEYS)
+    # split once; the vocabulary and the hits both read the written words
+    m = materialise(mentions(spark, sf_dir).select(
+        *KEYS, spelling.distinct_words(combined_text("title", "text")).alias("words")), "spelling-words")
+    docs = spelling.document_words(m, "words", KEYS)
     texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     asked = texts.select(F.explode(split_words("text")).alias("query")).filter(F.col("query").rlike("^[a-z0-9]{4,}$"))
-    return docs, spelling.near_words(asked, spelling.vocabulary(docs))
+    return docs, materialise(spelling.near_words(asked, spelling.vocabulary(docs)), "spelling-near")
 
 
 @query("spelling_words", f"{_ORACLE} SELECT query, word, distance, n_docs FROM near")

@@ -44,3 +44,10 @@ def test_hits_and_odd_rows(spark):
     hits = sorted((r.query[:5], r.id, r.distance) for r in spelling.spelling_hits(words, near, ["id"]).collect())
     assert hits == [("crash", 1, 0), ("crash", 2, 1), ("crash", 6, 1), ("xxxxx", 5, 1)]
     assert spelling.spelling_hits(words.limit(0), near, ["id"]).count() == 0
+
+
+def test_words_can_be_written_before_they_are_read(spark):
+    docs = spark.createDataFrame([("a", "Red, red moss"), ("b", ""), ("c", None)], "id string, text string")
+    written = docs.select("id", spelling.distinct_words(F.col("text")).alias("words"))
+    got = sorted(map(tuple, spelling.document_words(written, "words", ["id"]).collect()))
+    assert got == [("a", "moss"), ("a", "red")] == sorted(map(tuple, spelling.document_words(docs, F.col("text"), ["id"]).collect()))
