@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PUNCTUATION
-from ..functions.text import WHITESPACE_RE, py_strip
+from ..functions.text import WHITESPACE_RE
 from .sentiment import (BOOSTER_DECAY, DEFAULT_BOOSTERS, DEFAULT_LEXICON, DEFAULT_NEGATORS, NEGATION_SCALAR,
                         NORMALISER_ALPHA, sentiment_label)
 
@@ -39,6 +39,7 @@ EXCLAMATION_STEP, EXCLAMATIONS = 0.292, 4
 QUESTION_STEP, QUESTIONS, QUESTION_MOST = 0.18, 3, 0.96
 BEFORE_CONTRAST, AFTER_CONTRAST = 0.5, 1.5
 
+NOT_BLANK_RE = "[^" + WHITESPACE_RE[1:-1]  # any sign but white space
 CAPITALS_RE = r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$"
 
 
@@ -75,19 +76,22 @@ def looked_up(word: Column, values: Mapping[str, float]) -> Column:
     return F.when(word.isin(list(values)), cases).otherwise(F.lit(0.0))
 
 
-def units_of(text: Column, rules: SentimentRules) -> Column:
-    """Words and phrases of a text in their order and case."""
+def with_units(rows: DataFrame, text: str, rules: SentimentRules, out: str = "_units") -> DataFrame:
+    """`rows` + the words and phrases of `text` in their order and case.
+
+    What a later step reads twice is a projection of its own, so that it is computed once.
+    """
     def words(part: Column, by: str) -> Column:
         return F.filter(F.split(part, by), lambda w: w != F.lit(""))
 
     tokens = words(F.translate(text, PUNCTUATION, " " * len(PUNCTUATION)), WHITESPACE_RE)
     if not rules.phrases():
-        return tokens
-    spaced = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
-    regex = rules.phrase_regex()
+        return rows.withColumn(out, tokens)
+    regex, spaced = rules.phrase_regex(), F.col("_spaced")
+    rows = rows.withColumn("_spaced", F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" ")))
     between, found = F.split(spaced, regex, -1), F.regexp_extract_all(spaced, F.lit(regex), F.lit(0))
-    return F.flatten(F.zip_with(between, found, lambda part, phrase: F.concat(
-        words(part, " +"), F.array_compact(F.array(F.replace(F.trim(phrase), F.lit("  "), F.lit(" ")))))))
+    return rows.withColumn(out, F.flatten(F.zip_with(between, found, lambda part, phrase: F.concat(
+        words(part, " +"), F.array_compact(F.array(F.replace(F.trim(phrase), F.lit("  "), F.lit(" ")))))))).drop("_spaced")
 
 
 def occurrences(text: Column, sign: str) -> Column:
@@ -110,15 +114,22 @@ def rule_sentiment(docs: DataFrame, rules: SentimentRules, text: Column | str =
     """
     given = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     rows = docs.select(F.struct(*keep).alias("_keep"), given.alias("_text"))
-    rows = rows.select("*", units_of(F.col("_text"), rules).alias("_units"))
+    rows = with_units(rows, "_text", rules)
+    rows = rows.withColumn("_words", F.transform("_units", F.lower))  # once a unit, not once a rule
+
+    # most words are in no entry: one lookup for them
+    entries = sorted({*rules.lexicon, *rules.boosters, *rules.negators, *rules.contrast})
 
-    def facts(unit: Column) -> Column:
-        word = F.lower(unit)
-        return F.struct(looked_up(word, rules.lexicon).alias("value"), looked_up(word, rules.boosters).alias("boost"),
-                        word.isin(list(rules.negators)).alias("negator"),
-                        word.isin(list(rules.contrast)).alias("contrast"), unit.rlike(CAPITALS_RE).alias("capitals"))
+    def facts(unit: Column, word: Column) -> Column:
+        def fact(*of: Column) -> Column:
+            names = ("value", "boost", "negator", "contrast", "capitals")
+            return F.struct(*[c.alias(n) for c, n in zip((*of, unit.rlike(CAPITALS_RE)), names, strict=True)])
 
-    rows = rows.select("_keep", "_text", F.transform("_units", facts).alias("_facts"))
+        return F.when(word.isin(entries), fact(
+            looked_up(word, rules.lexicon), looked_up(word, rules.boosters), word.isin(list(rules.negators)),
+            word.isin(list(rules.contrast)))).otherwise(fact(F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(False)))
+
+    rows = rows.select("_keep", "_text", F.zip_with("_units", "_words", facts).alias("_facts"))
     rows = rows.select("*", (F.exists("_facts", lambda f: f["capitals"]) & F.exists("_facts", lambda f: ~f["capitals"]))
                        .alias("_mixed"), (F.array_position(F.col("_facts.contrast"), True) - 1).alias("_turn"))
 
@@ -137,16 +148,18 @@ def rule_sentiment(docs: DataFrame, rules: SentimentRules, text: Column | str =
         moved = (value + F.signum(value) * push) * F.when(negated, NEGATION_SCALAR).otherwise(1.0) * turned
         return F.when(value != 0, moved).otherwise(0.0)
 
-    rows = rows.select("_keep", (py_strip(F.col("_text")) == "").alias("_blank"), emphasis(F.col("_text")).alias("_e"),
+    rows = rows.select("_keep", (~F.col("_text").rlike(NOT_BLANK_RE)).alias("_blank"), emphasis(F.col("_text")).alias("_e"),
                        F.transform("_facts", scored).alias("_v"))
 
+    rows = rows.select("_keep", "_blank", "_e", F.size("_v").alias("_units"), F.filter("_v", lambda v: v != 0).alias("_v"))
+
     def total_of(wanted, part) -> Column:
         return F.aggregate(F.filter("_v", wanted), F.lit(0.0), lambda a, v: a + part(v))
 
-    rows = rows.select("_keep", "_blank", "_e", total_of(lambda v: v != 0, lambda v: v).alias("_s"),
+    rows = rows.select("_keep", "_blank", "_e", F.aggregate("_v", F.lit(0.0), lambda a, v: a + v).alias("_s"),
                        total_of(lambda v: v > 0, lambda v: v + 1).alias("_p"),
                        total_of(lambda v: v < 0, lambda v: 1 - v).alias("_n"),
-                       F.size(F.filter("_v", lambda v: v == 0)).cast("double").alias("_u"))
+                       (F.col("_units") - F.size("_v")).cast("double").alias("_u"))
     positive = F.col("_p") + F.when(F.col("_p") > F.col("_n"), F.col("_e")).otherwise(0.0)
     negative = F.col("_n") + F.when(F.col("_p") < F.col("_n"), F.col("_e")).otherwise(0.0)
     total = positive + negative + F.col("_u")

@@ -71,3 +71,12 @@ def test_without_phrases_or_boosters(spark):
     rules = SentimentRules({"good": 1.0}, (), {}, ())
     rows = spark.createDataFrame([(1, "very good but")], "id long, text string")
     assert rule_sentiment(rows, rules, keep=("id",)).first().compound == compound(1.0)
+
+
+def test_a_text_is_cut_into_words_once(spark):
+    """Phrases are split and found in one written-out text, not in two copies of the steps before."""
+    rows = spark.createDataFrame([(1, "kind of good, not a BIG hit song\u00a0but bad")], "id long, text string")
+    scored = rule_sentiment(rows, RULES, keep=("id",))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.count("lower(") == 1
+    assert scored.first().compound == compound(((1.9 - 0.293) * 0.5) + (2.6 * -0.74 - 0) * 0.5 - 2.5 * 1.5)
