@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1, STOP_WORDS
 from ..functions.text import tokenise
-from ..session import materialise
+from ..session import materialise, release
 from .ranking import with_term_counts
 from .reports import global_rank
 
@@ -39,14 +39,20 @@ PLACES = 4
 
 @dataclass
 class BlockIndex:
-    """`blocks` (term, block, max_share, postings), `terms` (term, df), `numbers` (keys, doc) and
-    the number of documents."""
+    """`packed` (term, block, max_share, n, _postings), `postings` (they as documents and shares), `terms`
+    (term, df), `numbers` (keys, doc) and the number of documents."""
 
-    blocks: DataFrame
+    packed: DataFrame
+    postings: Column
     terms: DataFrame
     numbers: DataFrame
     n: int
 
+    @property
+    def blocks(self) -> DataFrame:
+        """term, block, max_share, postings (doc, share)."""
+        return self.packed.select("term", "block", "max_share", self.postings.alias("postings"))
+
 
 def build_index(docs: DataFrame, keys: Sequence[str], order: Sequence[str], text: Column | str = "text",
                 stop_words: Sequence[str] = STOP_WORDS, k1: float = BM25_K1, b: float = BM25_B,
@@ -54,20 +60,31 @@ def build_index(docs: DataFrame, keys: Sequence[str], order: Sequence[str], text
     """The index of `docs`, written under the shared folder. The columns `order` must give a
     total order; the numbers of documents follow it."""
     text_col = F.col(text) if isinstance(text, str) else text
-    tokens = docs.select(*dict.fromkeys([*keys, *order]), tokenise(text_col, stop_words).alias("_tok"))
-    numbered = global_rank(tokens, [F.col(c) for c in order], "doc").select(
-        *keys, "doc", F.size("_tok").alias("dl"), "_tok")
-    numbered = materialise(numbered, "index-documents")
-    size = numbered.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    # a document's number is its own, so its terms are counted inside its row
-    postings = with_term_counts(numbered.select("doc", "dl", "_tok"))
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(size["avgdl"])))
-    blocks = (postings.select("term", F.floor((F.col("doc") - 1) / block).alias("block"), "doc", share.alias("share"))
-              .groupBy("term", "block")
-              .agg(F.max("share").alias("max_share"), F.array_sort(F.collect_list(F.struct("doc", "share"))).alias("postings")))
+    columns = list(dict.fromkeys([*keys, *order]))
+    tokens = docs.select(*columns, F.sort_array(tokenise(text_col, stop_words)).alias("_tok"))
+    # tokens hold no white space; as one sorted text they take half the room of an array
+    tokens = tokens.select(*columns, F.size("_tok").alias("dl"), F.array_join("_tok", " ").alias("_words"))
+    ranked = global_rank(tokens, [F.col(c) for c in order], "doc")
+    numbers = materialise(ranked.select(*keys, "doc", "dl"), "index-numbers")
+    size = numbers.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+
+    def share(tf: Column, dl: Column) -> Column:
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(size["avgdl"])))
+
+    # the documents of a block meet before their terms are counted (each inside its own row), so
+    # tokens are moved, once, and no postings; a posting is written as three small numbers
+    place = F.floor((F.col("doc") - 1) / block)
+    met = ranked.where("dl > 0").select(place.alias("block"), "doc", "dl", "_words").repartition("block")
+    postings = with_term_counts(met.select("block", "doc", "dl", F.split("_words", " ").alias("_tok")))
+    blocks = (postings.withColumn("at", (F.col("doc") - 1 - F.col("block") * block).cast("int")).groupBy("term", "block")
+              .agg(F.max(share(F.col("tf"), F.col("dl"))).alias("max_share"), F.count(F.lit(1)).alias("n"),
+                   F.sort_array(F.collect_list(F.struct("at", F.col("tf").cast("int").alias("tf"), "dl"))).alias("_postings")))
     blocks = materialise(blocks, "index-blocks")
-    terms = blocks.groupBy("term").agg(F.sum(F.size("postings")).alias("df"))
-    return BlockIndex(blocks, materialise(terms, "index-terms"), numbered.select(*keys, "doc"), size["n"])
+    release(ranked)
+    terms = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    found = F.transform("_postings", lambda p: F.struct(
+        (F.col("block") * block + p["at"] + 1).alias("doc"), share(p["tf"], p["dl"]).alias("share")))
+    return BlockIndex(blocks, found, materialise(terms, "index-terms"), numbers.select(*keys, "doc"), size["n"])
 
 
 def query_terms(index: BlockIndex, queries: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -79,11 +96,12 @@ def query_terms(index: BlockIndex, queries: DataFrame, stop_words: Sequence[str]
     return asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"))
 
 
-def _scores(some: DataFrame, terms: DataFrame, index: BlockIndex) -> DataFrame:
-    """query_id, doc, score of every posting's document in the blocks `some` (query_id, block)."""
+def _scores(some: DataFrame, terms: DataFrame, held: DataFrame, index: BlockIndex) -> DataFrame:
+    """query_id, doc, score of every posting's document in the blocks `some` (query_id, block); `held`
+    are the index's packed blocks of the queries' terms."""
     wanted = some.select("query_id", "block").join(terms, "query_id")
-    hits = wanted.join(index.blocks.select("term", "block", "postings"), ["term", "block"])
-    return (hits.select("query_id", "weight", F.inline("postings")).groupBy("query_id", "doc")
+    hits = wanted.join(held.select("term", "block", "_postings"), ["term", "block"])
+    return (hits.select("query_id", "weight", F.inline(index.postings)).groupBy("query_id", "doc")
             .agg(F.round(F.sum(F.col("weight") * F.col("share")), PLACES).alias("score")))
 
 
@@ -97,18 +115,20 @@ def top_k(index: BlockIndex, queries: DataFrame, k: int = 10,
     """The k best documents of each query (query_id, keys, score, rnk) and what was read for it
     (query_id, n_blocks with a term of the query, n_scored of them)."""
     terms = materialise(query_terms(index, queries, stop_words), "query-terms")
-    bounds = (terms.join(index.blocks.select("term", "block", "max_share"), "term").groupBy("query_id", "block")
+    # what the queries' terms have, written once: the joins below move nothing of other terms
+    held = materialise(index.packed.join(terms.select("term").distinct(), "term", "left_semi"), "query-blocks")
+    bounds = (terms.join(held.select("term", "block", "max_share"), "term").groupBy("query_id", "block")
               .agg(F.round(F.sum(F.col("weight") * F.col("max_share")), 9).alias("bound")))
     bounds = materialise(bounds, "block-bounds")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))
     leading = materialise(bounds.withColumn("_place", place).filter(F.col("_place") <= k), "leading-blocks")
-    found = materialise(_best(_scores(leading, terms, index), k), "leading-scores")
+    found = materialise(_best(_scores(leading, terms, held, index), k), "leading-scores")
     reached = found.filter(F.col("rnk") == k).select("query_id", F.col("score").alias("_reached"))
     others = (bounds.join(leading.select("query_id", "block"), ["query_id", "block"], "left_anti")
               .join(reached, "query_id", "left")
               .filter(F.col("_reached").isNull() | (F.col("bound") >= F.col("_reached") - 10.0 ** -PLACES)))
     others = materialise(others.select("query_id", "block"), "other-blocks")
-    scores = found.select("query_id", "doc", "score").unionByName(_scores(others, terms, index))
+    scores = found.select("query_id", "doc", "score").unionByName(_scores(others, terms, held, index))
     best = _best(scores, k).join(index.numbers, "doc").drop("doc").withColumn("rnk", F.col("rnk").cast("long"))
     scored = (leading.select("query_id").unionByName(others.select("query_id"))
               .groupBy("query_id").agg(F.count(F.lit(1)).alias("n_scored")))

@@ -93,3 +93,18 @@ def test_odd_rows_and_empty_tables(spark):
     empty = build_index(docs.limit(0), ["id"], ["seq"])
     assert top_k(empty, queries)[0].count() == 0
     assert top_k(build_index(docs, ["id"], ["seq"]), queries.limit(0))[0].count() == 0
+
+
+def test_postings_are_not_shuffled_and_tokens_do_not_stay(spark):
+    import os
+
+    from brandlens.session import ensure_checkpoint_dir
+
+    where = ensure_checkpoint_dir(spark).removeprefix("file:")
+    rows, _ = corpus(3, 300)
+    before = set(os.listdir(where))
+    index = build_index(spark.createDataFrame(rows, "id long, text string"), ["id"], ["id"], block=16)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(where)) - before}
+    assert left == {"index-numbers", "index-blocks", "index-terms"}
+    held = index.blocks.select(F.inline("postings")).agg(F.count("*"), F.min("doc"), F.max("doc")).first()
+    assert held[0] == sum(len(set(tokenise_py(t))) for _, t in rows) and held[1] >= 1 and held[2] <= 300
